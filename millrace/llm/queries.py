@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, token_files
+from millrace.llm import packing, quality_rules, sharding, token_files
 from millrace.llm.common import documents, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), path, VOCABULARY), path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files}
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op8_feistel_shards": op8_feistel_shards}
 
 ORACLES: dict[str, str] = {}
