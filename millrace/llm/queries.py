@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_crf, packing, quality_rules, sharding, token_files
+from millrace.llm import byte_bpe, line_crf, packing, quality_rules, sharding, token_files
 from millrace.llm.common import documents, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), RANKS), RANKS)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -38,6 +44,6 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op8_feistel_shards": op8_feistel_shards, "op10_line_crf": op10_line_crf}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op10_line_crf": op10_line_crf}
 
 ORACLES: dict[str, str] = {}
