@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, line_crf, packing, quality_rules, sharding, token_files
+from millrace.llm import byte_bpe, line_crf, ngram_join, packing, quality_rules, sharding, token_files
 from millrace.llm.common import documents, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,12 +38,16 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = line_crf.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return line_crf.score(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op10_line_crf": op10_line_crf}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op9_ngram_join": op9_ngram_join, "op10_line_crf": op10_line_crf}
 
 ORACLES: dict[str, str] = {}
