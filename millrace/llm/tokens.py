@@ -8,14 +8,13 @@ Every other text goes to the library whole.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces that a memo holds before it starts anew (about 200 MB).
-MEMO = 1_000_000
+#: Pieces that a memo holds before it grows old; an old memo still answers until the next one has grown (about 100 MB each).
+MEMO = 300_000
 
 
 def vocabulary(name: str) -> str:
@@ -37,35 +36,66 @@ class Encoder:
     def __init__(self, tokenizer: Tokenizer, dtype: str = "<u4"):
         self.tokenizer, self.dtype = tokenizer, np.dtype(dtype)
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
-        self.memo: dict[str, bytes | None] = {}
+        self.spaced = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.new: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        for start in range(0, len(texts), 4096):
-            for e in self.tokenizer.encode_batch_fast(texts[start : start + 4096], add_special_tokens=False):
-                yield array(self.code, e.ids).tobytes()
-
-    def _learn(self, memo: dict, new: set[str], lead: str) -> None:
-        plain = [p for p in new if p and p == p.strip()]
-        memo.update(dict.fromkeys(new - set(plain)))
-        memo.update(zip(plain, self._ids([lead + p for p in plain]), strict=True))
+        self.marks = {c: self.whole(c) for c in ".,"}
+
+    def whole(self, text: str) -> bytes:
+        """The ids of one text, by the library alone."""
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Adds pieces that follow a space. None: the piece has white space at an end, or is empty."""
+        new, old = self.new, self.old
+        ask: set[str] = set()
+        marked = []
+        for p in pieces:
+            if p in old:
+                new[p] = old[p]
+            elif not p or p != p.strip():
+                new[p] = None
+            elif p[-1] in self.marks and p[:-1].isalpha():  # letters and a mark are matched apart
+                marked.append(p)
+                if p[:-1] not in new:
+                    ask.add(p[:-1])
+            else:
+                ask.add(p)
+        each = list(ask)
+        for start in range(0, len(each), 1024):
+            self._ask(each[start : start + 1024])
+        for p in marked:
+            new[p] = new[p[:-1]] + self.marks[p[-1]]
+
+    def _ask(self, pieces: list[str]) -> None:
+        """Encodes pieces as one text; of its tokens, those that begin with a space begin a piece."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()
+        if len(cuts) != len(pieces):  # a piece holds white space or a token of another kind
+            self.new.update((p, self.whole(" " + p)) for p in pieces)
+            return
+        raw = ids.tobytes()
+        self.new.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
         cut = [(t or "").split(" ") for t in texts]
-        heads = [c[0] for c in cut]
-        if len(self.memo) > MEMO:
-            self.memo, self.heads = {}, {}
-        self._learn(self.heads, set(heads) - self.heads.keys(), "")
-        for c in cut:
-            del c[0]
-        self._learn(self.memo, set().union(*cut) - self.memo.keys(), " ")
-        out, get = [], self.memo.__getitem__
+        if len(self.new) > MEMO:
+            self.new, self.old = {}, self.new
+        if len(self.heads) > MEMO // 4:
+            self.heads = {}
+        heads = [c.pop(0) for c in cut]
+        unknown = set(heads) - self.heads.keys()
+        self.heads.update((h, self.whole(h) if h == h.strip() else None) for h in unknown)
+        self._learn(set().union(*cut) - self.new.keys())
+        out, get = [], self.new.__getitem__
         for text, head, rest in zip(texts, heads, cut, strict=True):
             try:
                 ids = self.heads[head] + b"".join(map(get, rest)) if text else b""
             except TypeError:  # a piece with white space at an end
-                ids = next(self._ids([text]))
+                ids = self.whole(text)
             out.append(np.frombuffer(ids, self.dtype))
         return out
 
