@@ -23,6 +23,8 @@ from millrace.llm import hashing
 from millrace.llm.tokens import encoder
 
 BUCKETS, DIMS, BITS = 512, 3, 10
+#: Rows whose keys set the bounds of the ranges, about.
+SAMPLE = 200_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -64,14 +66,25 @@ def keys(texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text and curve_key."""
+def _keyed(docs: DataFrame, bounds: list[int]) -> DataFrame:
+    """doc_id, text, curve_key, tie and range: the number of the stretch of the curve between the bounds. A key that several bounds share is dealt over all their stretches."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "curve_key": keys(b.column("text"))})
+            key, tie = keys(b.column("text")), b.column("tie").to_numpy()
+            low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "tie": b.column("tie"), "curve_key": key, "range": (low + tie % (high - low + 1)).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(add, "doc_id long, text string, curve_key long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id").alias("tie")).mapInArrow(add, "doc_id long, text string, tie long, curve_key long, range int")
+
+
+def along_curve(docs: DataFrame) -> DataFrame:
+    """The documents, range-sorted along the curve. A sample of about SAMPLE rows or fewer sets the bounds, which steer the balance of tasks alone."""
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one_in = max(32, docs.count() // SAMPLE)
+    sample = _keyed(docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(one_in)) == 0), [])
+    at = sample.agg(F.percentile_approx("curve_key", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10_000)).first()[0] if ranges > 1 else None
+    return _keyed(docs, at or []).repartitionById(ranges, F.col("range")).sortWithinPartitions("curve_key", "tie", "text")
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0) -> DataFrame:
@@ -100,9 +113,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0)
                 columns = list(zip(*out, strict=True))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 8 + [pa.binary()], strict=True)], names=NAMES)
 
-    ordered = with_keys(docs).withColumn("tie", F.xxhash64("doc_id"))
-    ordered = ordered.repartitionByRange("curve_key", "tie").sortWithinPartitions("curve_key", "tie", "text").drop("tie")
-    return ordered.mapInArrow(fill, ", ".join(f"{n} long" for n in NAMES[:-1]) + ", ids binary")
+    return along_curve(docs).select("doc_id", "text", "curve_key").mapInArrow(fill, ", ".join(f"{n} long" for n in NAMES[:-1]) + ", ids binary")
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key", "ids"]
