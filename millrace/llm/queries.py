@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, line_crf, ngram_join, packing, quality_rules, sharding, token_files
+from millrace.llm import byte_bpe, line_crf, line_templates, ngram_join, packing, quality_rules, sharding, token_files
 from millrace.llm.common import documents, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCABULARY, 1024).drop("ids", "curve_key")
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.coalesce("dropped_lines", F.array().cast("array<int>"))
+    marked = line_templates.marked(documents(spark, sf_dir).select("doc_id", "text"))
+    return marked.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_dropped"), F.array_join(gone.cast("array<string>"), ",").alias("dropped_lines"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     return token_files.read(token_files.write(documents(spark, sf_dir), path, VOCABULARY), path)
@@ -48,6 +54,6 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op9_ngram_join": op9_ngram_join, "op10_line_crf": op10_line_crf}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_line_templates": op2_line_templates, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op9_ngram_join": op9_ngram_join, "op10_line_crf": op10_line_crf}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_templates": line_templates.ORACLE}
