@@ -1,8 +1,50 @@
 """Documents -> quality rules -> quality classifier -> line dedup -> n-gram Jaccard join -> packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import line_crf, line_templates, ngram_join, packing, quality_rules
+from millrace.llm.common import documents, stored
+from millrace.llm.queries import VOCABULARY
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base test and the learned decision list keep."""
+    learned = quality_rules.learn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(docs, learned).where("kept").select(docs.columns)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-level random field scores as good; it learns from labelled documents of the whole corpus."""
+    model = line_crf.learn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_crf.score(docs, model).where(F.col("score") >= line_crf.GOOD).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines whose template recurs."""
+    return line_templates.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones."""
+    return ngram_join.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens along the curve."""
+    return packing.pack(docs, VOCABULARY, 1024)
+
+
+STAGES = [("quality rules", rules), ("quality classifier", classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("packing", pack)]
+
+#: SQL cannot express learned scores, Hilbert keys or byte-level BPE.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
