@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, line_crf, line_templates, ngram_join, packing, quality_rules, sharding, token_files
+from millrace.llm import byte_bpe, line_crf, line_templates, ngram_join, packing, quality_rules, sharding, token_files, url_cascade
 from millrace.llm.common import documents, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,6 +29,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), path, VOCABULARY), path)
 
 
+def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_cascade.judge(pages, url_cascade.listing(spark, url_cascade.RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -54,6 +59,6 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_line_templates": op2_line_templates, "op3_token_files": op3_token_files, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op9_ngram_join": op9_ngram_join, "op10_line_crf": op10_line_crf}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_line_templates": op2_line_templates, "op3_token_files": op3_token_files, "op4_url_cascade": op4_url_cascade, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op9_ngram_join": op9_ngram_join, "op10_line_crf": op10_line_crf}
 
-ORACLES: dict[str, str] = {"op2_line_templates": line_templates.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_cascade": url_cascade.ORACLE, "op2_line_templates": line_templates.ORACLE}
