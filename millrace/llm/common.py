@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,19 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def importable(query):
+    """query(spark, ...), with this package's folder on the path of Python workers on machines that have it (elsewhere, submit with --py-files)."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *rest):
+        root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in held.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [root, held]))
+        return query(spark, *rest)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, line_crf, line_templates, ngram_join, packing, quality_rules, sharding, token_files, url_cascade
-from millrace.llm.common import documents, scratch_path
+from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sharding, token_files, url_cascade
+from millrace.llm.common import documents, importable, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = image_copies.drawn(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return image_copies.copies(media, "vec_id", "image").withColumnRenamed("id", "vec_id")
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -59,6 +64,8 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_line_templates": op2_line_templates, "op3_token_files": op3_token_files, "op4_url_cascade": op4_url_cascade, "op5_decision_list": op5_decision_list, "op6_byte_bpe": op6_byte_bpe, "op8_feistel_shards": op8_feistel_shards, "op9_ngram_join": op9_ngram_join, "op10_line_crf": op10_line_crf}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: importable(f) for f in (op1_packing, op2_line_templates, op3_token_files, op4_url_cascade, op5_decision_list, op6_byte_bpe, op7_image_copies, op8_feistel_shards, op9_ngram_join, op10_line_crf)
+}
 
 ORACLES: dict[str, str] = {"op4_url_cascade": url_cascade.ORACLE, "op2_line_templates": line_templates.ORACLE}
