@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_crf, line_templates, ngram_join, packing, quality_rules
-from millrace.llm.common import documents, stored
+from millrace.llm.common import documents, importable, stored
 from millrace.llm.queries import VOCABULARY
 
 
@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, VOCABULARY, 1024)
 
 
-STAGES = [("quality rules", rules), ("quality classifier", classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("packing", pack)]
+STAGES = [("quality rules", importable(rules)), ("quality classifier", importable(classifier)), ("line dedup", importable(line_dedup)), ("n-gram Jaccard join", importable(near_duplicates)), ("packing", importable(pack))]
 
 #: SQL cannot express learned scores, Hilbert keys or byte-level BPE.
 ORACLE_SQL = None
