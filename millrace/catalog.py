@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from millrace.plans import marts  # noqa: F401
+from millrace.plans import marts, relational  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
