@@ -49,7 +49,8 @@ class Feistel:
 
     def _walks(self) -> int:
         """The most passes that any number below n needs after its first. Only the numbers from n to a * b, at most about sqrt(n), walk on."""
-        outside, most = np.arange(self.n, self.a * self.b, dtype=np.int64), 0
+        beyond, most = np.arange(self.n, self.a * self.b if self.n else 0, dtype=np.int64), 0
+        outside = np.setdiff1d(beyond, self.once(beyond))  # reached from a number below n; the others are walked through, or lie on cycles of their own
         while len(outside):
             outside, most = self.once(outside), most + 1
             outside = outside[outside >= self.n]
