@@ -32,6 +32,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row as _row, so that new columns clash with none of the table's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ fitted on at most SAMPLE labelled documents, each line with its document's label
 is the mean of its lines' forward-backward marginals, weighted by their words. A logistic curve, fitted on the same rows, makes the score.
 
 Nulls: a null text is empty. A text without words has no line and the score 0. A null label is no label. Repeated rows are scored alike.
-Empty table: no row. No labelled rows of both kinds: every text with words scores 1. Other columns are kept.
+Empty table: no row. No labelled rows of both kinds: every text with words scores 1. Other columns are kept (score() replaces a column score).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.llm import hashing
+from millrace.llm.common import nested
 
 #: Labelled documents to learn from at most; those with the least hashes of doc_id are taken.
 SAMPLE = 6_000
@@ -208,5 +209,10 @@ def score(docs: DataFrame, model: LineCrf) -> DataFrame:
     return held.mapInArrow(add, StructType([*held.schema.fields, StructField("score", DoubleType())]))
 
 
+def kept(docs: DataFrame, model: LineCrf) -> DataFrame:
+    """The documents that score as good, with their own columns alone."""
+    return score(nested(docs), model).where(F.col("score") >= GOOD).select("_row.*")
+
+
 #: Least score of a document that is predicted to be good.
 GOOD = 0.7

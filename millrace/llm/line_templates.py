@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WHITE, let, stored
+from millrace.llm.common import WHITE, let, nested, stored
 
 MIN_DOCS, MIN_LEFT, STRETCHES, LEAST_WORDS = 2, 0.2, 4, 8
 
@@ -73,9 +73,9 @@ def marked(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents without recurring lines; documents of which too little is left go."""
-    df = marked(docs, min_docs)
+    df = marked(nested(docs), min_docs)
     kept = df.where(F.col("kept_text").isNull() | ((F.length("kept_text") >= min_left * F.length("text")) & F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")))
-    return kept.withColumn("text", F.coalesce("kept_text", "text")).select(docs.columns)
+    return kept.select(*[F.coalesce("kept_text", "text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same by strings in place of hashes: line numbers dropped of each document.

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let, native_words, stored
+from millrace.llm.common import let, native_words, nested, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows to learn from at most; the rows with the least hashes of doc_id are taken.
@@ -104,6 +104,8 @@ def fit(rows: DataFrame, features: list[str] = FEATURES, most_rules: int = 10, m
     spread = rows.agg(*[F.percentile_approx(f, F.array(*map(F.lit, quantiles)), 2000).alias(f) for f in features], *[F.percentile_approx(F.when(F.col("bad"), F.col(f)), F.array(*map(F.lit, quantiles)), 2000).alias(f"bad_{f}") for f in features]).first()
     cuts = {f: sorted({*(spread[f] or []), *(spread[f"bad_{f}"] or []), *(v + 1 for v in spread[f] or [])}) for f in features}
     found, left = DecisionList(), F.lit(True)
+    if not any(cuts.values()):
+        return found
     for _ in range(most_rules):
         rule = _grow(rows.where(left), features, cuts, most_tests)
         if not rule:
@@ -161,3 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionL
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """docs with the base statistics, base_failed and kept, in one pass without a shuffle."""
     return statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rules.bad()))
+
+
+def kept(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The documents that base test and rules keep, with their own columns alone."""
+    return judge(nested(docs), rules).where("kept").select("_row.*")
