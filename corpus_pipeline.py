@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import line_crf, line_templates, ngram_join, packing, quality_rules
 from millrace.llm.common import documents, importable, stored
@@ -13,13 +12,13 @@ from millrace.llm.queries import VOCABULARY
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base test and the learned decision list keep."""
     learned = quality_rules.learn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, learned).where("kept").select(docs.columns)
+    return quality_rules.kept(docs, learned)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-level random field scores as good; it learns from labelled documents of the whole corpus."""
     model = line_crf.learn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return line_crf.score(docs, model).where(F.col("score") >= line_crf.GOOD).select(docs.columns)
+    return line_crf.kept(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
