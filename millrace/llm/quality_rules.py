@@ -4,8 +4,8 @@ fit() grows rules that predict a bad document by sequential covering: each rule
 grown test by test for the best FOIL gain over a grow part of the labelled rows, then pruned from its end against the other part. Rules are
 ordered; the list becomes one conditional expression. Counting is done by Spark: each step groups the labelled rows by (statistic, bin, label).
 
-Nulls: a null text has no words; a null label is no label. Empty and wordless texts fail the base test. Ties between tests go to the first statistic and the
-lower threshold. Repeated rows count as often as they stand. Empty tables give an empty list, which rejects nothing beyond the base test.
+Nulls: a null text has no words; a null label is no label. Empty and wordless texts fail the base test. Ties between tests go to the first statistic; of thresholds that part the rows alike
+the middle one is taken. Repeated rows count as often as they stand. Empty tables give an empty list, which rejects nothing beyond the base test.
 """
 
 from __future__ import annotations
@@ -135,11 +135,14 @@ def _grow(rows: DataFrame, features: list[str], cuts: dict, most_tests: int) ->
         for f in features:
             own = {r.bin: (r.p, r.n) for r in counts if r.f == f}
             p = n = 0
+            spans: dict[tuple[str, int, int], list[int]] = {}
             for k, cut in enumerate(cuts[f]):
                 p, n = p + own.get(k, (0, 0))[0], n + own.get(k, (0, 0))[1]
-                for sign, a, b in (("<", p, n), (">=", total[0] - p, total[1] - n)):
-                    if a and (g := a * (math.log2(a / (a + b)) - math.log2(total[0] / sum(total)))) > gain:
-                        best, gain = (f, sign, cut), g
+                spans.setdefault(("<", p, n), []).append(cut)
+                spans.setdefault((">=", total[0] - p, total[1] - n), []).append(cut)
+            for (sign, a, b), same in spans.items():
+                if a and (g := a * (math.log2(a / (a + b)) - math.log2(total[0] / sum(total)))) > gain:
+                    best, gain = (f, sign, (same[0] + same[-1] + 1) // 2), g  # the middle of the gap between the kinds
         if not best:
             break
         rule.append(best)
