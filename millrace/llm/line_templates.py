@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import WHITE, let, nested, stored
 
-MIN_DOCS, MIN_LEFT, STRETCHES, LEAST_WORDS = 2, 0.2, 4, 8
+MIN_DOCS, MIN_LEFT, STRETCHES, LEAST_WORDS = 2, 0.5, 4, 8
 
 
 def _keys(words: Column) -> Column:
