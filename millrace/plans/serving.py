@@ -105,9 +105,8 @@ FORBIDDEN = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncat
 def guarded_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], limit: int = 500) -> tuple[DataFrame, list[str]]:
     """One SELECT over the given tables alone, at most limit rows; and why it was refused otherwise (then the frame is empty).
 
-    The text is analysed in a session of its own that knows nothing but these views, so any other name fails to resolve. limit + 1 rows tell the caller whether some are missing.
+    Names after FROM and JOIN must be those tables or the query's own WITH names; anything else is refused before Spark sees the text. limit + 1 rows tell the caller whether some are missing.
     """
-    own = spark.newSession()
     plain = re.sub(r"'(?:[^']|'')*'", "''", text).strip().rstrip(";")
     reasons = [w for w, bad in (("one statement", ";" in plain), ("a query", not re.match(r"(?is)(select|with|\()", plain)), ("reading only", FORBIDDEN.search(plain)), ("tables by name", re.search(r"(?i)\b(parquet|csv|json|orc|text|binaryfile|delta)\s*\.\s*`", plain)), ("no table functions", re.search(r"(?i)\b(range|read_files|explode_outer)\s*\(", plain) and re.search(r"(?i)from\s+(range|read_files)\s*\(", plain))) if bad]
     if reasons:
@@ -119,7 +118,7 @@ def guarded_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], li
         scoped = re.sub(rf"(?i)\b(from|join)(\s+){name}\b", rf"\1\2guarded_{name}", scoped)
     named = {m[1].lower() for m in re.finditer(r"(?i)\b(?:from|join)\s+([\w.`]+)", scoped)} - {m[1].lower() for m in re.finditer(r"(?i)\b(?:with|,)\s*(\w+)\s+as\s*\(", scoped)}
     if unknown := sorted(n for n in named if n not in {f"guarded_{t}" for t in tables}):
-        return own.createDataFrame([], "refused string"), [f"unknown table {n}" for n in unknown]
+        return spark.createDataFrame([], "refused string"), [f"unknown table {n}" for n in unknown]
     return spark.sql(f"SELECT * FROM ({scoped}) LIMIT {limit + 1}"), []
 
 
