@@ -14,15 +14,28 @@ from pyspark.sql import functions as F
 #: ASCII white space: the characters that part words, as everywhere in this folder.
 WHITE = " \t\n\x0b\x0c\r"
 
+ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name for a new column that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def importable(query):
-    """query(spark, ...), with this package's folder on the path of Python workers on machines that have it (elsewhere, submit with --py-files)."""
+    """query(spark, ...), with this package's folder on the path of Python workers on machines that have it (elsewhere, submit with --py-files), and with
+    Arrow batches of at most BATCH rows unless the session sets fewer: whole texts are long, and a batch stands in memory on both sides."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, *rest):
         root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
         if root not in held.split(":"):
             spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [root, held]))
+        if not 0 < int(spark.conf.get(ROWS)) <= BATCH:
+            spark.conf.set(ROWS, str(BATCH))
         return query(spark, *rest)
 
     return run

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.llm import hashing
-from millrace.llm.common import nested
+from millrace.llm.common import free_name
 
 #: Labelled documents to learn from at most; those with the least hashes of doc_id are taken.
 SAMPLE = 6_000
@@ -197,21 +197,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCrf:
     return fit(np.array(got.x.tolist()), got.doc_id.to_numpy(), got.good.to_numpy(), got.words.to_numpy())
 
 
-def score(docs: DataFrame, model: LineCrf) -> DataFrame:
-    """docs with a column score."""
-    held = docs.drop("score")
+def score(docs: DataFrame, model: LineCrf, name: str = "score") -> DataFrame:
+    """docs with the score in a column of that name, which replaces one of the table's own."""
+    held = docs.drop(name)
     names = held.columns
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(names.index("text"))))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(names.index("text"))))], names=[*b.schema.names, name])
 
-    return held.mapInArrow(add, StructType([*held.schema.fields, StructField("score", DoubleType())]))
+    return held.mapInArrow(add, StructType([*held.schema.fields, StructField(name, DoubleType())]))
 
 
 def kept(docs: DataFrame, model: LineCrf) -> DataFrame:
     """The documents that score as good, with their own columns alone."""
-    return score(nested(docs), model).where(F.col("score") >= GOOD).select("_row.*")
+    name = free_name(docs, "score")
+    return score(docs, model, name).where(F.col(name) >= GOOD).drop(name)
 
 
 #: Least score of a document that is predicted to be good.
