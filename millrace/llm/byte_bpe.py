@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from millrace.llm.tokens import Encoder, vocabulary
+from millrace.llm import hashing
+from millrace.llm.tokens import TOGETHER, Encoder, vocabulary
 
 
 def byte_characters() -> list[str]:
@@ -90,7 +91,7 @@ def encode(docs: DataFrame, name: str, offsets: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(name)
-        for rows in _pieces(batches):
+        for rows in _texts(batches):
             texts = rows.column("text").to_pylist()
             ids = own.encode(texts)
             out = {"doc_id": rows.column("doc_id"), "ids": _lists(ids, pa.int32())}
@@ -115,6 +116,12 @@ def decode(encoded: DataFrame, name: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, to, _, _ in hashing.slices(batch.column("text"), TOGETHER):
+            yield batch.slice(row, to - row)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import hashing
-from millrace.llm.tokens import encoder
+from millrace.llm.tokens import TOGETHER, encoder
 
 BUCKETS, DIMS, BITS = 512, 3, 10
 #: Rows whose keys set the bounds of the ranges, about.
@@ -98,8 +98,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0)
         first, end = TaskContext.get().partitionId() << 40, np.array([end_id], coder.dtype).tobytes()
         size = coder.dtype.itemsize
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
+            for row, to, _, _ in hashing.slices(batch.column("text"), TOGETHER):
+                part = batch.slice(row, to - row)
                 out: list[tuple] = []
                 docs_ids, curve = part.column("doc_id").to_pylist(), part.column("curve_key").to_pylist()
                 for doc, key, ids in zip(docs_ids, curve, coder.encode(part.column("text").to_pylist()), strict=True):

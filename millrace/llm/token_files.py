@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import hashing
 from millrace.llm.common import stored
-from millrace.llm.tokens import encoder
+from millrace.llm.tokens import TOGETHER, encoder
 
 SEQUENCES = 256
 
@@ -76,8 +77,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, length: int = 2048, end_i
         own, name = f"{folder}/.{part:06d}-{uuid.uuid4().hex}", f"part-{part:06d}"
         end, ids_of, sizes, writer, sink = np.array([end_id], coder.dtype), [], [], None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
+            for row, to, _, _ in hashing.slices(batch.column("text"), TOGETHER):
+                rows = batch.slice(row, to - row)
                 if writer is None:
                     writer = _Writer(sink := fs.open_output_stream(own), length, coder.dtype)
                 for ids in coder.encode(rows.column("text").to_pylist()):

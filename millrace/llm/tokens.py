@@ -14,7 +14,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces that a memo holds before it grows old; an old memo still answers until the next one has grown (about 100 MB each).
-MEMO = 300_000
+MEMO = 500_000
+#: Bytes of text that are encoded together.
+TOGETHER = 4 << 20
 
 
 def vocabulary(name: str) -> str:
