@@ -1,8 +1,8 @@
 """Operator 7: cropped and edited copies of images, by local descriptors.
 
 Each image (PGM or PPM bytes) gives corners on several scales (the least eigenvalue of the structure tensor, its local maxima), each with an orientation (the
-centroid of its patch) and 256 binary brightness tests turned by it. Descriptors meet in four Hamming tables, by 64 of their bits each: within a bucket, every
-image is paired with the bucket's first and last corner, so pairs grow with the descriptors and not with the square of a bucket. A pair's matches vote for a
+centroid of its patch) and 256 binary brightness tests turned by it. Descriptors meet in four Hamming tables, by 64 of their bits each; large buckets are parted
+into blocks, and each pair of blocks is a cell of bounded size in which all descriptors of different images are paired. A pair's matches vote for a
 similarity transform (turn, scale, shift); images are linked if VOTES distinct corners agree. Links are joined to connected components.
 
 Nulls: a null, empty or unreadable image has no corner and is its own class. A null id takes no part (class_id null, n_links 0). Equal bytes are one image from the start. Ties: the least id.
@@ -23,6 +23,8 @@ from millrace.llm.common import stored
 from millrace.llm.components import components
 
 SCALES, CORNERS, RADIUS, VOTES = (1.0, 0.7071, 0.5), 20, 9, 5
+#: Descriptors in a block of a bucket, and rows judged together, about; what tells cells apart.
+CELL, READ, CELL_OF = 512, 100_000, ("bucket", "p", "q")
 #: Width of a vote: degrees, octaves, pixels of the unscaled image.
 TURN, OCTAVE, SHIFT = 30, 0.5, 6
 
@@ -129,17 +131,61 @@ def described(media: DataFrame, id_column: str, image: str) -> DataFrame:
     return media.select(F.col(id_column).cast("long").alias("id"), F.col(image).alias("image")).mapInArrow(run, "id long, sha binary, full boolean, corners array<struct<x: float, y: float, scale: float, turn: float, parts: array<long>>>")
 
 
+def _met(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows of one cell that are of different images, in parts no longer than the rows. Rows are sorted by cell."""
+    cell = [rows[c] for c in CELL_OF]
+    start = np.ones(len(cell[0]), bool)
+    start[1:] = np.any([c[1:] != c[:-1] for c in cell], axis=0)
+    end = np.append(np.flatnonzero(start)[1:], len(start))[np.cumsum(start) - 1]
+    at, step = np.arange(len(start)), 1
+    while len(at := at[at + step < end[at]]):
+        near = at[rows["id"][at] != rows["id"][at + step]]
+        near = near[(rows["p"][near] == rows["q"][near]) | (rows["block"][near] != rows["block"][near + step])]
+        yield near, near + step
+        step += 1
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and their corners of the pairs in each cell; cells stand one after another."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def judged(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, j in _met(rows):
+            swap = rows["id"][i] > rows["id"][j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.record_batch([pa.array(rows[c][k]) for c in ("id", "corner") for k in (i, j)], names=["a", "b", "corner_a", "corner_b"])
+
+    def joined() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+    for batch in batches:
+        held.append({c: batch.column(c).to_numpy() for c in batch.schema.names})
+        if sum(len(x["id"]) for x in held) < READ:
+            continue
+        rows = joined()
+        last = np.flatnonzero(np.any([rows[c] != rows[c][-1] for c in CELL_OF], axis=0))
+        if not len(last):
+            continue
+        cut = int(last[-1]) + 1
+        yield from judged({c: x[:cut] for c, x in rows.items()})
+        held = [{c: x[cut:] for c, x in rows.items()}]
+    if held:
+        yield from judged(joined())
+
+
 def matched(corners_of: DataFrame, votes: int = VOTES) -> DataFrame:
     """Pairs (a, b) of images whose matches agree on a transform, and the number of corners of b that agree."""
-    # dealt by bucket once: the ends of a bucket and its rows share that exchange
-    keyed = corners_of.select("id", "corner", F.posexplode("parts").alias("table", "part")).select("id", "corner", F.xxhash64("table", "part").alias("bucket")).repartition("bucket")
-    place_of = F.struct("id", "corner")
-    ends = keyed.groupBy("bucket").agg(F.min(place_of).alias("low"), F.max(place_of).alias("high")).where("low.id < high.id")
-    met = keyed.join(ends, "bucket").select(F.explode(F.array("low", "high")).alias("end"), "id", "corner").where("end.id <> id")
-    # a pair with fewer matches than votes cannot win; a pair's matches are bounded by the corners of an image
-    many = met.groupBy(F.col("end.id").alias("a"), F.col("id").alias("b")).agg(F.collect_set(F.struct(F.col("end.corner").alias("corner_a"), F.col("corner").alias("corner_b"))).alias("m")).where(F.size("m") >= votes)
-    pairs = many.select("a", "b", F.inline("m"))
+    keyed = corners_of.select("id", "corner", F.posexplode("parts").alias("table", "part")).select("id", "corner", F.xxhash64("table", "part").alias("bucket"))
+    # only buckets above a cell's size are parted, into pairs of blocks; all others are one cell
+    large = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
+    cells = keyed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "corner"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "corner")
+    met = cells.repartition(*CELL_OF).sortWithinPartitions(*CELL_OF).mapInArrow(_paired, "a long, b long, corner_a int, corner_b int")
+    # a pair with fewer matches than votes cannot win
+    many = met.groupBy("a", "b").agg(F.collect_set(F.struct("corner_a", "corner_b")).alias("m")).where(F.size("m") >= votes)
     place = lambda x: corners_of.select(F.col("id").alias(x), F.col("corner").alias(f"corner_{x}"), *[F.col(c).cast("double").alias(f"{c}_{x}") for c in ("x", "y", "scale", "turn")])
+    pairs = many.select("a", "b", F.inline("m"))
     pairs = pairs.join(place("a"), ["a", "corner_a"]).join(place("b"), ["b", "corner_b"])
     turn = F.pmod(F.col("turn_b") - F.col("turn_a"), F.lit(360.0))
     size = F.col("scale_a") / F.col("scale_b")

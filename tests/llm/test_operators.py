@@ -359,3 +359,24 @@ def test_image_copies(spark):
         assert got[100 + i].class_id == i and got[i].n_links == 1
     assert got[200].class_id == 7 and got[7].n_links == 1 and all(got[i].class_id == i and got[i].n_links == 0 for i in (6, 8, 9, 10, 11, 300, 301, 302, 303))
     assert got[None].class_id is None and image_copies.copies(table.limit(0)).count() == 0
+
+
+def test_image_pairs_between_strangers(spark, monkeypatch):
+    """Images 5 to 7 are copies; every bucket they share begins and ends with a corner of a stranger."""
+    rng = np.random.default_rng(1)
+    places, parts = rng.uniform(0, 90, (6, 2)), rng.integers(-(2**62), 2**62, (6, 4))
+    rows = [(i, k, *(places[k] if 5 <= i <= 7 else rng.uniform(0, 900, 2)).tolist(), 1.0, 0.0 if 5 <= i <= 7 else 60.0 * k, parts[k].tolist()) for i in (1, 2, 5, 6, 7, 12, 13) for k in range(6)]
+    table = spark.createDataFrame(rows, "id long, corner int, x float, y float, scale float, turn float, parts array<long>")
+    for size in (512, 2):
+        monkeypatch.setattr(image_copies, "CELL", size, raising=False)
+        assert {(r.a, r.b): r.agree for r in image_copies.matched(table).collect()} == {(5, 6): 6, (5, 7): 6, (6, 7): 6}
+
+
+def test_image_cells_over_batches(monkeypatch):
+    """Cells that reach over Arrow batches give all their pairs once, whether or not a batch's columns may be null."""
+    monkeypatch.setattr(image_copies, "READ", 7)
+    bucket = np.repeat([1, 2, 3, 4], [5, 1, 12, 2])
+    rows = {"bucket": bucket, "p": np.zeros(20, np.int32), "q": np.zeros(20, np.int32), "block": np.zeros(20, np.int32), "id": np.arange(20)[::-1], "corner": np.zeros(20, np.int32)}
+    batches = [pa.record_batch([pa.array(x[k : k + 4]) for x in rows.values()], pa.schema([pa.field(c, pa.from_numpy_dtype(x.dtype), k < 8) for c, x in rows.items()])) for k in range(0, 20, 4)]
+    got = [(r["a"], r["b"]) for out in image_copies._paired(iter(batches)) for r in out.to_pylist()]
+    assert sorted(got) == [(a, b) for a in range(20) for b in range(a + 1, 20) if bucket[19 - a] == bucket[19 - b]]
