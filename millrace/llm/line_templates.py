@@ -6,8 +6,8 @@ variable field. Lines under one child share a template. A template that recurs i
 but for its first line, by (doc_id, line number), so its words stay in the corpus once.
 
 Nulls: a null text has no lines; lines under a null doc_id are neither counted nor dropped. Lines without words stay. Repeated rows are one document; rows of one doc_id
-with different texts are judged apart, but do not make a template recur. Empty table: no row. A document that keeps less than MIN_LEFT of its characters is a
-copy of others' lines; dedup() leaves it out. Other columns are kept.
+with different texts are judged apart, but do not make a template recur. Empty table: no row. dedup() leaves out a document only if no
+word of it is left. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import WHITE, let, nested, stored
 
-MIN_DOCS, MIN_LEFT, STRETCHES, LEAST_WORDS = 2, 0.5, 4, 8
+MIN_DOCS, STRETCHES, LEAST_WORDS = 2, 4, 8
 
 
 def _keys(words: Column) -> Column:
@@ -71,10 +71,10 @@ def marked(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return df.withColumns({"kept_text": F.when(F.col("dropped_lines").isNotNull(), rest), "n_lines": n.cast("long")})
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """The documents without recurring lines; documents of which too little is left go."""
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents without recurring lines; documents of which no word is left go."""
     df = marked(nested(docs), min_docs)
-    kept = df.where(F.col("kept_text").isNull() | ((F.length("kept_text") >= min_left * F.length("text")) & F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")))
+    kept = df.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.coalesce("kept_text", "text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
