@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,21 +106,27 @@ FORBIDDEN = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncat
 def guarded_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], limit: int = 500) -> tuple[DataFrame, list[str]]:
     """One SELECT over the given tables alone, at most limit rows; and why it was refused otherwise (then the frame is empty).
 
-    Names after FROM and JOIN must be those tables or the query's own WITH names; anything else is refused before Spark sees the text. limit + 1 rows tell the caller whether some are missing.
+    The text runs as it stands in a session that holds those tables as its only views; Spark's analyzer refuses other names, and a table of the catalog
+    refuses the query. limit + 1 rows tell the caller whether some are missing.
     """
-    plain = re.sub(r"'(?:[^']|'')*'", "''", text).strip().rstrip(";")
-    reasons = [w for w, bad in (("one statement", ";" in plain), ("a query", not re.match(r"(?is)(select|with|\()", plain)), ("reading only", FORBIDDEN.search(plain)), ("tables by name", re.search(r"(?i)\b(parquet|csv|json|orc|text|binaryfile|delta)\s*\.\s*`", plain)), ("no table functions", re.search(r"(?i)\b(range|read_files|explode_outer)\s*\(", plain) and re.search(r"(?i)from\s+(range|read_files)\s*\(", plain))) if bad]
+    text = text.strip().rstrip(";")
+    plain = re.sub(r"(?s)'(?:[^'\\]|\\.|'')*'", "''", text)  # for the checks alone
+    reasons = [w for w, bad in (("one statement", ";" in plain), ("a query", not re.match(r"(?is)(select|with|\()", plain)), ("reading only", FORBIDDEN.search(plain)), ("tables by name", re.search(r"(?i)\b(parquet|csv|json|orc|text|binaryfile|delta)`?\s*\.\s*`", plain)), ("no table functions", re.search(r"(?i)\b(range|read_files|explode_outer)\s*\(", plain) and re.search(r"(?i)from\s+(range|read_files)\s*\(", plain))) if bad]
     if reasons:
         return spark.createDataFrame([], "refused string"), reasons
+    own, held = spark.newSession(), set()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    stored = lambda df: set(re.findall(r"SubqueryAlias (spark_catalog\.\S+)", df._jdf.queryExecution().analyzed().toString()))
     for name, df in tables.items():
-        df.createOrReplaceTempView(f"guarded_{name}")
-    scoped = plain
-    for name in tables:
-        scoped = re.sub(rf"(?i)\b(from|join)(\s+){name}\b", rf"\1\2guarded_{name}", scoped)
-    named = {m[1].lower() for m in re.finditer(r"(?i)\b(?:from|join)\s+([\w.`]+)", scoped)} - {m[1].lower() for m in re.finditer(r"(?i)\b(?:with|,)\s*(\w+)\s+as\s*\(", scoped)}
-    if unknown := sorted(n for n in named if n not in {f"guarded_{t}" for t in tables}):
+        spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical()).createOrReplaceTempView(name)
+        held |= stored(df)
+    try:
+        found = own.sql(f"SELECT * FROM (\n{text}\n) LIMIT {limit + 1}")
+    except (AnalysisException, ParseException) as e:
+        return spark.createDataFrame([], "refused string"), [str(e).splitlines()[0]]
+    if unknown := sorted(stored(found) - held):
         return spark.createDataFrame([], "refused string"), [f"unknown table {n}" for n in unknown]
-    return spark.sql(f"SELECT * FROM ({scoped}) LIMIT {limit + 1}"), []
+    return found, []
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")

@@ -181,6 +181,21 @@ def test_guard_serves(spark):
     assert not why and df.first().n == 2
 
 
+def test_guard_runs_the_text_as_it_stands(spark):
+    t = spark.createDataFrame([(1, "O"), (2, "F"), (3, "it's")], "k int, s string")
+    ask = lambda text: serving.guarded_sql(spark, text, {"t": t})
+    df, why = ask("SELECT k, 'drop; me' AS x FROM t WHERE s = 'O'")
+    assert not why and [tuple(r) for r in df.collect()] == [(1, "drop; me")]
+    assert [r.k for r in ask("SELECT k FROM t WHERE s IN ('it''s', 'it\\'s') -- end")[0].collect()] == [3]
+    spark.range(2).createOrReplaceTempView("other_view")
+    assert ask("SELECT * FROM t, other_view")[1]
+    spark.sql("CREATE TABLE guarded_secret USING parquet AS SELECT 1 AS k")
+    try:
+        assert ask("SELECT t.k FROM t, guarded_secret")[1] and ask("SELECT t.k FROM t, default.guarded_secret")[1]
+    finally:
+        spark.sql("DROP TABLE guarded_secret")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
