@@ -7,7 +7,7 @@ but for its first line, by (doc_id, line number), so its words stay in the corpu
 
 Nulls: a null text has no lines; lines under a null doc_id are neither counted nor dropped. Lines without words stay. Repeated rows are one document; rows of one doc_id
 with different texts are judged apart, but do not make a template recur. Empty table: no row. dedup() leaves out a document only if no
-word of it is left. Other columns are kept.
+word of it is left, and takes a template only if half of its words are fixed (strict): other lines recur by their exact words. op2 and its SQL have no such bound. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from millrace.llm.common import WHITE, let, nested, stored
 MIN_DOCS, STRETCHES, LEAST_WORDS = 2, 4, 8
 
 
-def _keys(words: Column) -> Column:
-    """The template keys of a line's words: pairs of hashes, 96 bits together."""
+def _keys(words: Column, raw: Column | None = None) -> Column:
+    """The template keys of a line's words: pairs of hashes, 96 bits together. With raw, the unmasked words, templates of which less than half is fixed
+    do not count, and a line whose words are mostly masked has the key of its raw words."""
 
     def of(w: Column) -> Column:
         n = F.size(w)
@@ -36,20 +37,39 @@ def _keys(words: Column) -> Column:
 
         return F.when(n >= LEAST_WORDS, let(F.array(*parts), children)).otherwise(F.array(whole))
 
-    return let(words, of)
+    if raw is None:
+        return let(words, of)
 
+    def fixed(x: Column) -> Column:
+        return F.size(F.filter(x, lambda y: y != "<*>"))
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, line (from 0) and keys of each line with a word."""
+    def strict(x: Column) -> Column:
+        w, n = x["w"], F.size(x["w"])
+        cut = [F.lit(2) + F.floor((n - 2) * k / STRETCHES).cast("int") for k in range(STRETCHES + 1)]
+        enough = [2 * (fixed(w) - fixed(F.slice(w, cut[k] + 1, cut[k + 1] - cut[k]))) >= n for k in range(STRETCHES)]
+        whole = lambda y: F.struct(F.xxhash64(F.lit("raw"), F.size(y), F.xxhash64(y)).alias("a"), F.hash(y).alias("b"))
+        made = F.filter(of(w), lambda _, i: (i == 0) | F.get(F.array(*enough), i - 1))
+        return F.when(2 * fixed(w) >= n, F.when(fixed(w) == n, of(w)).otherwise(made)).otherwise(F.array(whole(x["r"])))
+
+    return let(F.struct(words.alias("w"), raw.alias("r")), strict)
+
+
+def lines(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """doc_id, text_id, line (from 0) and keys of each line with a word. strict: templates need fixed words, see _keys()."""
     text = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(F.col("text"))
     plain = F.translate(text, WHITE.replace("\n", "").replace(" ", ""), "    ")
+    if strict:
+        part = lambda c: F.array_remove(F.split(c, " "), "")
+        raw = F.split(F.translate("text", WHITE.replace("\n", "").replace(" ", ""), "    "), "\n")
+        cut = docs.where("doc_id is not null").select("doc_id", F.hash("text").alias("text_id"), F.posexplode(F.arrays_zip(F.split(plain, "\n").alias("w"), raw.alias("r"))).alias("line", "x"))
+        return cut.select("doc_id", "text_id", "line", part(F.col("x.w")).alias("w"), part(F.col("x.r")).alias("r")).where("size(w) > 0").select("doc_id", "text_id", "line", _keys(F.col("w"), F.col("r")).alias("keys"))
     cut = docs.where("doc_id is not null").select("doc_id", F.hash("text").alias("text_id"), F.posexplode(F.split(plain, "\n")).alias("line", "words"))
     return cut.select("doc_id", "text_id", "line", F.array_remove(F.split("words", " "), "").alias("words")).where("size(words) > 0").select("doc_id", "text_id", "line", _keys(F.col("words")).alias("keys"))
 
 
-def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, strict: bool = False) -> DataFrame:
     """doc_id, text_id and lines: the sorted numbers of the lines to drop, for documents that have such lines."""
-    each = stored(lines(docs), "lines")
+    each = stored(lines(docs, strict), "lines")
     keyed = each.select("doc_id", "text_id", "line", F.explode("keys").alias("k")).select("k.a", "k.b", "doc_id", "text_id", "line")
     place = F.struct("doc_id", "text_id", "line")
     if min_docs == 2:  # two documents: the least and the greatest differ
@@ -61,9 +81,9 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return met.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def marked(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def marked(docs: DataFrame, min_docs: int = MIN_DOCS, strict: bool = False) -> DataFrame:
     """docs with kept_text (null where no line goes), n_lines (with a word) and dropped_lines (null where no line goes)."""
-    gone = dropped(docs.select("doc_id", "text"), min_docs).withColumnsRenamed({"doc_id": "_doc_id", "text_id": "_text_id", "lines": "dropped_lines"})
+    gone = dropped(docs.select("doc_id", "text"), min_docs, strict).withColumnsRenamed({"doc_id": "_doc_id", "text_id": "_text_id", "lines": "dropped_lines"})
     df = docs.join(gone, (F.col("doc_id") == F.col("_doc_id")) & (F.hash("text") == F.col("_text_id")), "left").drop("_doc_id", "_text_id")
     cut = F.split("text", "\n")
     rest = let(cut, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("dropped_lines")), lambda i: F.get(x, i)), "\n"))
@@ -73,7 +93,7 @@ def marked(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents without recurring lines; documents of which no word is left go."""
-    df = marked(nested(docs), min_docs)
+    df = marked(nested(docs), min_docs, True)
     kept = df.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.coalesce("kept_text", "text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
