@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import remove_stored, stored
 
+#: A vertex with more neighbours than one in so many edges, and than LEAST, is a hub: there are at most twice so many hubs, each a row of two numbers.
+HUBS, LEAST = 50_000, 64
 
-def _least(both: DataFrame) -> DataFrame:
-    """u and the least of u and its neighbours."""
-    return both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
+def _with_least(both: DataFrame, edges: int) -> DataFrame:
+    """both (u, v) with m, the least of u and its neighbours. The edges of hubs meet their m by a broadcast where they lie, those of other vertices by a shuffle."""
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    bar = max(LEAST, edges // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > bar).select("u", "m"))
+    plain = both.join(F.broadcast(least.where(F.col("n") > bar).select("u")), "u", "left_anti").join(least.where(F.col("n") <= bar).select("u", "m"), "u")
+    return both.join(hubs, "u").unionByName(plain)
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     if large:
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    joined = down.join(_least(down), "u")
+        return _with_least(both, count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = _with_least(down, count)
     return joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: u and v (long, no nulls). Returns u and root, the least vertex of its component, for every u that is not its root."""
-    seen = None
+    edges = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    seen, n = None, edges.count()
     while True:
-        edges = stored(_star(_star(edges, True), False).where("u <> v").distinct(), "stars")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        new = stored(_star(_star(edges, True, n), False, n).where("u <> v").distinct(), "stars")
+        remove_stored(edges)
+        edges, now = new, new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return edges.groupBy("u").agg(F.min("v").alias("root"))
-        seen = now
+        seen, n = now, max(n, now[0])
