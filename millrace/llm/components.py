@@ -13,11 +13,11 @@ HUBS, LEAST = 50_000, 64
 
 def _with_least(both: DataFrame, edges: int) -> DataFrame:
     """both (u, v) with m, the least of u and its neighbours. The edges of hubs meet their m by a broadcast where they lie, those of other vertices by a shuffle."""
-    least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-    bar = max(LEAST, edges // HUBS)
-    hubs = F.broadcast(least.where(F.col("n") > bar).select("u", "m"))
-    plain = both.join(F.broadcast(least.where(F.col("n") > bar).select("u")), "u", "left_anti").join(least.where(F.col("n") <= bar).select("u", "m"), "u")
-    return both.join(hubs, "u").unionByName(plain)
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hub = F.col("n") > max(LEAST, edges // HUBS)
+    told = both.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
+    plain = told.where("hub_m is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
+    return told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(plain)
 
 
 def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:

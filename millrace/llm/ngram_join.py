@@ -137,10 +137,10 @@ def tries(classes: DataFrame, trees: int, depth: int, width: int, floor: int) ->
     return ordered.mapInArrow(company, "tree int, label binary, rep long, shared int")
 
 
-def sets(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """rep, n, w, labels and shingles (sorted, 64 bits each) of the classes with company in some trie."""
-    wanted = classes.join(found.select("rep").distinct(), "rep", "left_semi")
-    rows = wanted.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep")
+def sets(docs: DataFrame, classes: DataFrame, company: DataFrame) -> DataFrame:
+    """rep, n, w, labels and shingles (sorted, 64 bits each) of the classes with company in some trie. Texts of others go before texts are shuffled, as long as Spark broadcasts the
+    ids by their measured size; beyond, they go in the shuffle by rep that the join needs anyway."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(company, "rep", "left_semi").join(classes.join(company, "rep", "left_semi"), "rep")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,11 +254,11 @@ def _linked(cell: pa.Table, similar: np.ndarray) -> pa.RecordBatch | None:
     return pa.record_batch([pa.array(rep), pa.array(root), pa.array(weight.astype(np.int64)), pa.array(np.where(linked, similar, 2).min(axis=1))], names=["rep", "root", "links", "least"])
 
 
-def links(found: DataFrame, classes: DataFrame, own: DataFrame, threshold: float, trees: int, depth: int, width: int, level: int, above: int) -> DataFrame:
+def links(found: DataFrame, own: DataFrame, threshold: float, trees: int, depth: int, width: int, level: int, above: int) -> DataFrame:
     """rep, root, links and least of each class in each cell of the nodes at that level, of the pairs that share no prefix of `above` levels anywhere."""
     at = lambda p: F.substring("label", F.lit(1), F.lit(p * width))
     rows = found.where(F.col("shared") >= level).select("rep", "tree", F.xxhash64("tree", at(level)).alias("node"), at(min(above, depth)).alias("child"))
-    sized = rows.join(classes.select("rep", "n"), "rep")
+    sized = rows.join(own.select("rep", "n"), "rep")
     met = sized.groupBy("node").agg(F.min("tree").alias("tree"), F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lead"), F.min("child").alias("one"), F.max("child").alias("other")).where("m > 1")
     if above <= depth:  # a node with one child has no pair that meets here first
         met = met.where("one <> other")
@@ -285,7 +285,7 @@ def links(found: DataFrame, classes: DataFrame, own: DataFrame, threshold: float
                 yield out
 
     together = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
-    asked = together(cells.join(classes.select("rep", "labels"), "rep")).mapInArrow(ask, "rep long, node long, tree int, block int, p int, q int")
+    asked = together(cells.join(own.select("rep", "labels"), "rep")).mapInArrow(ask, "rep long, node long, tree int, block int, p int, q int")
     asked = stored(asked, "asked")
     return together(asked.join(own, "rep")).mapInArrow(judge, "rep long, root long, links long, least double")
 
@@ -295,10 +295,10 @@ def forest(docs: DataFrame, classes: DataFrame, threshold: float, recall: float,
     floor = prefix_depth(threshold, trees, depth, recall)
     width = level_bytes(floor)
     found = stored(tries(classes, trees, depth, width, floor), "tries")
-    own = stored(sets(docs, classes, found), "sets")
+    own = stored(sets(docs, classes, stored(found.select("rep").distinct(), "company")), "sets")
     level, above, least, out = depth, depth + 1, threshold, None
     while True:
-        made = stored(links(found, classes, own, threshold, trees, depth, width, level, above), "links")
+        made = stored(links(found, own, threshold, trees, depth, width, level, above), "links")
         out = made if out is None else out.unionByName(made)
         lowest = out.agg(F.min("least")).first()[0]
         least = threshold if lowest is None else max(threshold, int(lowest / BAND + 1e-6) * BAND)
