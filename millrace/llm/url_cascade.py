@@ -2,13 +2,16 @@
 
 A cascade gives exact membership over a known universe of keys. Level 1 encodes the listed keys; the keys of the universe that it takes wrongly
 are encoded by level 2, the listed keys that level 2 takes by level 3, and so on until a level takes nothing wrongly. A key is listed if the first level that does not
-take it is an even one. Levels are arrays of 64-bit words in the expression itself; their size follows the listed keys, not the corpus, and is checked.
+take it is an even one. Levels are arrays of 64-bit words in the expression itself; their size follows the listed keys, not the corpus. A list of more than KEYS keys is
+dealt by a hash into groups of about so many, each with a cascade of its own, which the urls pass one after another: exact for lists of any length.
 
-The universe is every pair of a host's suffix and a path's prefix (up to a slash) of the corpus, so a url's rules are found by asking the cascade for its own pairs: no join
-with the rules. A rule's path must begin and end with a slash.
+The universe is every pair of a host's suffix and a path's prefix (up to a slash) of the corpus, with no more labels and no deeper paths than the list has, so a url's rules are found by
+asking the cascade for its own pairs: no join with the rules. The universe is never stored: level 1 reads it, and only what level 1 takes is kept. A rule's path must
+begin and end with a slash, else ValueError.
 
-Nulls: a null url, or one without ://, has an empty host and path and no rule. Ties between rules of one length go to the longer host. Repeated rows are judged alike. Empty
-tables: an empty cascade or no row. Other columns are kept. A url that no rule fits is allowed: the method lists keys, and an unlisted key blocks nothing.
+Nulls: a null url, or one without ://, has an empty host and path and no rule; null rules are ignored. Ties between rules of one length go to the longer host. Repeated rows are judged alike. Very long
+urls cost as much as their length: they have no more pairs than others. Empty tables: an empty cascade or no row. Other columns are kept, but for columns named host, path, rule or
+verdict, which the results replace. A url that no rule fits is allowed: the method lists keys, and an unlisted key blocks nothing.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let, stored
+from millrace.llm.common import let, remove_stored, stored
 
-#: Words of one level at most (64 bits each); a list beyond that needs a join and is refused.
-MOST_WORDS = 1 << 20
+#: Keys of one cascade, about: a level of 1 % errors then has 1.2 million bits.
+KEYS = 1 << 17
 
 
 @dataclass
@@ -46,10 +49,7 @@ def _places(key: Column, number: int, probes: int, bits: int) -> list[Column]:
 def _level(keys: DataFrame, count: int, number: int, error: float) -> Level:
     """keys: a column key, without repeats."""
     words = max(1, math.ceil(-count * math.log(error) / math.log(2) ** 2 / 64))
-    if words > MOST_WORDS:
-        raise ValueError(f"{count} keys need {words} words; a filter in the expression holds {MOST_WORDS}")
-    probes = max(1, round(64 * words / max(1, count) * math.log(2)))
-    probes = min(probes, 16)
+    probes = min(16, max(1, round(64 * words / max(1, count) * math.log(2))))
     place = keys.select(F.explode(F.array(*_places(F.col("key"), number, probes, 64 * words))).alias("h"))
     one = F.expr("shiftleft(1L, cast(h % 64 as int))")
     held = place.groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(one).alias("bits")).collect()  # at most `words` rows
@@ -72,15 +72,21 @@ class Cascade:
 
 
 def build(listed: DataFrame, universe: DataFrame, error: float = 0.01) -> Cascade:
-    """listed, universe: a column key each. Keys of the universe that are listed count as listed alone."""
+    """listed, universe: a column key each, repeats allowed. Keys of the universe that are listed count as listed alone."""
     own = stored(listed.where("key is not null").select("key").distinct(), "listed")
-    other = stored(universe.where("key is not null").select("key").distinct().join(own, "key", "left_anti"), "universe")
-    levels: list[Level] = []
-    inside, outside, rate = own, other, error
+    n = own.count()
+    if not n:
+        return Cascade([])
+    levels = [_level(own, n, 0, error)]
+    # of the universe, what level 1 takes: the listed keys and the few others, told apart by counting
+    taken = universe.where(levels[0].takes(F.col("key"), 0)).select("key", F.lit(0).alias("own")).unionByName(own.withColumn("own", F.lit(1)))
+    inside, outside = stored(taken.groupBy("key").agg(F.max("own").alias("own")).where("own = 0").select("key"), "wrong"), own
     while n := inside.count():
-        levels.append(_level(inside, n, len(levels), rate))
+        levels.append(_level(inside, n, len(levels), 0.5))
         wrong = stored(outside.where(levels[-1].takes(F.col("key"), len(levels) - 1)), "wrong")
-        inside, outside, rate = wrong, inside, 0.5
+        remove_stored(outside)
+        inside, outside = wrong, inside
+    remove_stored(inside, outside)
     return Cascade(levels)
 
 
@@ -92,11 +98,11 @@ def parts(url: Column) -> dict[str, Column]:
     return {"host": F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "path": F.coalesce(path, F.lit(""))}
 
 
-def pairs() -> Column:
-    """Of columns host and path: every suffix of the host with every prefix of the path that ends in a slash, longest first."""
-    labels, steps = F.split("host", r"\."), F.split("path", "/")
-    suffixes = let(labels, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda k: F.array_join(F.slice(x, k, F.size(x) - k + 1), ".")))
-    prefixes = let(steps, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda k: F.concat(F.array_join(F.slice(x, F.lit(1), k), "/"), F.lit("/"))))
+def pairs(labels: int, depth: int) -> Column:
+    """Of columns host and path: the suffixes of the host of at most so many labels with the prefixes of the path of at most so many steps that end in a slash, longest first."""
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in range(1, labels + 1)]))
+    steps = F.split("path", "/", depth + 2)
+    prefixes = let(steps, lambda x: F.transform(F.sequence(F.lit(1), F.least(F.size(x) - 1, F.lit(depth + 1))), lambda k: F.concat(F.array_join(F.slice(x, F.lit(1), k), "/"), F.lit("/"))))
     every = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct((-F.length(s) - F.length(p)).alias("size"), (-F.length(s)).alias("host"), F.concat(s, p).alias("key")))))
     ordered = F.transform(F.array_sort(every), lambda x: x["key"])
     return F.when((F.col("host") != "") & F.col("path").startswith("/"), ordered).otherwise(F.array().cast("array<string>"))
@@ -104,14 +110,40 @@ def pairs() -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame, error: float = 0.01) -> DataFrame:
     """pages with host, path, rule and verdict. rules: key (host and path, like example.net/en/) and verdict (allow or block)."""
+    rules = rules.where("key is not null")
+    host = F.substring_index("key", "/", 1)
+    seen = rules.agg(F.count("*"), F.max(F.size(F.split(host, r"\."))), F.max(F.size(F.split("key", "/")) - 2), F.max(F.when(~F.col("key").rlike("^[^/]+/(.*/)?$"), F.col("key")))).first()
+    n, labels, depth, wrong = seen
+    if wrong is not None:
+        raise ValueError(f"a rule is a host and a path that begins and ends with a slash: {wrong!r}")
     made = pages.drop("host", "path", "rule", "verdict").withColumns(parts(F.coalesce("url", F.lit(""))))
-    asked = made.withColumn("_pairs", pairs())
-    universe = asked.select(F.explode("_pairs").alias("key"))
-    listed = build(rules.select("key"), universe, error)
-    # of the listed keys, those that block: a second cascade, whose universe is the list
-    blocking = build(rules.where("verdict = 'block'").select("key"), rules.select("key"), error)
-    found = asked.withColumn("rule", F.get(F.filter("_pairs", listed.lists), F.lit(0)))
-    return found.withColumn("verdict", F.when(F.col("rule").isNotNull() & blocking.lists(F.col("rule")), "block").otherwise("allow")).drop("_pairs")
+    asked = made.withColumn("_pairs", pairs(labels or 1, depth or 0))
+    groups = max(1, -(-n // KEYS))
+    for g in range(groups):
+        found, blocking = _first_listed(asked, rules, groups, g, error)
+        if groups == 1:
+            asked = asked.withColumn("rule", found).withColumn("_block", F.col("rule").isNotNull() & blocking.lists(F.col("rule")))
+            break
+        # one group after another: the longer rule stays, with its verdict
+        held = asked if g else asked.withColumns({"rule": F.lit(None).cast("string"), "_block": F.lit(False)})
+        better = F.col("_new").isNotNull() & (F.col("rule").isNull() | (F.array_position("_pairs", F.col("_new")) < F.array_position("_pairs", F.col("rule"))))
+        told = held.withColumn("_new", found).withColumn("_better", better)
+        asked = stored(told.withColumns({"_block": F.when(F.col("_better"), blocking.lists(F.col("_new"))).otherwise(F.col("_block")), "rule": F.when(F.col("_better"), F.col("_new")).otherwise(F.col("rule"))}).drop("_new", "_better"), "judged")
+        if g:
+            remove_stored(held)
+    return asked.withColumn("verdict", F.when(F.col("_block"), "block").otherwise("allow")).drop("_pairs", "_block")
+
+
+def _first_listed(asked: DataFrame, rules: DataFrame, groups: int, g: int, error: float) -> tuple[Column, Cascade]:
+    """The first pair of a url that is a listed key of group g, and the cascade of the group's keys that block (its universe is the list)."""
+
+    def mine(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("group")), F.lit(groups)) == g
+
+    own = rules.where(mine(F.col("key")))
+    listed = build(own.select("key"), asked.select(F.explode("_pairs").alias("key")).where(mine(F.col("key"))), error)
+    blocking = build(own.where("verdict = 'block'").select("key"), own.select("key"), error)
+    return F.get(F.filter("_pairs", lambda k: mine(k) & listed.lists(k)), F.lit(0)), blocking
 
 
 def listing(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
