@@ -1,11 +1,12 @@
 """Operator 1: packing along a space-filling curve.
 
 A document's words are hashed into a vector, which a fixed random matrix projects to three dimensions; the Hilbert key of that
-point orders the documents, so that neighbours on the curve share words. Spark range-sorts by (key, doc_id) and each range fills
-its sequences one after another, cutting documents where a sequence is full: only the last sequence of a range is padded.
+point orders the documents, so that neighbours on the curve share words. Spark range-sorts by the key and each range fills
+its sequences one after another, cutting documents where a sequence is full: only the last sequence of a range is padded. There are as many ranges as
+RANGE_BYTES of text ask for, and as many as the session's shuffle has at least, so a task does not grow with the input.
 
-Nulls: a null text is empty; a null doc_id sorts first. Ties of the key are broken by doc_id, then by text. A text without words has
-the key of the origin. Empty table: no row. Other columns are ignored.
+Nulls: a null text is empty. Ties of the key, which may hold any share of the rows, are dealt over the ranges that share it and ordered by a hash of doc_id and text, then by text. A text without words has
+the key of the origin. Very long texts are cut into as many pieces as they fill. Empty table: no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import hashing
+from millrace.llm.common import remove_stored, stored
 from millrace.llm.tokens import TOGETHER, encoder
 
 BUCKETS, DIMS, BITS = 512, 3, 10
 #: Rows whose keys set the bounds of the ranges, about.
 SAMPLE = 200_000
+#: Bytes of text in a range, about.
+RANGE_BYTES = 64 << 20
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -75,15 +79,18 @@ def _keyed(docs: DataFrame, bounds: list[int]) -> DataFrame:
             low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
             yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "tie": b.column("tie"), "curve_key": key, "range": (low + tie % (high - low + 1)).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id").alias("tie")).mapInArrow(add, "doc_id long, text string, tie long, curve_key long, range int")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("tie")).mapInArrow(add, "doc_id long, text string, tie long, curve_key long, range int")
 
 
 def along_curve(docs: DataFrame) -> DataFrame:
-    """The documents, range-sorted along the curve. A sample of about SAMPLE rows or fewer sets the bounds, which steer the balance of tasks alone."""
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The documents, range-sorted along the curve. A sample of about SAMPLE rows or fewer sets the number of ranges and their bounds, which steer the balance of tasks alone."""
     one_in = max(32, docs.count() // SAMPLE)
-    sample = _keyed(docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(one_in)) == 0), [])
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(one_in)) == 0)
+    sample = stored(_keyed(drawn, []).select("curve_key", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")), "curve-sample")
+    size = sample.agg(F.sum("size")).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * one_in // RANGE_BYTES))
     at = sample.agg(F.percentile_approx("curve_key", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10_000)).first()[0] if ranges > 1 else None
+    remove_stored(sample)
     return _keyed(docs, at or []).repartitionById(ranges, F.col("range")).sortWithinPartitions("curve_key", "tie", "text")
 
 
