@@ -4,7 +4,8 @@ fit() grows rules that predict a bad document by sequential covering: each rule
 grown test by test for the best FOIL gain over a grow part of the labelled rows, then pruned from its end against the other part. Rules are
 ordered; the list becomes one conditional expression. Counting is done by Spark: each step groups the labelled rows by (statistic, bin, label).
 
-Nulls: a null text has no words; a null label is no label. Empty and wordless texts fail the base test. Ties between tests go to the first statistic; of thresholds that part the rows alike
+Nulls: a null text has no words; a null label is no label. Empty and wordless texts fail the base test. Very long texts are counted whole. Columns of the table named like a statistic are replaced by judge(); kept() keeps
+them. Ties between tests go to the first statistic; of thresholds that part the rows alike
 the middle one is taken. Repeated rows count as often as they stand. Empty tables give an empty list, which rejects nothing beyond the base test.
 """
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let, native_words, nested, stored
+from millrace.llm.common import let, native_words, nested, remove_stored, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows to learn from at most; the rows with the least hashes of doc_id are taken.
@@ -25,7 +26,7 @@ CUTS = 32
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Whole numbers, per mille of words, of letters or of lines.
-FEATURES = ["n_words", "chars_per_100_words", "symbols_per_mille", "dup_lines_per_mille", "repeats_per_mille", "bangs_per_mille", "capitals_per_mille", "digits_per_mille", "top_word_per_mille", "words_per_line"]
+FEATURES = ["n_words", "chars_per_100_words", "symbols_per_mille", "dup_lines_per_mille", "repeats_per_mille", "bangs_per_mille", "capitals_per_mille", "digits_per_mille", "met_before_per_mille", "words_per_line"]
 
 
 def repeat_words(words: Column) -> Column:
@@ -59,7 +60,7 @@ def statistics(docs: DataFrame, extra: bool = True) -> DataFrame:
         df = df.withColumns({
             "chars_per_100_words": F.floor(100 * F.col("word_chars") / words), "symbols_per_mille": ratio(F.col("n_symbols"), words), "dup_lines_per_mille": ratio(F.col("n_dup_lines"), F.greatest(F.col("_l.n"), F.lit(1))),
             "repeats_per_mille": ratio(F.col("n_repeat_words"), words), "bangs_per_mille": ratio(counted(r"!"), words), "capitals_per_mille": ratio(counted(r"\p{Lu}"), chars), "digits_per_mille": ratio(counted(r"[0-9]"), chars),
-            "top_word_per_mille": ratio(F.col("_w.again"), words), "words_per_line": F.floor(words / F.greatest(F.col("_l.n"), F.lit(1))),
+            "met_before_per_mille": ratio(F.col("_w.again"), words), "words_per_line": F.floor(words / F.greatest(F.col("_l.n"), F.lit(1))),
         })
     return df.drop("_w", "_l")
 
@@ -106,6 +107,8 @@ def fit(rows: DataFrame, features: list[str] = FEATURES, most_rules: int = 10, m
     found, left = DecisionList(), F.lit(True)
     if not any(cuts.values()):
         return found
+    # the bins of all rows once: a step then groups small numbers
+    rows = stored(rows.withColumn("_bins", F.array(*[F.struct(F.lit(f).alias("f"), _bin(f, cuts[f]).alias("bin")) for f in features if cuts[f]])), "binned")
     for _ in range(most_rules):
         rule = _grow(rows.where(left), features, cuts, most_tests)
         if not rule:
@@ -115,6 +118,7 @@ def fit(rows: DataFrame, features: list[str] = FEATURES, most_rules: int = 10, m
             break
         found.rules.append(rule)
         left = left & ~_all(rule)
+    remove_stored(rows)
     return found
 
 
@@ -126,8 +130,7 @@ def _bin(f: str, cuts: list[int]) -> Column:
 def _grow(rows: DataFrame, features: list[str], cuts: dict, most_tests: int) -> list:
     rule: list[tuple[str, str, int]] = []
     for _ in range(most_tests):
-        bins = F.array(*[F.struct(F.lit(f).alias("f"), _bin(f, cuts[f]).alias("bin")) for f in features if cuts[f]])
-        counts = rows.where("grow").where(_all(rule)).select("bad", F.explode(bins).alias("x")).groupBy("x.f", "x.bin").agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n")).collect()  # statistics x bins
+        counts = rows.where("grow").where(_all(rule)).select("bad", F.explode("_bins").alias("x")).groupBy("x.f", "x.bin").agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n")).collect()  # statistics x bins
         total = next(((sum(r.p for r in own), sum(r.n for r in own)) for own in [[r for r in counts if r.f == features[0]]]), (0, 0))
         if not total[0] or not total[1]:
             break
@@ -156,11 +159,22 @@ def _prune(rows: DataFrame, rule: list) -> tuple[list, int, int]:
     got = rows.agg(*[c for k in range(1, len(rule) + 1) for c in (held(k, bad & other), held(k, ~bad & other), held(k, bad), held(k, ~bad))]).first()
     each = [got[4 * k : 4 * k + 4] for k in range(len(rule))]
     k = max(range(len(rule)), key=lambda k: ((each[k][0] - each[k][1]) / max(1, each[k][0] + each[k][1]), each[k][0], -k))
-    return rule[: k + 1], each[k][2], each[k][3]
+    return _tightest(rule[: k + 1]), each[k][2], each[k][3]
+
+
+def _tightest(rule: list) -> list:
+    """The rule without tests that another of its tests implies."""
+    out: dict[tuple[str, str], int] = {}
+    for name, sign, cut in rule:
+        out[name, sign] = (max if sign == ">=" else min)(out.get((name, sign), cut), cut)
+    return [(name, sign, cut) for (name, sign), cut in out.items()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionList:
-    return fit(labelled(docs, labels, sample))
+    rows = labelled(docs, labels, sample)
+    rules = fit(rows)
+    remove_stored(rows)
+    return rules
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
