@@ -84,6 +84,22 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
 
+def test_packing_follows_the_curve(spark, docs, monkeypatch):
+    """Sequences ascend along the curve, ranges grow with the bytes, and only the last sequence of a range is padded."""
+    rng = random.Random(9)
+    table = spark.createDataFrame([(i, sentence(rng, rng.randint(1, 200)), i) for i in range(300)], "doc_id long, text string, curve_key int")
+    for size in (packing.RANGE_BYTES, 4096):
+        monkeypatch.setattr(packing, "RANGE_BYTES", size)
+        got = sorted(packing.pack(table, VOCABULARY, 128).collect(), key=lambda r: (r.sequence_id, r.offset))
+        assert [r.curve_key for r in got] == sorted(r.curve_key for r in got)
+        filled, ranges = Counter(), defaultdict(set)
+        for r in got:
+            filled[r.sequence_id] += r.length
+            ranges[r.sequence_id >> 40].add(r.sequence_id)
+        assert all(n == 128 for k, n in filled.items() if k != max(ranges[k >> 40]))
+        assert len(ranges) > 8 if size == 4096 else len(ranges) <= 4
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     order = grid[np.argsort(packing.hilbert(grid, 3))]
@@ -102,23 +118,38 @@ def test_line_templates(docs, none):
 
 
 def brute_templates(texts):
-    keyed = defaultdict(set)
-    where = []
+    """doc_id -> numbers of the lines to drop, by the words of the docstring."""
+    where, places = [], defaultdict(set)
     for doc, text in texts:
         for k, line in enumerate((text or "").split("\n")):
-            w = [re.sub(r"^.*[0-9].*$", "<*>", x) for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
-            if not w:
-                continue
-            n, keys = len(w), [(len(w), -1, tuple(w))]
-            if n >= 8:
-                keys += [(n, s, tuple(w[: 2 + (n - 2) * s // 4] + ["*"] + w[2 + (n - 2) * (s + 1) // 4 :])) for s in range(4)]
-            where.append((doc, k, keys))
-            for key in keys:
-                keyed[key].add((doc, k))
+            raw = re.findall(r"[^\x20\x09-\x0D]+", line)
+            w = ["<*>" if re.search("[0-9]", x) else x for x in raw]
+            if w and doc is not None:
+                key = ("masked", *w) if 2 * sum(x != "<*>" for x in w) >= len(w) else ("raw", *raw)
+                where.append((doc, k, key))
+                places[key].add((doc, k))
+    support = Counter((len(key) - 1, *key[1:3], at, x) for key in places if key[0] == "masked" for at, x in enumerate(key[1:]))
+    of, members = {}, defaultdict(list)
+    for key in places:
+        if key[0] == "masked":
+            s = [support[(len(key) - 1, *key[1:3], at, x)] for at, x in enumerate(key[1:])]
+            bar = sorted(s)[(len(s) - 1) // 2]
+            t = tuple("<*>" if 2 * n <= bar else x for n, x in zip(s, key[1:], strict=True))
+            if any(2 * n <= bar for n in s) and 2 * sum(x != "<*>" for x in t) >= len(t):
+                of[key] = t
+                members[t].append(key)
+    at = {}
+    for key, own in places.items():
+        together = members[of[key]] if key in of and len(members[of[key]]) >= line_templates.FIELD_LINES else [key]
+        at[key] = set().union(*(places[m] for m in together))
+        assert own <= at[key]
     out = defaultdict(list)
-    for doc, k, keys in where:
-        if any(len({d for d, _ in keyed[key]}) > 1 and min(keyed[key]) != (doc, k) for key in keys):
+    for doc, k, key in sorted(set(where), key=lambda x: x[:2]):
+        if len({d for d, _ in at[key]}) > 1 and min(at[key]) != (doc, k):
             out[doc].append(k)
+    for key in places:  # the first line of each template stays
+        doc, k = min(at[key])
+        assert k not in out.get(doc, ())
     return out
 
 
@@ -130,14 +161,25 @@ def test_line_templates_against_brute_force(spark):
         own = []
         for _ in range(rng.randint(0, 6)):
             w = rng.choice(pool).split()
-            if rng.random() < 0.4:
-                w[rng.randrange(len(w))] = rng.choice(["x1", "zz", "9"])
+            if rng.random() < 0.5:
+                for _ in range(rng.randint(1, 2)):
+                    w[rng.randrange(len(w))] = rng.choice(["x1", "zz", "9", sentence(rng, 1), sentence(rng, 1)])
             own.append(" ".join(w))
+        if rng.random() < 0.7:
+            own.append(f"Posted by {sentence(rng, 1)} in the category {sentence(rng, 1)} with new replies from {sentence(rng, 1)}")
         texts.append((doc, "\n".join(own)))
     got = {r.doc_id: r.lines for r in line_templates.dropped(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == dict(brute_templates(texts))
 
 
+def test_templates_of_several_fields(spark):
+    """Names without digits, short lines, and lines whose every word but the leading ones differs."""
+    names = ["ANNA", "BORIS", "CARL", "DORA"]
+    rows = [(i, f"Posted by {n} in the category {names[-i]} with new replies from {names[i - 2]}\nComment by {n} on {names[-i]}\nThe old {n.lower()}x {n.lower()}y {n.lower()}z") for i, n in enumerate(names)]
+    got = {r.doc_id: r.lines for r in line_templates.dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [0, 1], 2: [0, 1], 3: [0, 1]} == dict(brute_templates(rows))
+
+
 def test_token_files(spark, docs, rows, none):
     path = scratch_path(spark, "t")
     manifest = token_files.write(docs, path, VOCABULARY, length=32)
@@ -150,6 +192,10 @@ def test_token_files(spark, docs, rows, none):
     for doc, start, n, crc in got:
         assert start == at and (n, crc) in [(len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for i in by[doc]]
         at += n
+    small = scratch_path(spark, "s")
+    parts = token_files.write(docs, small, VOCABULARY, length=32, file_tokens=500)
+    assert sorted((tuple(r) for r in token_files.read(parts, small).collect()), key=lambda r: r[1]) == got
+    assert parts.count() > manifest.count() and all(r.n_tokens <= 500 or r.n_docs == 1 for r in parts.collect())
     ids, mask = next(token_files.sequences(path, manifest.first().file))
     assert ids.shape[1] == 32 and mask.shape == ids.shape and not ids.flags.owndata
     empty = scratch_path(spark, "e")
@@ -170,6 +216,18 @@ def test_url_cascade(spark):
     assert url_cascade.judge(table.limit(0), url_cascade.listing(spark, url_cascade.RULES)).count() == 0
 
 
+def test_long_urls_and_long_lists(spark, monkeypatch):
+    urls = ["http://a.b.net/" + "x/" * 500_000, "http://" + "a." * 300_000 + "net/en/", "http://h7.net/p/q/r", "http://h8.net/p/", "http://x.h8.net/p/q/"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("net/", "block"), *[(f"h{k}.net/p/", "allow" if k % 2 else "block") for k in range(40)], ("x.h8.net/p/q/", "allow")]
+    wanted = [("net/", "block"), ("net/", "block"), ("h7.net/p/", "allow"), ("h8.net/p/", "block"), ("x.h8.net/p/q/", "allow")]
+    for keys in (url_cascade.KEYS, 15):
+        monkeypatch.setattr(url_cascade, "KEYS", keys)
+        assert [tuple(r) for r in url_cascade.judge(table, url_cascade.listing(spark, rules)).orderBy("page_id").select("rule", "verdict").collect()] == wanted
+    with pytest.raises(ValueError):
+        url_cascade.judge(table, url_cascade.listing(spark, [("net", "block")]))
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"))
     cascade = url_cascade.build(keys.where("key like '%7'"), keys, 0.3)
@@ -203,6 +261,8 @@ def test_decision_list_learns_a_conjunction(spark):
     rules = quality_rules.fit(table, ["x", "y"])
     wrong = table.where(rules.bad() != F.col("bad")).count()
     assert rules.rules and wrong < 30
+    assert all(len({t[:2] for t in rule}) == len(rule) for rule in rules.rules)  # no test that another implies
+    assert quality_rules._tightest([("x", ">=", 438), ("x", ">=", 506), ("y", "<", 3)]) == [("x", ">=", 506), ("y", "<", 3)]
     assert quality_rules.fit(table.limit(0), ["x", "y"]).rules == []
 
 
@@ -282,6 +342,47 @@ def test_ngram_join_against_brute_force(spark):
         assert r.class_id <= d and got[r.class_id].class_id == r.class_id
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_ngram_thresholds_against_brute_force(spark, threshold):
+    """The target recall at thresholds for which prefixes are shortened to different lengths."""
+    rng = random.Random(int(threshold * 10))
+    pairs = []
+    for _ in range(25):
+        base = sentence(rng, 150).split()
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, 12)):
+                w[rng.randrange(len(w))] = "x%d" % rng.randrange(50)
+            pairs.append((len(pairs), " ".join(w)))
+    sets = [shingles(t) for _, t in pairs]
+    links = Counter(i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len(a & b) >= threshold * len(a | b))
+    got = {r.doc_id: r.n_links for r in ngram_join.join(spark.createDataFrame(pairs, "doc_id long, text string"), threshold).collect()}
+    assert all(got[d] <= links[d] for d in got) and sum(got.values()) >= 0.99 * sum(links.values()) > 0
+
+
+def test_ngram_tries_keep_all_company(spark):
+    """shared is the longest prefix that another label of the tree has too, wherever tasks are cut."""
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 3, (400, 2 * 4), np.uint8)
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(label)], "rep long, labels binary")
+    got = {(r.tree, r.rep): r.shared for r in ngram_join.tries(table, 2, 4, 1, 2).collect()}
+    for t in range(2):
+        own = label[:, 4 * t : 4 * t + 4]
+        alike = np.cumprod(own[:, None, :] == own[None, :, :], axis=2).sum(axis=2)
+        np.fill_diagonal(alike, 0)
+        for i, p in enumerate(alike.max(axis=1).tolist()):
+            assert p < 2 or got[t, i] >= p
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from millrace.llm import components as c
+
+    monkeypatch.setattr(c, "LEAST", 3)
+    edges = [(0, k) for k in range(5, 60)] + [(k, k + 1) for k in range(100, 130)] + [(130, 59), (200, 201), (201, 202), (300, 300)]
+    got = {r.u: r.root for r in c.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in [*range(5, 60), *range(100, 131)]}, 201: 200, 202: 200}
+
+
 def test_ngram_blocks_change_nothing(spark, monkeypatch):
     rng = random.Random(2)
     base = sentence(rng, 100).split()
@@ -343,6 +444,9 @@ def test_line_crf(spark, docs, rows, none):
     assert scored.count() == len(rows) and all(0 <= r.score <= 1 for r in scored.collect())
     assert line_crf.kept(docs, model).columns == docs.columns
     assert line_crf.score(none, model).count() == 0
+    twice = table.unionByName(spark.createDataFrame([(0, "Other text of the same number.")], "doc_id long, text string"))
+    one, two = line_crf.learn(twice, labels), line_crf.learn(twice.repartition(5), labels)
+    assert np.allclose(one.weights, two.weights) and not np.allclose(one.weights, line_crf.learn(table, labels, most_lines=300).weights)
     blank = line_crf.learn(none, labels)
     assert blank.score(pa.array(["some words", "", None])).tolist() == [1.0, 0.0, 0.0]
 
