@@ -205,70 +205,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines:
     return fit(np.array(got.x.tolist()), got.doc_id.to_numpy(), got.good.to_numpy(), got.words.to_numpy())
 
 
-def score(self, texts: pa.Array) -> np.ndarray:
-        q = self.quality(texts)
-        return np.where(q < 0, 0.0, 1 / (1 + np.exp(-np.clip(self.slope * q + self.shift, -60, 60))))
-
-
-def fit(x: np.ndarray, chain: np.ndarray, good: np.ndarray, words: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> LineCrf:
-    """x, words: lines; chain: the document of each; good: its label, 0 or 1. Adam on the mean log-likelihood of a line."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    starts = np.flatnonzero(np.append(True, chain[1:] != chain[:-1]))
-    part = np.arange(len(chain)) - np.repeat(starts, np.diff(np.append(starts, len(chain))))
-    short = np.cumsum(np.append(0, (chain[1:] != chain[:-1]) | (part[1:] % CHAIN == 0)))
-    z, y = with_neighbours((x - mean) / scale, chain), good.astype(float)
-    inner = short[1:] == short[:-1]
-    label = good.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[:-1][inner], label[1:][inner]), 1)
-    theta, m, v = np.zeros(z.shape[1] + 4), 0.0, 0.0
-    for k in range(1, rounds + 1):
-        p, pairs, _ = marginals(z @ theta[:-4], theta[-4:].reshape(2, 2), short)
-        g = np.concatenate((z.T @ (y - p), (seen - pairs).ravel())) / len(y) - ridge * theta
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta + 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    model = LineCrf(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
-    docs, at = np.unique(chain, return_inverse=True)
-    p = model.line_marginals(x, chain)
-    quality = np.bincount(at, words * p) / np.bincount(at, words)
-    model.slope, model.shift = _logistic(quality, np.bincount(at, good) / np.bincount(at))
-    return model
-
-
-def _logistic(q: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by Newton's method with a little ridge; the slope is positive."""
-    a = np.stack((q, np.ones_like(q)), axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.05, 0.05])
-        w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - 0.05 * w), -3, 3)
-    return max(1e-3, float(w[0])), float(w[1])
-
-
-def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are never learned from."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCrf:
-    """Line features, not texts, of at most so many labelled documents come to the driver."""
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, x, n = lines(b.column("text"))
-            yield pa.record_batch({"doc_id": b.column("doc_id").take(pa.array(rows)), "good": b.column("_good").take(pa.array(rows)).cast(pa.int32()), "words": n.astype(np.int64), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.mapInArrow(of, "doc_id long, good int, words long, x array<double>").toPandas()
-    if not len(got) or got.good.nunique() < 2:
-        return LineCrf(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)), 0.0, 60.0)
-    got = got.sort_values("doc_id", kind="stable")
-    return fit(np.array(got.x.tolist()), got.doc_id.to_numpy(), got.good.to_numpy(), got.words.to_numpy())
-
-
 def score(docs: DataFrame, model: LineCrf, name: str = "score") -> DataFrame:
     """docs with the score in a column of that name, which replaces one of the table's own."""
     held = docs.drop(name)
