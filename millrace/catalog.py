@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from millrace.plans import decisions, diagnosis, marts, operations, relational, serving, windows  # noqa: F401
+from millrace.plans import decisions, diagnosis, ingestion, learning, marts, operations, relational, serving, views, windows  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

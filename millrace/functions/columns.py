@@ -51,16 +51,43 @@ def expected_refund(rate: Column, cdf: Column, subtotal: Column) -> Column:
     return rate * (F.lit(1.0) - cdf) / F.greatest(F.lit(1.0) - rate * cdf, F.lit(EPSILON)) * subtotal
 
 
+def units_from_net_revenue(net_revenue: Column, net_per_unit: Column) -> Column:
+    """Units that a revenue stands for; raises where a unit brings nothing."""
+    return F.when(net_per_unit <= 0, F.raise_error(F.lit("net revenue of a unit must be positive")).cast("double")).otherwise(net_revenue / net_per_unit)
+
+
+def projected_shortfall(demand: Column, available: Column) -> Column:
+    return F.greatest(demand - available, F.lit(0.0))
+
+
+def stage_of(name: Column) -> Column:
+    """The last word before ' | ' of a campaign's name; null where there is only one word."""
+    words = F.split(F.split_part(name, F.lit(" | "), F.lit(1)), " ")
+    return F.when(F.size(words) > 1, F.element_at(words, -1))
+
+
+def canonical_number(x: Column, places: int = 4) -> Column:
+    """A number as text for hashing: so many places, half to even, no trailing zeros, -0 as 0; raises for what is not finite."""
+    wrong = F.isnan(x) | (F.abs(x) == float("inf"))
+    text = F.bround(x, places).cast(f"decimal(38,{places})").cast("string")
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(wrong, F.raise_error(F.lit("not a finite number")).cast("string")).otherwise(F.when(short == "-0", "0").otherwise(short))
+
+
+def negative_binomial_cdf(k: Column, r: Column, p: Column) -> Column:
+    """P(X <= k) of a negative binomial (r successes of probability p) by its recurrence: each term is the one before times (i + r - 1) / i * (1 - p)."""
+    first = F.pow(p, r)
+    step = lambda a, i: F.struct((a["t"] * (i + r - 1) / i * (F.lit(1.0) - p)).alias("t"), (a["s"] + a["t"] * (i + r - 1) / i * (F.lit(1.0) - p)).alias("s"))
+    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.struct(first.alias("t"), first.alias("s")), step, lambda a: a["s"])
+    return F.when(k < 0, 0.0).when(k < 1, first).otherwise(F.least(terms, F.lit(1.0)))
+
+
 def unit_contribution(net_per_unit: Column, cogs: Column, shipping: Column, fee: Column) -> Column:
     """Raises for a negative cost or a fee outside 0 to 1."""
     wrong = (cogs < 0) | (shipping < 0) | (fee < 0) | (fee > 1)
     return F.when(wrong, F.raise_error(F.lit("costs must not be negative, and a fee lies in 0..1")).cast("double")).otherwise(net_per_unit * (F.lit(1.0) - fee) - cogs - shipping)
 
 
-def available_units(on_hand: Column, reserved: Column) -> Column:
-    return F.greatest(on_hand - reserved, F.lit(0))
-
-
 def days_of_cover(available: Column, daily: Column) -> Column:
     """Null (without bound) where nothing is sold."""
     return F.when(daily > 0, available / daily)
@@ -70,9 +97,9 @@ def inventory_band(cover: Column) -> Column:
     return F.when(cover.isNull(), "UNBOUNDED").when(cover < 3, "CRITICAL").when(cover < 7, "LOW").when(cover < 21, "HEALTHY").when(cover < 45, "HIGH").otherwise("EXCESS")
 
 
-def freshness(hours: Column, sla: float) -> Column:
+def freshness(hours: Column, sla: Column) -> Column:
     """1 up to the agreed age, 0 from three times it, a straight line between."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(3.0 * sla) - hours) / F.lit(2.0 * sla)))
+    return F.when(hours <= sla, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - (hours - sla) / (F.lit(2.0) * sla)))
 
 
 def health_band(score: Column, failed: Column) -> Column:
@@ -96,8 +123,3 @@ def mapped(rules: list[tuple[list[Column | str | None], str]], columns: list[str
             holds = holds & col(c).eqNullSafe(F.lit(k))
         out = F.when(holds, F.lit(value)) if out is None else out.when(holds, F.lit(value))
     return default if out is None else out.otherwise(default)
-
-
-def canonical_hash(*columns: str) -> Column:
-    """sha256 of a row as text; null differs from the empty string."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("~")) for c in columns]), 256)

@@ -30,8 +30,24 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], version: s
 
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """existing, and the incoming rows whose key it lacks."""
-    return existing.unionByName(incoming.join(existing.select(*keys), keys, "left_anti"))
+    """existing, and one incoming row (the least) of each key that it lacks. Null equals null in a key."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & incoming[k].eqNullSafe(F.col(f"_k_{k}"))
+    known = existing.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    return existing.unionByName(latest_per_key(incoming.join(known, on, "left_anti"), keys, list(incoming.columns)))
+
+
+def update_keyed(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """existing with the other columns of changes (one row a key) where a key has any; rows without one stay."""
+    values = [c for c in changes.columns if c not in keys]
+    renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values], F.lit(True).alias("_hit"))
+    both = existing.join(renamed, keys, "left")
+    return both.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in existing.columns])
+
+
+def delete_keyed(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return existing.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
 def history(snapshots: DataFrame, keys: list[str], date: str, value: str, tolerance: float | None = None) -> DataFrame:
@@ -67,10 +83,6 @@ def spine(entities: DataFrame, first: str, last: str, date: str = "date") -> Dat
     return entities.withColumn(date, F.explode(F.sequence(F.col(first), F.col(last), F.expr("interval 1 day")))).drop(first, last)
 
 
-def cumulative(df: DataFrame, value: str, order: Order, keys: list[str] | None = None) -> Column:
-    return F.sum(value).over(Window.partitionBy(*(keys or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-
-
 def smallest_prefix(df: DataFrame, keys: list[str], segment: str, effect: str, share: float = 0.8, most: int = 5) -> DataFrame:
     """Of each key, the fewest segments by size of effect that explain the share of its total absolute effect: keys, segment, effect, rank."""
     w = Window.partitionBy(*keys).orderBy(F.abs(effect).desc(), segment)
@@ -93,8 +105,8 @@ def first_available(df: DataFrame, keys: list[str], order: Order, supply: str) -
 
 
 def histogram_cdf(values: DataFrame, value: str, top: int) -> DataFrame:
-    """age 0..top and cdf: the share of values at most the age (0 without values). A histogram and a running sum over at most top + 1 rows."""
-    counts = values.where(F.col(value).between(0, top)).groupBy(F.col(value).cast("int").alias("age")).agg(F.count("*").alias("n"))
+    """age 0..top and cdf: the share of values at most the age, negative ones too (0 without values). A histogram and a running sum over at most top + 1 rows."""
+    counts = values.where(F.col(value) <= top).groupBy(F.greatest(F.col(value).cast("int"), F.lit(0)).alias("age")).agg(F.count("*").alias("n"))
     total = values.agg(F.count(value).alias("total"))
     ages = values.sparkSession.range(top + 1).select(F.col("id").cast("int").alias("age"))
     grid = ages.join(F.broadcast(counts), "age", "left").join(F.broadcast(total), how="cross")

@@ -11,7 +11,8 @@ from millrace.sources.testdata import AS_OF, LAST_DAY, Staging
 
 #: Days after which a line's refunds are complete.
 WINDOW = 1000
-SMOOTHING = 0.01
+#: Smoothing and trailing days of the SKU weights; the row that takes revenue outside a campaign's own SKUs.
+SMOOTHING, WEIGHT_DAYS, UNMAPPED = 0.01, 28, "__unmapped__"
 SERVICE_Z, LEAD_DAYS = 1.6448536269514722, 14
 #: Fixed values: (source, medium) -> channel.
 CHANNELS = [(["google", "cpc"], "google"), (["facebook", "paid"], "meta"), (["newsletter", "email"], "email"), (["google", "organic"], "organic"), ([None, None], "direct")]
@@ -39,6 +40,10 @@ def channel(source: str = "utm_source", medium: str = "utm_medium", campaign_pla
 
 
 def order_items(s: Staging) -> DataFrame:
+    return s.held("order-items", lambda: _order_items(s), "date")
+
+
+def _order_items(s: Staging) -> DataFrame:
     """Order lines as known at AS_OF with refund (realized or expected), net revenue, contribution before ads and channel."""
     last = F.lit(LAST_DAY).cast("date")
     refunds = s.refund_lines().where(F.col("refund_date") <= last).select("order_id", "line_item_id", F.col("amount").alias("realized"))
@@ -53,7 +58,7 @@ def order_items(s: Staging) -> DataFrame:
     df = df.withColumn("net_revenue", F.col("subtotal") - F.col("refund"))
     cba = F.col("net_revenue") - F.col("cogs") * F.col("qty") - F.col("ship_cost") * F.col("qty") - F.col("fee_pct") * F.col("subtotal")
     return df.withColumns({"cba": cba, "channel": channel(campaign_platform=F.col("platform"))}).select(
-        "order_id", "line_item_id", "date", "customer_id", "is_new_customer", "sku", "category", "qty", "subtotal", "refund", "net_revenue", "cba", "channel", F.col("utm_campaign").alias("campaign_id")
+        "order_id", "line_item_id", "date", "customer_id", "is_new_customer", "sku", "category", "qty", "subtotal", "refund", "net_revenue", "cba", "channel", F.col("utm_campaign").alias("campaign_id"), F.when(F.col("utm_campaign").isNotNull(), F.concat_ws("-", "utm_campaign", F.col("line_item_id").cast("string"))).alias("ad_id")
     )
 
 
@@ -70,6 +75,10 @@ def status_history(s: Staging) -> DataFrame:
 
 
 def inventory_daily(s: Staging) -> DataFrame:
+    return s.held("inventory-daily", lambda: _inventory_daily(s))
+
+
+def _inventory_daily(s: Staging) -> DataFrame:
     """Demand moments over 28 rows of a SKU (rows, not days), safety stock and reorder point."""
     w = Window.partitionBy("sku").orderBy("date")
     frame = w.rowsBetween(-27, 0)
@@ -84,14 +93,22 @@ def inventory_daily(s: Staging) -> DataFrame:
 
 
 def campaign_sku(s: Staging, items: DataFrame) -> DataFrame:
-    """Smoothed revenue shares of SKUs within each campaign; a SKU of the campaign without revenue gets its even share of the smoothing."""
-    sold = items.where("campaign_id is not null").groupBy("campaign_id", "sku").agg(dsum("net_revenue").alias("r"))
-    own = s.products().select(F.col("brand").alias("campaign_id"), "sku")
-    grid = own.join(sold, ["campaign_id", "sku"], "left").withColumn("r", F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(0.0)))
+    """Of each campaign, its promoted SKUs and one row for revenue on all others: the even share, the smoothed share of the revenue of the trailing days (which sum to one; the even
+    share where there is no revenue) and that revenue."""
+    last = F.lit(LAST_DAY).cast("date")
+    recent = items.where(F.col("campaign_id").isNotNull() & F.col("date").between(F.date_sub(last, WEIGHT_DAYS - 1), last))
+    sold = recent.groupBy("campaign_id", F.col("sku").cast("string").alias("sku")).agg(dsum("net_revenue").alias("r"))
+    own = s.products().where("promoted").select(F.col("brand").alias("campaign_id"), F.col("sku").cast("string").alias("sku"), F.lit(True).alias("own"))
+    every = s.campaigns().select("campaign_id")
+    both = own.join(sold, ["campaign_id", "sku"], "full").select("campaign_id", F.when(F.col("own"), F.col("sku")).otherwise(UNMAPPED).alias("sku"), "r")
+    both = both.unionByName(every.select("campaign_id", F.lit(UNMAPPED).alias("sku"), F.lit(0.0).alias("r"))).join(every, "campaign_id", "left_semi")
+    shares = both.groupBy("campaign_id", "sku").agg(dsum(F.coalesce("r", F.lit(0.0))).alias("r"))
     w = Window.partitionBy("campaign_id")
-    grid = grid.withColumns({"total": F.sum(F.col("r").cast("decimal(38,6)")).over(w).cast("double"), "a": F.lit(1.0) / F.count("*").over(w)})
+    n = F.count(F.when(F.col("sku") != UNMAPPED, 1)).over(w)
+    even = F.when(F.col("sku") == UNMAPPED, F.when(n == 0, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) / n)
+    shares = shares.withColumns({"total": F.sum(F.col("r").cast("decimal(38,6)")).over(w).cast("double"), "a": even})
     weight = (F.col("r") + F.lit(SMOOTHING) * F.col("total") * F.col("a")) / (F.col("total") * F.lit(1 + SMOOTHING))
-    return grid.select("campaign_id", "sku", F.when(F.col("total") > 0, weight).otherwise(F.col("a")).alias("weight"))
+    return shares.select("campaign_id", "sku", F.col("a").alias("allocation_weight"), F.when(F.col("total") > 0, weight).otherwise(F.col("a")).alias("weight"), F.col("r").alias("revenue"))
 
 
 CANONICAL = f""", known AS (SELECT * FROM order_lines WHERE available_at <= TIMESTAMP '{AS_OF}'
@@ -99,7 +116,7 @@ CANONICAL = f""", known AS (SELECT * FROM order_lines WHERE available_at <= TIME
 ), return_rates AS (SELECT sku, coalesce(CAST(back AS DOUBLE) / units, (SELECT CAST(sum(back) AS DOUBLE) / sum(units) FROM old_sales), 0.0::DOUBLE) AS rate FROM products LEFT JOIN old_sales USING (sku)
 ), lags AS (SELECT lag_days FROM refund_lines WHERE refund_date <= DATE '{LAST_DAY}'
 ), lag_cdf AS (SELECT CAST(a AS INTEGER) AS age, CASE WHEN (SELECT count(lag_days) FROM lags) > 0 THEN coalesce(sum(n) OVER (ORDER BY a), 0)::DOUBLE / (SELECT count(lag_days) FROM lags) ELSE 0.0::DOUBLE END AS cdf
-  FROM (SELECT a, (SELECT count(*) FROM lags WHERE lag_days = a) AS n FROM range({WINDOW + 1}) t(a))
+  FROM (SELECT a, (SELECT count(*) FROM lags WHERE greatest(lag_days, 0) = a) AS n FROM range({WINDOW + 1}) t(a))
 ), staged AS (
   SELECT k.*, least(greatest(CAST(DATE '{LAST_DAY}' - k.date AS INTEGER), 0), {WINDOW}) AS age, r.amount FROM known k LEFT JOIN (SELECT * FROM refund_lines WHERE refund_date <= DATE '{LAST_DAY}') r USING (order_id, line_item_id) WHERE k.date <= DATE '{LAST_DAY}'
 ), rated AS (
@@ -111,7 +128,7 @@ CANONICAL = f""", known AS (SELECT * FROM order_lines WHERE available_at <= TIME
   SELECT order_id, line_item_id, date, customer_id, is_new_customer, sku, category, qty, subtotal, refund, subtotal - refund AS net_revenue, (subtotal - refund) - cogs * qty - ship_cost * qty - fee_pct * subtotal AS cba,
     coalesce(platform, CASE WHEN utm_source IS NOT DISTINCT FROM 'google' AND utm_medium IS NOT DISTINCT FROM 'cpc' THEN 'google' WHEN utm_source IS NOT DISTINCT FROM 'facebook' AND utm_medium IS NOT DISTINCT FROM 'paid' THEN 'meta'
       WHEN utm_source IS NOT DISTINCT FROM 'newsletter' AND utm_medium IS NOT DISTINCT FROM 'email' THEN 'email' WHEN utm_source IS NOT DISTINCT FROM 'google' AND utm_medium IS NOT DISTINCT FROM 'organic' THEN 'organic' ELSE 'direct' END) AS channel,
-    utm_campaign AS campaign_id FROM refunded
+    utm_campaign AS campaign_id, CASE WHEN utm_campaign IS NOT NULL THEN utm_campaign || '-' || line_item_id END AS ad_id FROM refunded
 ), order_heads AS (
   SELECT order_id, min(date) AS date, bool_or(is_new_customer) AS is_new_customer, min(channel) AS channel, min(customer_id) AS customer_id, count(*) AS n_lines, CAST(sum(CAST(net_revenue AS DECIMAL(38,6))) AS DOUBLE) AS net_revenue, CAST(sum(CAST(cba AS DECIMAL(38,6))) AS DOUBLE) AS cba FROM order_items GROUP BY order_id
 ), budget_history AS (
@@ -121,10 +138,15 @@ CANONICAL = f""", known AS (SELECT * FROM order_lines WHERE available_at <= TIME
   SELECT sku, date, on_hand, reserved, units, mean_units, std_units, {SERVICE_Z}::DOUBLE * std_units * sqrt({float(LEAD_DAYS)}::DOUBLE) AS safety_stock, mean_units * {LEAD_DAYS} + {SERVICE_Z}::DOUBLE * std_units * sqrt({float(LEAD_DAYS)}::DOUBLE) AS reorder_point, greatest(on_hand - reserved, 0) AS available FROM (
     SELECT *, CAST(s AS DOUBLE) / n AS mean_units, CASE WHEN n > 1 THEN sqrt(CAST(q * n - s * s AS DOUBLE) / (n * (n - 1))) ELSE 0.0::DOUBLE END AS std_units FROM (
       SELECT *, CAST(sum(units) OVER w AS BIGINT) AS s, CAST(sum(units * units) OVER w AS BIGINT) AS q, count(*) OVER w AS n FROM stock_daily WINDOW w AS (PARTITION BY sku ORDER BY date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)))
-), sku_revenue AS (SELECT campaign_id, sku, CAST(sum(CAST(net_revenue AS DECIMAL(38,6))) AS DOUBLE) AS r FROM order_items WHERE campaign_id IS NOT NULL GROUP BY ALL
+), own_skus AS (SELECT brand AS campaign_id, CAST(sku AS VARCHAR) AS sku FROM products WHERE promoted
+), sku_revenue AS (SELECT campaign_id, CAST(sku AS VARCHAR) AS sku, CAST(sum(CAST(net_revenue AS DECIMAL(38,6))) AS DOUBLE) AS r FROM order_items WHERE campaign_id IS NOT NULL AND date BETWEEN DATE '{LAST_DAY}' - {WEIGHT_DAYS - 1} AND DATE '{LAST_DAY}' GROUP BY ALL
+), own_counts AS (SELECT c.campaign_id, count(o.sku) AS n FROM campaigns c LEFT JOIN own_skus o USING (campaign_id) GROUP BY c.campaign_id
+), weighed AS (
+  SELECT o.campaign_id, o.sku, 1.0::DOUBLE / n AS a, coalesce(r, 0.0::DOUBLE) AS r FROM own_skus o JOIN own_counts USING (campaign_id) LEFT JOIN sku_revenue USING (campaign_id, sku)
+  UNION ALL
+  SELECT n.campaign_id, '{UNMAPPED}', CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CAST(coalesce(sum(CAST(r AS DECIMAL(38,6))), 0) AS DOUBLE) FROM own_counts n LEFT JOIN (SELECT * FROM sku_revenue r WHERE NOT EXISTS (SELECT 1 FROM own_skus o WHERE o.campaign_id = r.campaign_id AND o.sku = r.sku)) USING (campaign_id) GROUP BY n.campaign_id, n
 ), campaign_sku AS (
-  SELECT campaign_id, sku, CASE WHEN total > 0 THEN (r + {SMOOTHING}::DOUBLE * total * a) / (total * {1 + SMOOTHING}::DOUBLE) ELSE a END AS weight FROM (
-    SELECT brand AS campaign_id, sku, r, CAST(sum(CAST(r AS DECIMAL(38,6))) OVER (PARTITION BY brand) AS DOUBLE) AS total, 1.0::DOUBLE / count(*) OVER (PARTITION BY brand) AS a FROM (
-      SELECT p.brand, p.sku, greatest(coalesce(s.r, 0.0::DOUBLE), 0.0::DOUBLE) AS r FROM products p LEFT JOIN sku_revenue s ON s.campaign_id = p.brand AND s.sku = p.sku))
+  SELECT campaign_id, sku, a AS allocation_weight, CASE WHEN total > 0 THEN (r + {SMOOTHING}::DOUBLE * total * a) / (total * {1 + SMOOTHING}::DOUBLE) ELSE a END AS weight, r AS revenue FROM (
+    SELECT *, CAST(sum(CAST(r AS DECIMAL(38,6))) OVER (PARTITION BY campaign_id) AS DOUBLE) AS total FROM weighed)
 )
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import dsum, safe_ratio, wilson
+from millrace.functions.columns import dsum
 from millrace.operators import relational as r
 from millrace.plans.registry import query
 from millrace.sources.testdata import Staging, dsum_sql
@@ -112,12 +112,12 @@ def d32_rate_prior(s: Staging) -> DataFrame:
 _DRAWS = "CAST('0x' || substr(md5(d || '-' || campaign_id || '-' || week), 1, 7) AS BIGINT)"
 
 
-@query(_UNITS + f""", gaps AS (SELECT campaign_id, week, y - x AS gap FROM weekly WHERE week >= DATE '2001-01-01'), drawn AS (SELECT campaign_id, d, sum(CAST(gap AS DECIMAL(38,6)) * w)::DOUBLE / sum(w) AS mean FROM (SELECT campaign_id, d, gap, CASE WHEN u < 0.3678794 THEN 0 WHEN u < 0.7357589 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.9810118 THEN 3 ELSE 4 END AS w FROM (
+@query(_UNITS + f""", gaps AS (SELECT campaign_id, week, y - x AS gap FROM weekly ), drawn AS (SELECT campaign_id, d, sum(CAST(gap AS DECIMAL(38,6)) * w)::DOUBLE / sum(w) AS mean FROM (SELECT campaign_id, d, gap, CASE WHEN u < 0.3678794 THEN 0 WHEN u < 0.7357589 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.9810118 THEN 3 ELSE 4 END AS w FROM (
   SELECT campaign_id, d, gap, {_DRAWS}::DOUBLE / 268435456.0::DOUBLE AS u FROM gaps, range(100) t(d))) GROUP BY campaign_id, d HAVING sum(w) > 0)
 SELECT campaign_id, round(quantile_cont(mean, 0.05), 6) AS low, round(quantile_cont(mean, 0.95), 6) AS high, CASE WHEN quantile_cont(mean, 0.05) > 0 THEN 'WIN' WHEN quantile_cont(mean, 0.95) < 0 THEN 'LOSS' ELSE 'UNDECIDED' END AS verdict FROM drawn GROUP BY campaign_id""", "staging")
 def d43_bootstrap_effect(s: Staging) -> DataFrame:
     """The band of a campaign's weekly effect over 100 Poisson bootstrap draws, whose weights come from a hash of draw and row: the same in any order and on any cluster."""
-    weekly = s.ad_daily().groupBy("campaign_id", F.to_date(F.date_trunc("week", "date")).alias("week")).agg(dsum("spend").alias("x"), dsum("platform_revenue").alias("y")).where("week >= '2001-01-01'")
+    weekly = s.ad_daily().groupBy("campaign_id", F.to_date(F.date_trunc("week", "date")).alias("week")).agg(dsum("spend").alias("x"), dsum("platform_revenue").alias("y"))
     drawn = weekly.select("campaign_id", "week", (F.col("y") - F.col("x")).alias("gap"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("d"))
     u = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("d").cast("string"), "campaign_id", F.col("week").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long").cast("double") / 268435456.0
     w = F.when(u < 0.3678794, 0).when(u < 0.7357589, 1).when(u < 0.9196986, 2).when(u < 0.9810118, 3).otherwise(4)
@@ -138,18 +138,6 @@ def d44_calibration_fold(s: Staging) -> DataFrame:
     return calibration(s.events())
 
 
-@query("""SELECT r_name AS region, c_mktsegment AS segment, n, k, k >= 0.6 * n AS majority FROM (SELECT r_name, c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 2000) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)""")
-def d47_qualification(s: Staging) -> DataFrame:
-    df = s.raw("customer").join(s.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(s.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    df = df.groupBy(F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.count(F.when(F.col("c_acctbal") > 2000, 1)).alias("k"))
-    return df.withColumn("majority", F.col("k") >= 0.6 * F.col("n"))
-
-
-def wilson_gate(df: DataFrame, bar: float = 0.6) -> DataFrame:
-    """n, k -> whether the lower Wilson bound reaches the bar."""
-    return df.withColumn("qualified", wilson(F.col("k"), F.col("n"))[0] >= bar)
-
-
 @query("""SELECT sku, mean, var, CASE WHEN var > mean THEN mean * mean / (var - mean) ELSE 1e6::DOUBLE END AS r FROM (SELECT sku, CAST(sum(units) AS DOUBLE) / count(*) AS mean, CAST(sum(units * units) * count(*) - sum(units) * sum(units) AS DOUBLE) / (count(*) * (count(*) - 1)) AS var FROM stock_daily GROUP BY sku HAVING count(*) > 1)""", "staging")
 def d38_demand_dispersion(s: Staging) -> DataFrame:
     n, t, q = F.count("*"), F.sum("units"), F.sum(F.col("units") * F.col("units"))
@@ -180,37 +168,3 @@ def d64_dirty_marks(s: Staging) -> DataFrame:
     """One pending mark for each entity, reason and day, however many events arrive."""
     marks = s.events().select("event_type", F.col("user_id").alias("first_user"), F.to_date("ts").alias("day")).distinct()
     return marks.groupBy("event_type", "first_user").agg(F.count("*").alias("marks"))
-
-
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS n_numbers, list_aggregate(list_transform(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?'), lambda x: length(x)), 'max') AS longest FROM documents")
-def d65_number_extraction(s: Staging) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit("([0-9]+(?:[.][0-9]+)?)"), F.lit(1))
-    return s.raw("documents").select("doc_id", F.size(found).cast("long").alias("n_numbers"), F.array_max(F.transform(found, lambda x: F.length(x))).cast("long").alias("longest"))
-
-
-def match_intervals(found: DataFrame, truth: DataFrame, keys: list[str], slack: int = 3) -> DataFrame:
-    """Detections matched to incidents of the same key within some days: each truth takes its nearest detection, each detection its nearest truth, both ways agreeing."""
-    pairs = found.join(truth, keys).where(F.abs(F.datediff("found_day", "true_day")) <= slack)
-    gap = F.abs(F.datediff("found_day", "true_day"))
-    one = F.row_number().over(Window.partitionBy(*keys, "true_day").orderBy(gap, "found_day"))
-    two = F.row_number().over(Window.partitionBy(*keys, "found_day").orderBy(gap, "true_day"))
-    return pairs.withColumns({"_a": one, "_b": two}).where("_a = 1 and _b = 1").drop("_a", "_b")
-
-
-_DAYS = "f AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS found_day FROM events WHERE event_type = 'error'), t AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS true_day FROM events WHERE event_type = 'signup')"
-
-
-@query(f"""WITH {_DAYS}, p AS (SELECT user_id, found_day, true_day, abs(found_day - true_day) AS gap FROM f JOIN t USING (user_id) WHERE abs(found_day - true_day) <= 3), m AS (SELECT *, row_number() OVER (PARTITION BY user_id, true_day ORDER BY gap, found_day) AS a, row_number() OVER (PARTITION BY user_id, found_day ORDER BY gap, true_day) AS b FROM p)
-SELECT (SELECT count(*) FROM m WHERE a = 1 AND b = 1) AS matched, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM t) AS truths""")
-def d51_incident_matching(s: Staging) -> DataFrame:
-    days = lambda kind, name: s.events().where(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias(name)).distinct()
-    f, t = days("error", "found_day"), days("signup", "true_day")
-    matched = match_intervals(f, t, ["user_id"]).agg(F.count("*").alias("matched"))
-    return matched.join(f.agg(F.count("*").alias("found")), how="cross").join(t.agg(F.count("*").alias("truths")), how="cross")
-
-
-@query(f"SELECT campaign_id, rank, spend FROM (SELECT campaign_id, spend, CAST(row_number() OVER (ORDER BY roas DESC NULLS LAST, campaign_id) AS INTEGER) AS rank FROM (SELECT campaign_id, {D('spend')} AS spend, CASE WHEN abs({D('spend')}) >= 1e-9 THEN 1.0::DOUBLE * {D('platform_revenue')} / {D('spend')} END AS roas FROM ad_daily GROUP BY campaign_id)) WHERE rank <= 5", "staging")
-def d53_rank_strategy(s: Staging) -> DataFrame:
-    df = s.ad_daily().groupBy("campaign_id").agg(dsum("spend").alias("spend"), dsum("platform_revenue").alias("v")).withColumn("roas", safe_ratio("v", "spend"))
-    top = df.orderBy(F.desc_nulls_last("roas"), "campaign_id").limit(5)
-    return top.select("campaign_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("roas"), "campaign_id")).alias("rank"), "spend")

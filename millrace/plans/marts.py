@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import dsum, freshness, health_band, safe_ratio
 from millrace.operators.relational import spine
 from millrace.plans import canonical
 from millrace.plans.registry import query
-from millrace.sources.testdata import LAST_DAY, Staging, dsum_sql
+from millrace.sources.testdata import AS_OF, LAST_DAY, PLATFORMS, Staging, dsum_sql
 
 D = dsum_sql
 
@@ -26,9 +28,31 @@ def _orders(items: DataFrame, *keys: str) -> DataFrame:
     return items.groupBy(*keys).agg(F.countDistinct("order_id").alias("orders"), F.sum("qty").alias("units"), dsum("subtotal").alias("gmv"), dsum("net_revenue").alias("net_revenue"), dsum("cba").alias("cba"))
 
 
-@query(f"SELECT date, campaign_id, ad_id, impressions, clicks, spend, platform_revenue FROM ad_daily WHERE date <= DATE '{LAST_DAY}'", "staging")
+def _with_orders(paid: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """Paid days with what the shop sold by them; 0 where it sold nothing."""
+    df = paid.join(_orders(items, *keys), list(keys), "left")
+    return df.select(*paid.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("orders", "units", "net_revenue", "cba")])
+
+
+_SOLD = f"count(DISTINCT order_id) AS orders, CAST(sum(qty) AS BIGINT) AS units, {D('net_revenue')} AS net_revenue, {D('cba')} AS cba"
+_FILLED = "coalesce(orders, 0) AS orders, coalesce(units, 0) AS units, coalesce(net_revenue, 0.0::DOUBLE) AS net_revenue, coalesce(cba, 0.0::DOUBLE) AS cba"
+
+
+@query(f""", sold AS (SELECT date, ad_id, {_SOLD} FROM order_items WHERE ad_id IS NOT NULL GROUP BY ALL)
+SELECT date, campaign_id, ad_id, impressions, clicks, spend, platform_revenue, {_FILLED} FROM ad_daily LEFT JOIN sold USING (date, ad_id) WHERE date <= DATE '{LAST_DAY}'""", "canonical")
 def creative_daily(s: Staging) -> DataFrame:
-    return _ads(s).select("date", "campaign_id", "ad_id", "impressions", "clicks", "spend", "platform_revenue")
+    paid = _ads(s).select("date", "campaign_id", "ad_id", "impressions", "clicks", "spend", "platform_revenue")
+    return _with_orders(paid, canonical.order_items(s).where("ad_id is not null"), "date", "ad_id")
+
+
+@query(f""", paid AS (SELECT date, adset_id, min(campaign_id) AS campaign_id, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, {D('spend')} AS spend, {D('platform_revenue')} AS platform_revenue FROM ad_daily JOIN adsets USING (ad_id) WHERE date <= DATE '{LAST_DAY}' GROUP BY date, adset_id
+), sold AS (SELECT date, adset_id, {_SOLD} FROM order_items JOIN adsets USING (ad_id) GROUP BY ALL)
+SELECT paid.*, {_FILLED} FROM paid LEFT JOIN sold USING (date, adset_id)""", "canonical")
+def adset_daily(s: Staging) -> DataFrame:
+    """Days of ad sets: what was paid, and the orders of their ads."""
+    sets = s.adsets()
+    paid = _ads(s).join(sets, "ad_id").groupBy("date", "adset_id").agg(F.min("campaign_id").alias("campaign_id"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), dsum("spend").alias("spend"), dsum("platform_revenue").alias("platform_revenue"))
+    return _with_orders(paid, canonical.order_items(s).join(sets, "ad_id"), "date", "adset_id")
 
 
 CAMPAIGN_SQL = f"""
@@ -37,25 +61,22 @@ CAMPAIGN_SQL = f"""
 ), paid AS (SELECT date, campaign_id, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, {D("spend")} AS spend, {D("platform_revenue")} AS platform_revenue FROM ad_daily GROUP BY ALL
 ), sold AS (SELECT date, campaign_id, count(DISTINCT order_id) AS orders, CAST(sum(qty) AS BIGINT) AS units, {D("subtotal")} AS gmv, {D("net_revenue")} AS net_revenue, {D("cba")} AS cba FROM order_items WHERE campaign_id IS NOT NULL GROUP BY ALL
 ), campaign_daily AS (
-  SELECT s.date, s.campaign_id, c.platform, coalesce(p.impressions, 0) AS impressions, coalesce(p.clicks, 0) AS clicks, coalesce(p.spend, 0.0::DOUBLE) AS spend, coalesce(o.orders, 0) AS orders, coalesce(o.units, 0) AS units, coalesce(o.net_revenue, 0.0::DOUBLE) AS net_revenue, coalesce(o.cba, 0.0::DOUBLE) AS cba
-  FROM spine s JOIN campaigns c USING (campaign_id) LEFT JOIN paid p USING (date, campaign_id) LEFT JOIN sold o USING (date, campaign_id))
+  SELECT s.date, s.campaign_id, c.platform, coalesce(p.impressions, 0) AS impressions, coalesce(p.clicks, 0) AS clicks, coalesce(p.spend, 0.0::DOUBLE) AS spend, coalesce(o.orders, 0) AS orders, coalesce(o.units, 0) AS units, coalesce(o.net_revenue, 0.0::DOUBLE) AS net_revenue, coalesce(o.cba, 0.0::DOUBLE) AS cba,
+    r.reach, coalesce(g.ga_sessions, 0) AS ga_sessions, coalesce(g.ga_purchases, 0) AS ga_purchases, coalesce(g.ga_revenue, 0.0::DOUBLE) AS ga_revenue
+  FROM spine s JOIN campaigns c USING (campaign_id) LEFT JOIN paid p USING (date, campaign_id) LEFT JOIN sold o USING (date, campaign_id) LEFT JOIN ga_daily g USING (date, campaign_id) LEFT JOIN reach_daily r USING (date, campaign_id))
 """
 
 
 @query(CAMPAIGN_SQL + "SELECT * FROM campaign_daily", "canonical")
 def campaign_daily(s: Staging) -> DataFrame:
-    """A complete calendar of each campaign from its first day on."""
+    """A complete calendar of each campaign from its first day on, with what was paid, sold, seen on the site and reached."""
     paid = _sums(_ads(s), "date", "campaign_id")
     sold = _orders(canonical.order_items(s).where("campaign_id is not null"), "date", "campaign_id")
     days = paid.groupBy("campaign_id").agg(F.min("date").alias("first")).withColumn("last", F.lit(LAST_DAY).cast("date"))
     df = spine(days, "first", "last").join(s.campaigns().select("campaign_id", "platform"), "campaign_id").join(paid, ["date", "campaign_id"], "left").join(sold, ["date", "campaign_id"], "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("impressions", "clicks", "spend", "orders", "units", "net_revenue", "cba")}
-    return df.select("date", "campaign_id", "platform", *[v.alias(k) for k, v in zero.items()])
-
-
-@query(f"SELECT platform, date, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, {D('spend')} AS spend, {D('platform_revenue')} AS platform_revenue FROM ad_daily JOIN campaigns USING (campaign_id) WHERE date <= DATE '{LAST_DAY}' GROUP BY ALL", "staging")
-def adset_daily(s: Staging) -> DataFrame:
-    return _sums(_ads(s).join(s.campaigns().select("campaign_id", "platform"), "campaign_id"), "platform", "date")
+    df = df.join(s.ga_daily(), ["date", "campaign_id"], "left").join(s.reach_daily(), ["date", "campaign_id"], "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("impressions", "clicks", "spend", "orders", "units", "net_revenue", "cba", "ga_sessions", "ga_purchases", "ga_revenue")}
+    return df.select("date", "campaign_id", "platform", "reach", *[v.alias(k) for k, v in zero.items()])
 
 
 @query(f"""
@@ -129,33 +150,80 @@ def overview_7d(s: Staging) -> DataFrame:
     return both.select(F.col("net_revenue_l").alias("net_revenue"), "orders", F.col("mer_l").alias("mer"), F.col("poas_l").alias("poas"), change("mer").alias("mer_change"), change("net_revenue").alias("revenue_change"))
 
 
-@query(f"""
-, sources AS (
-  SELECT 'orders' AS source, max(CAST(available_at AS DATE)) AS newest, count(*) AS n_rows, count(*) FILTER (WHERE qty <= 0 OR subtotal < 0) AS bad, 12.0::DOUBLE AS sla FROM known
-  UNION ALL SELECT 'refunds', max(refund_date), count(*), count(*) FILTER (WHERE lag_days < 0), 24.0 FROM refund_lines WHERE refund_date <= DATE '{LAST_DAY}'
-  UNION ALL SELECT 'ads', max(date), count(*), count(*) FILTER (WHERE clicks > impressions OR spend < 0), 24.0 FROM ad_daily WHERE date <= DATE '{LAST_DAY}'
-  UNION ALL SELECT 'stock', max(date), count(*), count(*) FILTER (WHERE reserved > on_hand), 36.0 FROM stock_daily WHERE date <= DATE '{LAST_DAY}'
-), scored AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (3.0::DOUBLE * sla - 24.0::DOUBLE * (DATE '{LAST_DAY}' - newest)) / (2.0::DOUBLE * sla))) AS fresh, 1.0::DOUBLE - bad::DOUBLE / n_rows AS valid FROM sources)
-SELECT source, newest, n_rows, bad, fresh, valid, 50.0::DOUBLE * fresh + 50.0::DOUBLE * valid AS score, CASE WHEN n_rows = 0 THEN 'RED' WHEN 50.0::DOUBLE * fresh + 50.0::DOUBLE * valid >= 85 THEN 'GREEN' WHEN 50.0::DOUBLE * fresh + 50.0::DOUBLE * valid >= 60 THEN 'YELLOW' ELSE 'RED' END AS band FROM scored
-""", "canonical")
-def data_health(s: Staging) -> DataFrame:
-    """Freshness, validity and band of each source."""
-    last = F.lit(LAST_DAY).cast("date")
+#: Source -> hours within which it must arrive. Weights of freshness, completeness and consistency; the band of row counts; days before the newest.
+SLA = {"meta_ads": 24, "google_ads": 24, "tiktok_ads": 24, "amazon_ads": 36, "store": 24, "store_refunds": 24, "ga4": 30, "erp": 24, "finance": 168}
+WEIGHTS, ROW_BAND, TRAILING = (0.4, 0.3, 0.3), 0.40, 7
+
+_ADS_FACTS = " UNION ALL ".join(
+    f"SELECT '{p}_ads' AS source, date AS day, date + INTERVAL 30 HOUR AS available_at, ad_id IS NULL OR campaign_id IS NULL AS missing, spend < 0 OR clicks > impressions OR impressions < 0 AS bad, c.campaign_id IS NULL AS orphan FROM (SELECT a.*, 'Brand' AS k FROM ad_daily a) a LEFT JOIN campaigns c USING (campaign_id) WHERE coalesce(c.platform, '{p}') = '{p}'"
+    for p in ("meta", "google", "tiktok", "amazon")
+)
+_HEALTH = f"""
+, facts AS (
+  {_ADS_FACTS}
+  UNION ALL SELECT 'store', l.date, l.available_at, l.sku IS NULL OR customer_id IS NULL, unit_price < 0 OR qty <= 0 OR subtotal < 0, utm_campaign IS NOT NULL AND c.campaign_id IS NULL FROM order_lines l LEFT JOIN campaigns c ON c.campaign_id = l.utm_campaign
+  UNION ALL SELECT 'store_refunds', refund_date, refund_date + INTERVAL 24 HOUR, sku IS NULL, amount < 0, l.o IS NULL FROM refund_lines r LEFT JOIN (SELECT DISTINCT order_id AS o FROM order_lines) l ON r.order_id = l.o
+  UNION ALL SELECT 'ga4', date, date + INTERVAL 24 HOUR, campaign_id IS NULL, ga_sessions < 0 OR ga_purchases < 0, false FROM ga_daily
+  UNION ALL SELECT 'erp', date, date + INTERVAL 24 HOUR, sku IS NULL, on_hand < 0 OR reserved < 0 OR reserved > on_hand, false FROM stock_daily
+  UNION ALL SELECT 'finance', DATE '{LAST_DAY}', DATE '{LAST_DAY}' + INTERVAL 24 HOUR, sku IS NULL, cogs < 0 OR fee_pct < 0 OR fee_pct > 0.2, false FROM products
+), days AS (SELECT source, day, count(*) AS n, count(*) FILTER (WHERE missing) AS missing, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE orphan) AS orphan, max(available_at) AS newest_at FROM facts WHERE available_at <= TIMESTAMP '{AS_OF}' GROUP BY ALL
+), newest AS (SELECT source, max(day) AS newest, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(orphan) AS BIGINT) AS orphan FROM days GROUP BY source
+), measured AS (
+  SELECT w.source, w.newest, w.bad, w.orphan, d.n, d.missing, CAST(date_diff('second', d.newest_at, TIMESTAMP '{AS_OF}') AS DOUBLE) / 3600 AS age, (SELECT CAST(sum(t.n) AS DOUBLE) / count(*) FROM days t WHERE t.source = w.source AND t.day < w.newest AND t.day >= w.newest - {TRAILING}) AS usual FROM newest w JOIN days d ON d.source = w.source AND d.day = w.newest
+), slas(source, sla) AS (VALUES {", ".join(f"('{k}', {v}.0::DOUBLE)" for k, v in SLA.items())}
+), parts AS (
+  SELECT m.*, sla, CASE WHEN age <= sla THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (age - sla) / (2.0::DOUBLE * sla)) END AS fresh,
+    greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(missing AS DOUBLE) / n - least(greatest(coalesce(abs(CAST(n AS DOUBLE) / usual - 1.0::DOUBLE), 0.0::DOUBLE) - {ROW_BAND}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)) AS complete,
+    (CASE WHEN bad = 0 THEN 1 ELSE 0 END + CASE WHEN orphan = 0 THEN 1 ELSE 0 END)::DOUBLE / 2 AS consistent FROM measured m JOIN slas USING (source)
+), scored AS (SELECT *, round(100.0::DOUBLE * ({WEIGHTS[0]}::DOUBLE * fresh + {WEIGHTS[1]}::DOUBLE * complete + {WEIGHTS[2]}::DOUBLE * consistent), 6) AS score, source LIKE '%_ads' AND bad > 0 AS hard FROM parts)
+, data_health AS (SELECT source, newest, age, fresh, complete, consistent, score, CASE WHEN hard THEN 'RED' WHEN score >= 85 THEN 'GREEN' WHEN score >= 60 THEN 'YELLOW' ELSE 'RED' END AS band FROM scored
+  UNION ALL SELECT source, NULL, NULL, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 60.0::DOUBLE, 'RED' FROM slas WHERE source NOT IN (SELECT source FROM newest))
+"""
 
-    def one(df: DataFrame, source: str, day: str, bad: str, sla: float) -> DataFrame:
-        return df.agg(F.lit(source).alias("source"), F.max(F.col(day).cast("date")).alias("newest"), F.count("*").alias("n_rows"), F.count(F.when(F.expr(bad), 1)).alias("bad"), F.lit(sla).alias("sla"))
 
+def _facts(s: Staging) -> DataFrame:
+    """source, day, available_at, and whether a key is missing, a value is out of range, a reference leads nowhere, of each row of each source."""
+    at = lambda day, hours: F.col(day).cast("timestamp_ntz") + F.expr(f"interval {hours} hours")
+
+    def one(df: DataFrame, source, day: str, available, missing: str, bad: str, orphan: str = "false") -> DataFrame:
+        return df.select((F.lit(source) if isinstance(source, str) else source).alias("source"), F.col(day).alias("day"), available.alias("available_at"), F.expr(missing).alias("missing"), F.expr(bad).alias("bad"), F.expr(orphan).alias("orphan"))
+
+    known = s.campaigns().select(F.col("campaign_id").alias("_c"), "platform")
+    ads = s.ad_daily().join(known, F.col("campaign_id") == F.col("_c"), "left")
+    ads = ads.withColumn("source", F.explode(F.when(F.col("platform").isNull(), F.array(*[F.lit(p) for p in PLATFORMS])).otherwise(F.array("platform"))))
+    lines, orders = s.order_lines().join(known, F.col("utm_campaign") == F.col("_c"), "left"), s.order_lines().select(F.col("order_id").alias("_o")).distinct()
     parts = [
-        one(canonical.known_lines(s), "orders", "available_at", "qty <= 0 or subtotal < 0", 12.0), one(s.refund_lines().where(F.col("refund_date") <= last), "refunds", "refund_date", "lag_days < 0", 24.0),
-        one(_ads(s), "ads", "date", "clicks > impressions or spend < 0", 24.0), one(s.stock_daily().where(F.col("date") <= last), "stock", "date", "reserved > on_hand", 36.0),
+        one(ads, F.concat("source", F.lit("_ads")), "date", at("date", 30), "ad_id is null or campaign_id is null", "spend < 0 or clicks > impressions or impressions < 0", "_c is null"),
+        one(lines, "store", "date", F.col("available_at"), "sku is null or customer_id is null", "unit_price < 0 or qty <= 0 or subtotal < 0", "utm_campaign is not null and _c is null"),
+        one(s.refund_lines().join(orders, F.col("order_id") == F.col("_o"), "left"), "store_refunds", "refund_date", at("refund_date", 24), "sku is null", "amount < 0", "_o is null"),
+        one(s.ga_daily(), "ga4", "date", at("date", 24), "campaign_id is null", "ga_sessions < 0 or ga_purchases < 0"),
+        one(s.stock_daily(), "erp", "date", at("date", 24), "sku is null", "on_hand < 0 or reserved < 0 or reserved > on_hand"),
+        one(s.products().withColumn("day", F.lit(LAST_DAY).cast("date")), "finance", "day", at("day", 24), "sku is null", "cogs < 0 or fee_pct < 0 or fee_pct > 0.2"),
     ]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    hours = F.lit(24.0) * F.datediff(last, F.col("newest"))
-    fresh = F.when(F.col("sla") == 12.0, freshness(hours, 12.0)).when(F.col("sla") == 24.0, freshness(hours, 24.0)).otherwise(freshness(hours, 36.0))
-    df = df.withColumns({"fresh": fresh, "valid": F.lit(1.0) - F.col("bad") / F.col("n_rows")}).withColumn("score", F.lit(50.0) * F.col("fresh") + F.lit(50.0) * F.col("valid"))
-    return df.withColumn("band", health_band(F.col("score"), F.col("n_rows") == 0)).drop("sla")
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(_HEALTH + "SELECT * FROM data_health", "canonical")
+def data_health(s: Staging) -> DataFrame:
+    """Freshness, completeness, consistency, score and band of each source. One aggregate to days, the rest over a row for each source and day."""
+    counts = {c: F.count(F.when(F.col(c), 1)) for c in ("missing", "bad", "orphan")}
+    days = _facts(s).where(F.col("available_at") <= F.lit(AS_OF).cast("timestamp_ntz")).groupBy("source", "day").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in counts.items()], F.max("available_at").alias("newest_at"))
+    days = days.withColumn("newest", F.max("day").over(Window.partitionBy("source")))
+    last, before = F.col("day") == F.col("newest"), (F.col("day") < F.col("newest")) & (F.col("day") >= F.date_sub("newest", TRAILING))
+    of_last = lambda c: F.max(F.when(last, F.col(c)))
+    m = days.groupBy("source", "newest").agg(F.sum("bad").alias("bad"), F.sum("orphan").alias("orphan"), of_last("n").alias("n"), of_last("missing").alias("missing"), of_last("newest_at").alias("newest_at"), (F.sum(F.when(before, F.col("n"))).cast("double") / F.count(F.when(before, 1))).alias("usual"))
+    slas = s.spark.createDataFrame([(k, float(v)) for k, v in SLA.items()], "source string, sla double")
+    m = slas.join(m, "source", "left")
+    age = F.timestamp_diff("SECOND", F.col("newest_at"), F.lit(AS_OF).cast("timestamp_ntz")).cast("double") / 3600
+    off = F.greatest(F.coalesce(F.abs(F.col("n").cast("double") / F.col("usual") - 1.0), F.lit(0.0)) - F.lit(ROW_BAND), F.lit(0.0))
+    m = m.withColumn("age", age).withColumns({
+        "fresh": F.when(F.col("age").isNull(), 0.0).otherwise(freshness(F.col("age"), F.col("sla"))),
+        "complete": F.when(F.col("newest").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("missing").cast("double") / F.col("n") - F.least(off, F.lit(1.0)))),
+        "consistent": (F.when(F.coalesce("bad", F.lit(0)) == 0, 1).otherwise(0) + F.when(F.coalesce("orphan", F.lit(0)) == 0, 1).otherwise(0)).cast("double") / 2,
+    })
+    score = F.round(F.lit(100.0) * (F.lit(WEIGHTS[0]) * F.col("fresh") + F.lit(WEIGHTS[1]) * F.col("complete") + F.lit(WEIGHTS[2]) * F.col("consistent")), 6)
+    failed = F.col("newest").isNull() | (F.col("source").endswith("_ads") & (F.col("bad") > 0))
+    return m.select("source", "newest", "age", "fresh", "complete", "consistent", score.alias("score"), health_band(score, failed).alias("band"))
 
 
 @query("SELECT sku, rate FROM return_rates", "canonical")

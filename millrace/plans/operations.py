@@ -10,7 +10,7 @@ from millrace.operators import relational as r
 from millrace.plans import canonical, diagnosis
 from millrace.plans.registry import query
 from millrace.sources import ingest
-from millrace.sources.testdata import LAST_DAY, Staging, dsum_sql
+from millrace.sources.testdata import LAST_DAY, PLATFORMS, Staging, dsum_sql
 
 D = dsum_sql
 WEEKS = diagnosis.WEEKS
@@ -32,11 +32,11 @@ def s15_normalise_report(s: Staging) -> DataFrame:
     return ingest.normalise_report(raw, ["date", "event_type", "id"])
 
 
-@query("SELECT l_partkey AS sku, CAST(sum(l_linenumber) AS BIGINT) AS inbound, min(CAST(l_shipdate AS DATE)) AS next_arrival FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01' GROUP BY l_partkey")
+@query("SELECT l_partkey AS sku, CAST(sum(l_linenumber) AS BIGINT) AS inbound, min(CAST(l_shipdate AS DATE)) AS next_arrival FROM lineitem GROUP BY l_partkey")
 def s16_inbound_arrays(s: Staging) -> DataFrame:
     """Sums and minima over nested arrays of a payload."""
     one = F.struct(F.col("l_linenumber").cast("long").alias("q"), F.to_date("l_shipdate").alias("d"))
-    nested = s.raw("lineitem").where("l_shipdate >= '2001-06-01'").groupBy(F.col("l_partkey").alias("sku")).agg(F.collect_list(one).alias("inbound"))
+    nested = s.raw("lineitem").groupBy(F.col("l_partkey").alias("sku")).agg(F.collect_list(one).alias("inbound"))
     return nested.select("sku", F.aggregate("inbound", F.lit(0).cast("long"), lambda a, x: a + x["q"]).alias("inbound"), F.array_min(F.transform("inbound", lambda x: x["d"])).alias("next_arrival"))
 
 
@@ -146,11 +146,11 @@ def d21_saturation_evidence(s: Staging) -> DataFrame:
     return df.groupBy("campaign_id").agg(F.count("*").alias("weeks"), F.count(F.when((F.col("spend") > 1.3 * F.col("s0")) & (F.col("clicks") < 1.1 * F.col("c0")), 1)).alias("saturated"))
 
 
-@query(f"""SELECT date, orders, expected, coalesce(abs(ln(orders / expected)) >= ln(1.15::DOUBLE), false) AS shifted FROM (SELECT date, CAST(orders AS DOUBLE) AS orders, CAST(lag(orders, 7) OVER w + lag(orders, 14) OVER w AS DOUBLE) / 2 AS expected FROM (SELECT date, count(DISTINCT order_id) AS orders FROM order_items WHERE channel NOT IN ('google', 'meta') GROUP BY date) WINDOW w AS (ORDER BY date)) WHERE date > DATE '{LAST_DAY}' - 60""", "canonical")
+@query(f"""SELECT date, orders, expected, coalesce(abs(ln(orders / expected)) >= ln(1.15::DOUBLE), false) AS shifted FROM (SELECT date, CAST(orders AS DOUBLE) AS orders, CAST(lag(orders, 7) OVER w + lag(orders, 14) OVER w AS DOUBLE) / 2 AS expected FROM (SELECT date, count(DISTINCT order_id) AS orders FROM order_items WHERE channel NOT IN ('meta', 'google', 'tiktok', 'amazon') GROUP BY date) WINDOW w AS (ORDER BY date)) WHERE date > DATE '{LAST_DAY}' - 60""", "canonical")
 def d22_demand_evidence(s: Staging) -> DataFrame:
     """Unpaid orders against the same weekday before: did demand itself move? Over a row for each calendar day."""
     w = Window.orderBy("date")
-    days = canonical.order_items(s).where(~F.col("channel").isin("google", "meta")).groupBy("date").agg(F.countDistinct("order_id").alias("n"))
+    days = canonical.order_items(s).where(~F.col("channel").isin(*PLATFORMS)).groupBy("date").agg(F.countDistinct("order_id").alias("n"))
     df = days.select("date", F.col("n").cast("double").alias("orders"), ((F.lag("n", 7).over(w) + F.lag("n", 14).over(w)).cast("double") / 2).alias("expected"))
     return df.withColumn("shifted", F.coalesce(F.abs(F.log(F.col("orders") / F.col("expected"))) >= F.log(F.lit(1.15)), F.lit(False))).where(F.col("date") > F.date_sub(F.lit(LAST_DAY).cast("date"), 60))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import METRICS, canonical_hash, days_of_cover, dsum, inventory_band, metric, safe_ratio, wilson
+from millrace.functions.columns import METRICS, days_of_cover, dsum, inventory_band, metric, safe_ratio, wilson
 from millrace.operators import relational as r
 from millrace.plans import canonical
 from millrace.plans.registry import query
@@ -94,7 +94,8 @@ def p13_metrics_library(s: Staging) -> DataFrame:
   LEFT JOIN budget_history b ON a.campaign_id = b.campaign_id AND b.effective_from <= a.date AND (b.effective_to IS NULL OR a.date < b.effective_to)""", "canonical")
 def j17_budget_in_effect(s: Staging) -> DataFrame:
     days = s.ad_daily().groupBy("date", "campaign_id").agg(dsum("spend").alias("spend"))
-    return r.interval_join(days, canonical.budget_history(s), ["campaign_id"], "date").select("date", "campaign_id", "spend", "budget")
+    # histories have no gaps, so the last change before a day is the one in effect: one sort of both sides, no pairs
+    return r.asof_join(days, canonical.budget_history(s), ["campaign_id"], "date", "effective_from", ["budget"]).select("date", "campaign_id", "spend", "budget")
 
 
 @query("""SELECT o.order_id, o.line_item_id, o.date, p.price FROM order_lines o LEFT JOIN price_history p ON p.sku = o.sku AND p.effective_from <= o.date AND (p.effective_to IS NULL OR o.date < p.effective_to)""", "staging")
@@ -180,14 +181,18 @@ def a20_exact_quantiles(s: Staging) -> DataFrame:
     return s.raw("part").groupBy("p_type").agg(F.median("p_retailprice").alias("median_price"), F.percentile("p_retailprice", F.lit(0.1)).alias("p10"), F.percentile("p_retailprice", F.lit(0.9)).alias("p90"))
 
 
-@query("""SELECT campaign_id, 1.0::DOUBLE - 6.0::DOUBLE * sum((a - b) * (a - b)) / (count(*) * (count(*) * count(*) - 1)) AS rho FROM (
-  SELECT campaign_id, row_number() OVER (PARTITION BY campaign_id ORDER BY spend, ad_id) AS a, row_number() OVER (PARTITION BY campaign_id ORDER BY clicks, ad_id) AS b FROM (SELECT campaign_id, ad_id, CAST(sum(CAST(spend AS DECIMAL(38,6))) AS DOUBLE) AS spend, sum(clicks) AS clicks FROM ad_daily GROUP BY ALL)) GROUP BY campaign_id HAVING count(*) > 1""", "staging")
+@query("""SELECT campaign_id, CASE WHEN count(*) * sum(a * a) - sum(a) * sum(a) > 0 AND count(*) * sum(b * b) - sum(b) * sum(b) > 0 THEN CAST(count(*) * sum(a * b) - sum(a) * sum(b) AS DOUBLE) / (sqrt(CAST(count(*) * sum(a * a) - sum(a) * sum(a) AS DOUBLE)) * sqrt(CAST(count(*) * sum(b * b) - sum(b) * sum(b) AS DOUBLE))) END AS rho FROM (
+  SELECT campaign_id, 2 * rank() OVER x + count(*) OVER (PARTITION BY campaign_id, clicks) - 1 AS a, 2 * rank() OVER y + count(*) OVER (PARTITION BY campaign_id, days) - 1 AS b FROM (SELECT campaign_id, ad_id, CAST(sum(clicks) AS BIGINT) // 100 AS clicks, count(*) AS days FROM ad_daily GROUP BY ALL)
+  WINDOW x AS (PARTITION BY campaign_id ORDER BY clicks), y AS (PARTITION BY campaign_id ORDER BY days)) GROUP BY campaign_id""", "staging")
 def a21_rank_correlation(s: Staging) -> DataFrame:
-    ads = s.ad_daily().groupBy("campaign_id", "ad_id").agg(dsum("spend").alias("spend"), F.sum("clicks").alias("clicks"))
-    by = lambda c: F.row_number().over(Window.partitionBy("campaign_id").orderBy(c, "ad_id"))
-    df = ads.select("campaign_id", by("spend").alias("a"), by("clicks").alias("b"))
-    n = F.count("*")
-    return df.groupBy("campaign_id").agg(n.alias("n"), F.when(n > 1, F.lit(1.0) - F.lit(6.0) * F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))) / (n * (n * n - 1))).alias("rho")).where("n > 1").drop("n")
+    """Spearman's rho with average ranks for ties; ranks are doubled, so all sums are of whole numbers."""
+    ads = s.ad_daily().groupBy("campaign_id", "ad_id").agg(F.expr("sum(clicks) div 100").alias("clicks"), F.count("*").alias("days"))
+    twice = lambda c: 2 * F.rank().over(Window.partitionBy("campaign_id").orderBy(c)).cast("long") + F.count(F.lit(1)).over(Window.partitionBy("campaign_id", c)) - 1
+    df = ads.select("campaign_id", twice("clicks").alias("a"), twice("days").alias("b"))
+    n, a, b = F.count("*"), F.col("a"), F.col("b")
+    spread = lambda x: n * F.sum(x * x) - F.sum(x) * F.sum(x)
+    rho = (n * F.sum(a * b) - F.sum(a) * F.sum(b)).cast("double") / (F.sqrt(spread(a).cast("double")) * F.sqrt(spread(b).cast("double")))
+    return df.groupBy("campaign_id").agg(spread(a).alias("_a"), spread(b).alias("_b"), F.when((spread(a) > 0) & (spread(b) > 0), rho).alias("rho")).drop("_a", "_b")
 
 
 _Z = "1.959963984540054::DOUBLE"
@@ -303,13 +308,6 @@ def u04_difference(s: Staging) -> DataFrame:
     return r.null_safe_diff(old, r.latest_value(prices, ["sku"], "effective_from", ["price"]), ["sku"], "price")
 
 
-@query("SELECT sha256(string_agg(h, '' ORDER BY h)) AS content_hash, count(*) AS n_rows FROM (SELECT sha256('=' || n_nationkey || '|' || '=' || n_name || '|' || '=' || n_regionkey) AS h FROM nation)")
-def s06_content_hash(s: Staging) -> DataFrame:
-    """The hash of a small table: row hashes in their own order, so that the order of rows does not matter."""
-    rows = s.raw("nation").select(canonical_hash("n_nationkey", "n_name", "n_regionkey").alias("h"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("content_hash"), F.count("*").alias("n_rows"))
-
-
 @query(f"SELECT sku, available, mean_units, CASE WHEN mean_units > 0 THEN available / mean_units END AS cover, CASE WHEN NOT mean_units > 0 OR mean_units IS NULL THEN 'UNBOUNDED' WHEN available / mean_units < 3 THEN 'CRITICAL' WHEN available / mean_units < 7 THEN 'LOW' WHEN available / mean_units < 21 THEN 'HEALTHY' WHEN available / mean_units < 45 THEN 'HIGH' ELSE 'EXCESS' END AS band FROM inventory_daily WHERE date <= DATE '{LAST_DAY}' QUALIFY row_number() OVER (PARTITION BY sku ORDER BY date DESC) = 1", "canonical")
 def f_inventory_band(s: Staging) -> DataFrame:
     now = r.latest_per_key(canonical.inventory_daily(s).where(F.col("date") <= LAST), ["sku"], [F.desc("date")])

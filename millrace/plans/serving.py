@@ -25,23 +25,26 @@ def v_reconciliation_28d(s: Staging) -> DataFrame:
     return df.groupBy("platform").agg(dsum("platform_revenue").alias("claimed"), dsum("spend").alias("spend")).withColumn("platform_roas", safe_ratio("claimed", "spend"))
 
 
-@query(f""", now AS (SELECT sku, available, mean_units, reorder_point FROM inventory_daily WHERE date <= DATE '{LAST_DAY}' QUALIFY row_number() OVER (PARTITION BY sku ORDER BY date DESC) = 1), w AS (SELECT sku, sum(weight) AS weight FROM campaign_sku GROUP BY sku)
+@query(f""", now AS (SELECT sku, available, mean_units, reorder_point FROM inventory_daily WHERE date <= DATE '{LAST_DAY}' QUALIFY row_number() OVER (PARTITION BY sku ORDER BY date DESC) = 1), w AS (SELECT TRY_CAST(sku AS BIGINT) AS sku, sum(weight) AS weight FROM campaign_sku GROUP BY 1)
 SELECT n.sku, p.title, p.category, n.available, CASE WHEN n.available < 0.5::DOUBLE * n.reorder_point THEN 'RESTOCK' WHEN n.available < n.reorder_point AND w.weight > 0.01 THEN 'HOLD_SPEND' WHEN n.available < n.reorder_point THEN 'EXPEDITE' WHEN n.mean_units > 0 AND n.available / n.mean_units > 45 THEN 'CLEAR_EXCESS' WHEN w.weight > 0.02 THEN 'SCALE_DEMAND' ELSE 'CONTINUE' END AS action
 FROM now n JOIN products p USING (sku) LEFT JOIN w USING (sku)""", "canonical")
 def v_inventory_actions(s: Staging) -> DataFrame:
     """The first rule that fits names the action of a SKU."""
     last = F.lit(LAST_DAY).cast("date")
     now = r.latest_per_key(canonical.inventory_daily(s).where(F.col("date") <= last), ["sku"], [F.desc("date")])
-    w = canonical.campaign_sku(s, canonical.order_items(s)).groupBy("sku").agg(F.sum("weight").alias("weight"))
+    w = canonical.campaign_sku(s, canonical.order_items(s)).groupBy(F.col("sku").try_cast("long").alias("sku")).agg(F.sum("weight").alias("weight"))
     df = now.join(s.products().select("sku", "title", "category"), "sku").join(w, "sku", "left")
     a, p = F.col("available"), F.col("reorder_point")
     action = F.when(a < 0.5 * p, "RESTOCK").when((a < p) & (F.col("weight") > 0.01), "HOLD_SPEND").when(a < p, "EXPEDITE").when((F.col("mean_units") > 0) & (a / F.when(F.col("mean_units") > 0, F.col("mean_units")) > 45), "CLEAR_EXCESS").when(F.col("weight") > 0.02, "SCALE_DEMAND").otherwise("CONTINUE")
     return df.select("sku", "title", "category", "available", action.alias("action"))
 
 
-@query(", w AS (SELECT campaign_id, count(*) AS skus, count(*) FILTER (WHERE weight > 0.02) AS heavy, max(weight) AS most FROM campaign_sku GROUP BY campaign_id) SELECT * FROM w", "canonical")
+@query(f", t AS (SELECT campaign_id, count(*) - 1 AS skus, {D('revenue')} AS total, {D(f"CASE WHEN sku = '{canonical.UNMAPPED}' THEN revenue ELSE 0.0::DOUBLE END")} AS unmapped, max(CASE WHEN sku = '{canonical.UNMAPPED}' THEN weight END) AS unmapped_weight FROM campaign_sku GROUP BY campaign_id) SELECT campaign_id, skus, CASE WHEN abs(total) >= 1e-9 THEN 1.0::DOUBLE - unmapped / total END AS coverage, unmapped_weight, unmapped_weight > 0.2 AS flagged FROM t", "canonical")
 def v_mapping_coverage(s: Staging) -> DataFrame:
-    return canonical.campaign_sku(s, canonical.order_items(s)).groupBy("campaign_id").agg(F.count("*").alias("skus"), F.count(F.when(F.col("weight") > 0.02, 1)).alias("heavy"), F.max("weight").alias("most"))
+    """How much of each campaign's revenue falls on its own SKUs; flagged where a fifth of the weight does not."""
+    outside = F.col("sku") == canonical.UNMAPPED
+    t = canonical.campaign_sku(s, canonical.order_items(s)).groupBy("campaign_id").agg((F.count("*") - 1).alias("skus"), dsum("revenue").alias("total"), dsum(F.when(outside, F.col("revenue")).otherwise(0.0)).alias("unmapped"), F.max(F.when(outside, F.col("weight"))).alias("unmapped_weight"))
+    return t.select("campaign_id", "skus", F.when(F.abs("total") >= 1e-9, F.lit(1.0) - F.col("unmapped") / F.col("total")).alias("coverage"), "unmapped_weight", (F.col("unmapped_weight") > 0.2).alias("flagged"))
 
 
 @query(marts.BRAND_SQL + f"SELECT date, net_revenue, (lag(net_revenue, 7) OVER w + lag(net_revenue, 14) OVER w + lag(net_revenue, 21) OVER w + lag(net_revenue, 28) OVER w) / 4 AS baseline FROM brand_daily WINDOW w AS (ORDER BY date) QUALIFY date > DATE '{LAST_DAY}' - 28", "canonical")
@@ -71,9 +74,9 @@ def s30_keyset_page(s: Staging) -> DataFrame:
     return s.raw("orders").where("o_orderkey > 5000").orderBy("o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT count(*) AS n_rows, 1.0::DOUBLE * count(*) FILTER (WHERE o.o_orderkey IS NULL) / count(*) AS orphan_rate, min(CAST(l_shipdate AS DATE)) AS first, max(CAST(l_shipdate AS DATE)) AS last, CAST(max(CAST(l_shipdate AS DATE)) - min(CAST(l_shipdate AS DATE)) AS INTEGER) AS days FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o.o_orderkey")
+@query("SELECT count(*) AS n_rows, 1.0::DOUBLE * count(*) FILTER (WHERE o.o_orderkey IS NULL) / count(*) AS orphan_rate, min(CAST(l_shipdate AS DATE)) AS first, max(CAST(l_shipdate AS DATE)) AS last, CAST(max(CAST(l_shipdate AS DATE)) - min(CAST(l_shipdate AS DATE)) AS INTEGER) AS days, 1.0::DOUBLE * count(*) FILTER (WHERE l_linenumber > 1) / count(*) AS link_rate FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o.o_orderkey")
 def s27_profiling_gate(s: Staging) -> DataFrame:
-    return ingest.profile(s.raw("lineitem"), "l_orderkey", s.raw("orders").where("o_orderstatus <> 'P'"), "o_orderkey", "l_shipdate")
+    return ingest.profile(s.raw("lineitem"), "l_orderkey", s.raw("orders").where("o_orderstatus <> 'P'"), "o_orderkey", "l_shipdate", "l_linenumber > 1")
 
 
 @query("""SELECT l_orderkey, l_linenumber, arg_max(l_partkey, (l_shipdate, l_partkey)) AS l_partkey, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL""")

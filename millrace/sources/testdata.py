@@ -1,17 +1,27 @@
-"""Staging tables of the engine, made from the star-schema test tables. Every adapter has a twin in STAGING, the SQL prelude of the oracle texts."""
+"""Staging tables of the engine, made from the star-schema test tables. Every adapter has a twin in STAGING, the SQL prelude of the oracle texts.
+
+Tables that several queries read are held: computed once for a session and folder, written to the shared folder, and read back, so filters and columns reach their files.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import dsum
 from millrace.operators.relational import history, latest_per_key
+from millrace.sources.scratch import scratch_path
 
 #: Priority -> (source, medium).
 UTM = {"1-URGENT": ("google", "cpc"), "2-HIGH": ("facebook", "paid"), "3-MEDIUM": ("newsletter", "email"), "4-NOT SPECIFIED": ("google", "organic")}
 AS_OF = "2001-06-30 00:00:00"
 LAST_DAY = "2001-06-29"
+PLATFORMS = ("meta", "google", "tiktok", "amazon")
+
+#: Where held tables lie: (application, folder of the inputs, name) -> path.
+_AT: dict[tuple[str, str, str], str] = {}
 
 
 class Staging:
@@ -23,7 +33,25 @@ class Staging:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def held(self, name: str, build: Callable[[], DataFrame], *order: str) -> DataFrame:
+        """build(), written once; with an order, in ranges of it, so that a filter on it skips files."""
+        key, df = (self.spark.sparkContext.applicationId, self.sf_dir, name), build()
+        if key not in _AT:
+            path = scratch_path(self.spark, name)
+            (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.parquet(path)
+            _AT[key] = path
+        return self.spark.read.schema(df.schema).parquet(_AT[key])
+
     def order_lines(self) -> DataFrame:
+        return self.held("order-lines", self._order_lines)
+
+    def ad_daily(self) -> DataFrame:
+        return self.held("ad-daily", self._ad_daily)
+
+    def stock_daily(self) -> DataFrame:
+        return self.held("stock-daily", self._stock_daily)
+
+    def _order_lines(self) -> DataFrame:
         """One row for each (order_id, line_item_id); of several versions the last shipped."""
         items = self.raw("lineitem").join(self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
         items = items.join(self.raw("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -43,19 +71,19 @@ class Staging:
         return self.order_lines().where("returned").select("order_id", "line_item_id", "sku", F.col("ship_date").alias("refund_date"), F.col("subtotal").alias("amount"), F.datediff("ship_date", "date").alias("lag_days"))
 
     def products(self) -> DataFrame:
-        return self.raw("part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * 0.4).alias("cogs"), (F.col("p_size") * 0.5).alias("ship_cost"), F.lit(0.02).alias("fee_pct"))
+        return self.raw("part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * 0.4).alias("cogs"), (F.col("p_size") * 0.5).alias("ship_cost"), F.lit(0.02).alias("fee_pct"), (F.col("p_size") <= 40).alias("promoted"))
 
     def campaigns(self) -> DataFrame:
         brands = self.raw("part").groupBy(F.col("p_brand").alias("campaign_id")).agg(F.min("p_type").alias("product_set"))
-        return brands.select("campaign_id", F.when(F.right("campaign_id", F.lit(1)).cast("int") % 2 == 1, "meta").otherwise("google").alias("platform"), F.concat(F.lit("Prospecting | "), "product_set").alias("name"), "product_set")
+        return brands.select("campaign_id", F.get(F.array(*map(F.lit, PLATFORMS)), F.right("campaign_id", F.lit(1)).cast("int") % 4).alias("platform"), F.concat(F.lit("Prospecting | "), "product_set").alias("name"), "product_set")
 
-    def ad_daily(self) -> DataFrame:
+    def _ad_daily(self) -> DataFrame:
         items = self.raw("lineitem").join(self.raw("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         day = items.groupBy(F.to_date("l_shipdate").alias("date"), F.concat_ws("-", "p_brand", F.col("l_linenumber").cast("string")).alias("ad_id"), F.col("p_brand").alias("campaign_id"))
         qty = F.sum(F.col("l_quantity").cast("long"))
         return day.agg((qty * 40).alias("impressions"), qty.alias("clicks"), dsum(F.col("l_tax") * F.col("l_extendedprice") * 0.1).alias("spend"), dsum("l_extendedprice").alias("platform_revenue"))
 
-    def stock_daily(self) -> DataFrame:
+    def _stock_daily(self) -> DataFrame:
         items = self.raw("lineitem").groupBy(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"))
         qty = F.sum(F.col("l_quantity").cast("long"))
         return items.agg((qty * 5).alias("on_hand"), F.min(F.col("l_quantity").cast("long")).alias("reserved"), qty.alias("units"))
@@ -73,6 +101,22 @@ class Staging:
     def events(self) -> DataFrame:
         return self.raw("events")
 
+    def adsets(self) -> DataFrame:
+        """ad_id and adset_id: ads of even and of odd numbers."""
+        return self.ad_daily().select("ad_id", "campaign_id").distinct().select("ad_id", F.concat_ws("/", "campaign_id", (F.element_at(F.split("ad_id", "-"), -1).cast("int") % 2).cast("string")).alias("adset_id"))
+
+    def reach_daily(self) -> DataFrame:
+        """People reached by campaigns of the platforms that tell."""
+        items = self.raw("lineitem").join(self.raw("part").select("p_partkey", F.col("p_brand").alias("campaign_id")), F.col("l_partkey") == F.col("p_partkey"))
+        told = items.join(self.campaigns().where("platform in ('meta', 'tiktok')").select("campaign_id"), "campaign_id")
+        return told.groupBy(F.to_date("l_shipdate").alias("date"), "campaign_id").agg(F.countDistinct("l_orderkey").alias("reach"))
+
+    def ga_daily(self) -> DataFrame:
+        """Web sessions of campaigns: an event's user came by one of the 25, 23 years before the event."""
+        e = self.events().select(F.date_sub(F.to_date("ts"), 8400).alias("date"), F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("campaign_id"), "user_id", "event_type", "value")
+        bought = F.col("event_type") == "purchase"
+        return e.groupBy("date", "campaign_id").agg(F.countDistinct("user_id").alias("ga_sessions"), F.count(F.when(bought, 1)).alias("ga_purchases"), dsum(F.when(bought, F.col("value")).otherwise(0.0)).alias("ga_revenue"))
+
 
 #: The same tables in DuckDB's SQL.
 STAGING = """
@@ -90,9 +134,9 @@ WITH order_lines AS (
 ), refund_lines AS (
   SELECT order_id, line_item_id, sku, ship_date AS refund_date, subtotal AS amount, CAST(ship_date - date AS INTEGER) AS lag_days FROM order_lines WHERE returned
 ), products AS (
-  SELECT p_partkey AS sku, p_name AS title, p_type AS category, p_brand AS brand, p_retailprice AS price, p_retailprice * 0.4::DOUBLE AS cogs, p_size * 0.5::DOUBLE AS ship_cost, 0.02::DOUBLE AS fee_pct FROM part
+  SELECT p_partkey AS sku, p_name AS title, p_type AS category, p_brand AS brand, p_retailprice AS price, p_retailprice * 0.4::DOUBLE AS cogs, p_size * 0.5::DOUBLE AS ship_cost, 0.02::DOUBLE AS fee_pct, p_size <= 40 AS promoted FROM part
 ), campaigns AS (
-  SELECT p_brand AS campaign_id, CASE WHEN CAST(right(p_brand, 1) AS INTEGER) % 2 = 1 THEN 'meta' ELSE 'google' END AS platform, 'Prospecting | ' || min(p_type) AS name, min(p_type) AS product_set FROM part GROUP BY p_brand
+  SELECT p_brand AS campaign_id, ['meta', 'google', 'tiktok', 'amazon'][1 + CAST(right(p_brand, 1) AS INTEGER) % 4] AS platform, 'Prospecting | ' || min(p_type) AS name, min(p_type) AS product_set FROM part GROUP BY p_brand
 ), ad_daily AS (
   SELECT CAST(l_shipdate AS DATE) AS date, p_brand || '-' || l_linenumber AS ad_id, p_brand AS campaign_id, CAST(sum(CAST(l_quantity AS BIGINT)) * 40 AS BIGINT) AS impressions, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS clicks,
     CAST(sum(CAST(l_tax * l_extendedprice * 0.1::DOUBLE AS DECIMAL(38,6))) AS DOUBLE) AS spend, CAST(sum(CAST(l_extendedprice AS DECIMAL(38,6))) AS DOUBLE) AS platform_revenue
@@ -107,6 +151,13 @@ WITH order_lines AS (
 ), budget_snapshots AS (
   SELECT campaign_id, snapshot_date, CAST(floor(spend / 100) * 100 AS DOUBLE) AS budget, CASE WHEN CAST(floor(spend / 100) * 100 AS DOUBLE) > 0 THEN 'ACTIVE' ELSE 'PAUSED' END AS status FROM (
     SELECT campaign_id, CAST(date_trunc('month', date) AS DATE) AS snapshot_date, CAST(sum(CAST(spend AS DECIMAL(38,6))) AS DOUBLE) AS spend FROM ad_daily GROUP BY ALL)
+), adsets AS (
+  SELECT DISTINCT ad_id, campaign_id || '/' || (CAST(split_part(ad_id, '-', 2) AS INTEGER) % 2) AS adset_id FROM ad_daily
+), reach_daily AS (
+  SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS campaign_id, count(DISTINCT l_orderkey) AS reach FROM lineitem JOIN part ON l_partkey = p_partkey JOIN campaigns c ON c.campaign_id = p_brand WHERE c.platform IN ('meta', 'tiktok') GROUP BY ALL
+), ga_daily AS (
+  SELECT CAST(ts AS DATE) - 8400 AS date, 'Brand#' || (user_id % 25 + 1) AS campaign_id, count(DISTINCT user_id) AS ga_sessions, count(*) FILTER (WHERE event_type = 'purchase') AS ga_purchases,
+    CAST(sum(CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0::DOUBLE END AS DECIMAL(38,6))) AS DOUBLE) AS ga_revenue FROM events GROUP BY ALL
 )
 """
 

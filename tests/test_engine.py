@@ -75,7 +75,7 @@ def test_bands(spark):
     covers = [None, 0.0, 2.9, 3.0, 6.9, 7.0, 20.9, 21.0, 44.9, 45.0]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(covers)], "k int, v double").select("k", c.inventory_band(F.col("v")).alias("b")).orderBy("k")
     assert [x.b for x in df.collect()] == ["UNBOUNDED", "CRITICAL", "CRITICAL", "LOW", "LOW", "HEALTHY", "HEALTHY", "HIGH", "HIGH", "EXCESS"]
-    x = one(spark, a=c.freshness(F.lit(12.0), 12.0), b=c.freshness(F.lit(24.0), 12.0), d=c.freshness(F.lit(36.0), 12.0))
+    x = one(spark, a=c.freshness(F.lit(12.0), F.lit(12.0)), b=c.freshness(F.lit(24.0), F.lit(12.0)), d=c.freshness(F.lit(36.0), F.lit(12.0)))
     assert (x.a, x.b, x.d) == (1.0, 0.5, 0.0)
 
 
@@ -111,6 +111,45 @@ def test_nothing_after_the_moment_is_seen(spark):
     assert [x.x for x in r.as_of(df, "2026-01-01 12:00:00").collect()] == [1]
 
 
+def test_weights_take_unmapped_revenue_and_sum_to_one(spark):
+    """The golden case: J1 sold 800 and J2 1600 of M1's own two SKUs, OTHER 400; M2 sold nothing and keeps its even shares."""
+    from types import SimpleNamespace
+
+    from millrace.plans import canonical
+
+    day = dt.date(2001, 6, 20)
+    items = spark.createDataFrame([("M1", "J1", 800.0, day), ("M1", "J2", 1600.0, day), ("M1", "OTHER", 400.0, day), ("M1", "J1", 9e9, dt.date(2001, 5, 1))], "campaign_id string, sku string, net_revenue double, date date")
+    own = spark.createDataFrame([("M1", "J1", True), ("M1", "J2", True), ("M1", "OTHER", False), ("M2", "D1", True), ("M2", "D2", True)], "brand string, sku string, promoted boolean")
+    s = SimpleNamespace(products=lambda: own, campaigns=lambda: spark.createDataFrame([("M1",), ("M2",), ("M3",)], "campaign_id string"))
+    got = {(x.campaign_id, x.sku): x.weight for x in canonical.campaign_sku(s, items).collect()}
+    whole = 2800 * 1.01
+    assert got == {("M1", "J1"): pytest.approx((800 + 0.01 * 2800 * 0.5) / whole), ("M1", "J2"): pytest.approx((1600 + 0.01 * 2800 * 0.5) / whole), ("M1", canonical.UNMAPPED): pytest.approx(400 / whole), ("M2", "D1"): 0.5, ("M2", "D2"): 0.5, ("M2", canonical.UNMAPPED): 0.0, ("M3", canonical.UNMAPPED): 1.0}
+
+
+def test_matching_is_as_large_as_can_be(spark):
+    """Both ways nearest gives one pair here; two are possible."""
+    from millrace.plans import views
+
+    d = lambda *days: [dt.date(2026, 1, k) for k in days]
+    df = spark.createDataFrame([(1, d(4, 7), d(1, 4)), (2, d(1), d(9)), (3, d(1, 2, 3), d(2))], "k int, f array<date>, t array<date>")
+    assert {x.k: x.n for x in df.select("k", views.maximum_matches(F.col("f"), F.col("t"), 3).alias("n")).collect()} == {1: 2, 2: 0, 3: 1}
+
+
+def test_quantities_have_units(spark):
+    from millrace.plans import views
+
+    x = one(spark, q=views.quantities(F.lit("INR 1,250.50 and 3 lakh, Rs. 2 crore; 12.5% or 1.5x of 7 on 2026-01-02")), d=views.dates(F.lit("on 2026-01-02")))
+    assert [(q.value, q.unit) for q in x.q] == [(1250.5, "inr"), (3e5, "plain"), (2e7, "inr"), (12.5, "percent"), (1.5, "multiple"), (7.0, "plain")] and x.d == [dt.date(2026, 1, 2)]
+
+
+def test_gaps_take_the_line_between_their_neighbours(spark):
+    from millrace.plans import learning
+
+    rows = [("a", dt.date(2026, 1, k), v) for k, v in ((1, None), (2, 10), (3, None), (4, None), (5, 16), (6, None))]
+    got = learning.interpolated(spark.createDataFrame(rows, "k string, d date, v long"), ["k"], "d", "v").orderBy("d").collect()
+    assert [x.v for x in got] == [10.0, 10.0, 12.0, 14.0, 16.0, 16.0] and [x.filled for x in got] == [True, False, True, True, False, True]
+
+
 def test_rate_and_mix_sum_to_the_change(spark):
     from millrace.sources.testdata import Staging
 
@@ -165,10 +204,38 @@ def test_publish_shows_all_or_nothing(spark, tmp_path):
     ingest.publish({"a": spark.range(3), "b": spark.range(2)}, root, "1")
     ingest.publish({"a": spark.range(5), "b": spark.range(4)}, root, "2")
     assert ingest.published(spark, root, "a").count() == 5
+    with pytest.raises(Exception):  # a run that fails in its second table leaves the one before in sight
+        ingest.publish({"a": spark.range(9), "b": spark.range(3).select(F.raise_error(F.lit("broken")).alias("id"))}, root, "3")
+    assert ingest.published(spark, root, "a").count() == 5 and ingest.published(spark, root, "b").count() == 4
     path = f"file://{tmp_path}/daily"
     spark.createDataFrame([(1, 1, "x"), (2, 1, "y")], "k int, v int, p string").write.partitionBy("p").parquet(path)
     ingest.merge_into(spark, path, spark.createDataFrame([(1, 2, "x"), (3, 1, "x")], "k int, v int, p string"), ["k"], "v", "p")
     assert {(x.k, x.v, x.p) for x in spark.read.parquet(path).collect()} == {(1, 2, "x"), (3, 1, "x"), (2, 1, "y")}
+    ingest.merge_into(spark, path, spark.createDataFrame([(2, 2, "x"), (1, 3, "z")], "k int, v int, p string"), ["k"], "v", "p")  # keys move, and y loses all its rows
+    assert {(x.k, x.v, x.p) for x in spark.read.parquet(path).collect()} == {(1, 3, "z"), (3, 1, "x"), (2, 2, "x")}
+
+
+def test_insert_update_delete(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "n")], "k int, x string")
+    new = spark.createDataFrame([(1, "z"), (2, "c"), (2, "b"), (None, "m")], "k int, x string")
+    assert {tuple(x) for x in r.insert_missing(old, new, ["k"]).collect()} == {(1, "a"), (None, "n"), (2, "b")}
+    assert {tuple(x) for x in r.update_keyed(old, new.where("k = 1"), ["k"]).collect()} == {(1, "z"), (None, "n")}
+    assert {tuple(x) for x in r.delete_keyed(old, new, ["k"]).collect()} == {(None, "n")}
+
+
+def test_lags_before_the_order_count(spark):
+    lags = spark.createDataFrame([(-3,), (0,), (5,), (15,)], "lag int")
+    got = {x.age: x.cdf for x in r.histogram_cdf(lags, "lag", 20).collect()}
+    assert (got[0], got[4], got[5], got[10], got[15], got[20]) == (0.5, 0.5, 0.75, 0.75, 1.0, 1.0)
+
+
+def test_statistics(spark):
+    import math
+
+    x = one(spark, nb=c.negative_binomial_cdf(F.lit(4.0), F.lit(2.5), F.lit(0.4)), none=c.negative_binomial_cdf(F.lit(-1.0), F.lit(2.5), F.lit(0.4)), zero=c.negative_binomial_cdf(F.lit(0.0), F.lit(2.5), F.lit(0.4)), n=c.canonical_number(F.lit(-0.00001)), m=c.canonical_number(F.lit(12.50)), i=c.canonical_number(F.lit(300.0)), s=c.stage_of(F.lit("META Prospecting | Men")), t=c.stage_of(F.lit("META | Men")))
+    term = lambda k: math.exp(math.lgamma(k + 2.5) - math.lgamma(2.5) - math.lgamma(k + 1)) * 0.4**2.5 * 0.6**k
+    assert x.nb == pytest.approx(sum(map(term, range(5)))) and x.none == 0.0 and x.zero == pytest.approx(0.4**2.5)
+    assert (x.n, x.m, x.i, x.s, x.t) == ("0", "12.5", "300", "Prospecting", None)
 
 
 @pytest.mark.parametrize("text", ["DROP TABLE t", "SELECT 1; SELECT 2", "SELECT * FROM secret", "SELECT * FROM parquet.`/x`", "INSERT INTO t VALUES (1)", "WITH a AS (SELECT 1) SELECT * FROM b", "SELECT * FROM range(5)"])
