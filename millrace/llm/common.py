@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import remove_stored, scratch_path, stored  # noqa: F401  for the operators of this folder
+
 #: ASCII white space: the characters that part words, as everywhere in this folder.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -58,54 +57,3 @@ def let(value: Column, body) -> Column:
 def native_words(text: Column) -> Column:
     """The words of a text (null: none), parted by ASCII white space."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), WHITE[1:], " " * 5), " "), "")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local one, but only if all of Spark runs on this machine."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        held = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", held)
-    return held.rstrip("/")
-
-
-#: Paths of stored tables that are still there; the rest goes when the driver's Python ends.
-_HELD: set[str] = set()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver's Python ends, or before by remove_stored()."""
-    path = f"{scratch_dir(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}"
-    _HELD.add(path)
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if path not in _HELD or jvm is None or spark.sparkContext._jsc is None:
-        return
-    _HELD.discard(path)
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM has ended before; nothing is left to tidy from here
-        return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: it is computed once, and a lost executor costs no more than a new read."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def remove_stored(*tables: DataFrame) -> None:
-    """Deletes tables that stored() made and that nothing reads any more."""
-    for df in tables:
-        remove(df.sparkSession, df._stored_at)

@@ -70,11 +70,16 @@ def templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     tokens = own.select("a", "b", "leaf", F.posexplode("w").alias("at", "word"))
     support = stored(tokens.groupBy("leaf", "at", "word").agg(F.count("*").alias("s")).where("s > 1"), "support")
     met = tokens.join(support, ["leaf", "at", "word"], "left").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("at", "word", F.coalesce("s", F.lit(1)).alias("s")))).alias("x"))
-    bar = F.get(F.sort_array(F.transform("x", lambda y: y["s"])), F.expr("(size(x) - 1) div 2").cast("int"))
     masked = F.xxhash64(F.lit(MASK))
-    made = met.withColumn("bar", bar).withColumn("t", F.transform("x", lambda y: F.when(2 * y["s"] <= F.col("bar"), masked).otherwise(y["word"])))
-    fields = made.where(F.exists("x", lambda y: 2 * y["s"] <= F.col("bar")) & (2 * F.size(F.filter("t", lambda y: y != masked)) >= F.size("t")))
-    return fields.select("a", "b", F.xxhash64(F.lit("fields"), "t").alias("ta"), F.hash(F.lit("fields"), "t").alias("tb"))
+
+    def template(x: Column, bar: Column) -> Column:
+        t = F.transform(x, lambda y: F.when(2 * y["s"] <= bar, masked).otherwise(y["word"]))
+        return let(t, lambda t: F.struct(F.exists(x, lambda y: 2 * y["s"] <= bar).alias("fields"), (2 * F.size(F.array_remove(t, masked)) >= F.size(t)).alias("fixed"), F.xxhash64(F.lit("fields"), t).alias("ta"), F.hash(F.lit("fields"), t).alias("tb")))
+
+    middle = lambda x: F.get(F.sort_array(F.transform(x, lambda y: y["s"])), F.floor((F.size(x) - 1) / 2).cast("int"))
+    # exploded, so that the filter does not make the template a second time
+    made = met.select("a", "b", F.explode(F.array(let(F.col("x"), lambda x: let(middle(x), lambda bar: template(x, bar))))).alias("t"))
+    return made.where("t.fields and t.fixed").select("a", "b", "t.ta", "t.tb")
 
 
 def dropped(docs: DataFrame) -> DataFrame:
