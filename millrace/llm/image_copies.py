@@ -1,12 +1,14 @@
 """Operator 7: cropped and edited copies of images, by local descriptors.
 
-Each image (PGM or PPM bytes) gives corners on several scales (the least eigenvalue of the structure tensor, its local maxima), each with an orientation (the
-centroid of its patch) and 256 binary brightness tests turned by it. Descriptors meet in four Hamming tables, by 64 of their bits each; large buckets are parted
-into blocks, and each pair of blocks is a cell of bounded size in which all descriptors of different images are paired. A pair's matches vote for a
-similarity transform (turn, scale, shift); images are linked if VOTES distinct corners agree. Links are joined to connected components.
+Each image (PGM or PPM bytes) gives corners on scales a sixth of an octave apart (the least eigenvalue of the structure tensor, its local maxima, the strongest for each AREA pixels, so their
+number grows with the image). A corner has an orientation (the centroid of its patch) and 256 binary brightness tests turned by it; the mean slope of the patch is taken off before
+they compare, so that they do not all tell of the one edge that every corner has. Descriptors meet in TABLES Hamming tables, by 32 of their bits each; two that meet
+must differ in at most NEAR of the 64 bits that are in no table, and later in at most FAR of all 256. Large buckets are parted into blocks, and each pair of blocks is a cell of bounded size
+in which all descriptors of different images are compared. A pair's matches vote for a similarity transform (turn, scale, shift); images are linked if VOTES distinct corners agree. Links
+are joined to connected components.
 
 Nulls: a null, empty or unreadable image has no corner and is its own class. A null id takes no part (class_id null, n_links 0). Equal bytes are one image from the start. Ties: the least id.
-Empty table: no row. Other columns are ignored. Descriptors are the CORNERS strongest of each scale: the size of a signature, not of a search.
+Empty table: no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import remove_stored, stored
 from millrace.llm.components import components
 
-SCALES, CORNERS, RADIUS, VOTES = (1.0, 0.7071, 0.5), 20, 9, 5
+SCALES, AREA, RADIUS, VOTES = tuple(2 ** (-k / 6) for k in range(6)), 256, 11, 4
+TABLES, NEAR, FAR = 6, 14, 32
 #: Descriptors in a block of a bucket, and rows judged together, about; what tells cells apart.
 CELL, READ, CELL_OF = 512, 100_000, ("bucket", "p", "q")
 #: Width of a vote: degrees, octaves, pixels of the unscaled image.
 TURN, OCTAVE, SHIFT = 30, 0.5, 6
 
 _rng = np.random.default_rng(11)
-_TESTS = np.clip(np.round(_rng.normal(0, RADIUS / 2.2, (256, 4))), -RADIUS + 2, RADIUS - 2)
+_TESTS = np.clip(np.round(_rng.normal(0, RADIUS / 1.6, (256, 4))), -RADIUS + 2, RADIUS - 2)
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
+_SPREAD = float((_DISC[:, 0] ** 2).sum())
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -84,8 +88,8 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return (b[y0][:, x0] * (1 - fx) + b[y0][:, x1] * fx) * (1 - fy) + (b[y1][:, x0] * (1 - fx) + b[y1][:, x1] * fx) * fy
 
 
-def corners(pixels: np.ndarray) -> list[tuple[float, float, float, float, list[int]]]:
-    """x, y (of the whole image), scale, orientation (degrees) and the four 64-bit parts of the descriptor of each corner."""
+def corners(pixels: np.ndarray) -> list[tuple[float, float, float, float, list[int], int]]:
+    """x, y (of the whole image), scale, orientation (degrees), the 32-bit keys of the tables and the 64 bits left over, of each corner."""
     out = []
     for scale in SCALES:
         a = _resized(pixels, scale)
@@ -97,27 +101,31 @@ def corners(pixels: np.ndarray) -> list[tuple[float, float, float, float, list[i
         least = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
         inner = least[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
         p = np.pad(inner, 2, constant_values=-1)
-        peak = np.max([p[i : i + inner.shape[0], j : j + inner.shape[1]] for i in range(5) for j in range(5)], axis=0)
+        rows = np.max([p[i : i + inner.shape[0]] for i in range(5)], axis=0)
+        peak = np.max([rows[:, j : j + inner.shape[1]] for j in range(5)], axis=0)
         y, x = np.nonzero((inner == peak) & (inner > 4))
-        order = np.lexsort((x, y, -inner[y, x]))[:CORNERS]
+        order = np.lexsort((x, y, -inner[y, x]))[: max(4, inner.size // AREA)]
         y, x = y[order] + RADIUS + 1, x[order] + RADIUS + 1
         if not len(y):
             continue
         patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
         patch = patch - patch.mean(axis=1, keepdims=True)
-        turn = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
+        down, right = patch @ _DISC[:, 0], patch @ _DISC[:, 1]
+        turn, slope = np.arctan2(down, right), np.hypot(down, right)[:, None] / _SPREAD
         c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
-        soft = _box(smooth, 1)
+        soft = _box(smooth, 2)
         at = lambda dx, dy: soft[np.clip(np.round(y[:, None] + s * dx + c * dy).astype(int), 0, a.shape[0] - 1), np.clip(np.round(x[:, None] + c * dx - s * dy).astype(int), 0, a.shape[1] - 1)]  # noqa: E731, B023
-        bits = at(_TESTS[:, 0], _TESTS[:, 1]) < at(_TESTS[:, 2], _TESTS[:, 3])
-        parts = np.packbits(bits, axis=1).view(">i8")
-        out += [(float(x[k] / scale), float(y[k] / scale), float(scale), float(np.degrees(turn[k])), parts[k].tolist()) for k in range(len(y))]
+        bits = at(_TESTS[:, 0], _TESTS[:, 1]) - at(_TESTS[:, 2], _TESTS[:, 3]) < slope * (_TESTS[:, 0] - _TESTS[:, 2])
+        packed = np.packbits(bits, axis=1)
+        keys, rest = packed[:, : 4 * TABLES].copy().view(">i4"), packed[:, 4 * TABLES :].copy().view(">i8")[:, 0]
+        out += [(float(x[k] / scale), float(y[k] / scale), float(scale), float(np.degrees(turn[k])), keys[k].tolist(), int(rest[k])) for k in range(len(y))]
     return out
 
 
 def described(media: DataFrame, id_column: str, image: str) -> DataFrame:
-    """id, sha, full (the image has bytes) and corners of each row: x, y, scale, turn and parts, the buckets of the four Hamming tables. Images are read once and never shuffled."""
-    corner = pa.struct([("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("turn", pa.float32()), ("parts", pa.list_(pa.int64()))])
+    """id, sha, full (the image has bytes) and corners of each row: x, y, scale, turn, keys and rest, see corners(). Images are read once and never shuffled."""
+    names = ("x", "y", "scale", "turn", "keys", "rest")
+    corner = pa.struct(list(zip(names, [pa.float32()] * 4 + [pa.list_(pa.int32()), pa.int64()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,14 +133,14 @@ def described(media: DataFrame, id_column: str, image: str) -> DataFrame:
                 rows = batch.slice(start, 500)
                 images = [x.as_py() for x in rows.column(1)]
                 found = [corners(p) if (p := decode(data)) is not None else [] for data in images]
-                made = [[dict(zip(("x", "y", "scale", "turn", "parts"), c, strict=True)) for c in own] for own in found]
+                made = [[dict(zip(names, c, strict=True)) for c in own] for own in found]
                 yield pa.record_batch({"id": rows.column(0), "sha": [hashlib.sha256(d or b"").digest() for d in images], "full": pa.array([bool(d) for d in images]), "corners": pa.array(made, pa.list_(corner))})
 
-    return media.select(F.col(id_column).cast("long").alias("id"), F.col(image).alias("image")).mapInArrow(run, "id long, sha binary, full boolean, corners array<struct<x: float, y: float, scale: float, turn: float, parts: array<long>>>")
+    return media.select(F.col(id_column).cast("long").alias("id"), F.col(image).alias("image")).mapInArrow(run, "id long, sha binary, full boolean, corners array<struct<x: float, y: float, scale: float, turn: float, keys: array<int>, rest: long>>")
 
 
 def _met(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of rows of one cell that are of different images, in parts no longer than the rows. Rows are sorted by cell."""
+    """Places of all pairs of rows of one cell that are of different images and differ in at most NEAR bits of the rest, in parts no longer than the rows. Rows are sorted by cell."""
     cell = [rows[c] for c in CELL_OF]
     start = np.ones(len(cell[0]), bool)
     start[1:] = np.any([c[1:] != c[:-1] for c in cell], axis=0)
@@ -140,6 +148,7 @@ def _met(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]
     at, step = np.arange(len(start)), 1
     while len(at := at[at + step < end[at]]):
         near = at[rows["id"][at] != rows["id"][at + step]]
+        near = near[np.bitwise_count(rows["rest"][near] ^ rows["rest"][near + step]) <= NEAR]
         near = near[(rows["p"][near] == rows["q"][near]) | (rows["block"][near] != rows["block"][near + step])]
         yield near, near + step
         step += 1
@@ -175,18 +184,20 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def matched(corners_of: DataFrame, votes: int = VOTES) -> DataFrame:
     """Pairs (a, b) of images whose matches agree on a transform, and the number of corners of b that agree."""
-    keyed = corners_of.select("id", "corner", F.posexplode("parts").alias("table", "part")).select("id", "corner", F.xxhash64("table", "part").alias("bucket"))
+    keyed = corners_of.select("id", "corner", "rest", F.posexplode("keys").alias("table", "key")).select("id", "corner", "rest", F.xxhash64("table", "key").alias("bucket"))
     # only buckets above a cell's size are parted, into pairs of blocks; all others are one cell
     large = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
     cells = keyed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "corner"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "corner")
+    cells = cells.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "corner", "rest")
     met = cells.repartition(*CELL_OF).sortWithinPartitions(*CELL_OF).mapInArrow(_paired, "a long, b long, corner_a int, corner_b int")
     # a pair with fewer matches than votes cannot win
     many = met.groupBy("a", "b").agg(F.collect_set(F.struct("corner_a", "corner_b")).alias("m")).where(F.size("m") >= votes)
-    place = lambda x: corners_of.select(F.col("id").alias(x), F.col("corner").alias(f"corner_{x}"), *[F.col(c).cast("double").alias(f"{c}_{x}") for c in ("x", "y", "scale", "turn")])
+    place = lambda x: corners_of.select(F.col("id").alias(x), F.col("corner").alias(f"corner_{x}"), *[F.col(c).cast("double").alias(f"{c}_{x}") for c in ("x", "y", "scale", "turn")], F.col("keys").alias(f"keys_{x}"), F.col("rest").alias(f"rest_{x}"))
     pairs = many.select("a", "b", F.inline("m"))
     pairs = pairs.join(place("a"), ["a", "corner_a"]).join(place("b"), ["b", "corner_b"])
+    apart = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF)))), F.bit_count(F.col("rest_a").bitwiseXOR(F.col("rest_b"))), lambda n, x: n + x)
+    pairs = pairs.where(apart <= FAR).drop("keys_a", "keys_b", "rest_a", "rest_b")
     turn = F.pmod(F.col("turn_b") - F.col("turn_a"), F.lit(360.0))
     size = F.col("scale_a") / F.col("scale_b")
     r = F.radians(turn)
@@ -210,40 +221,7 @@ def copies(media: DataFrame, id_column: str = "id", image: str = "image", votes:
     weight = both.join(same.select(F.col("rep").alias("v"), F.col("w").alias("_w")), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("_w").alias("links"))
     roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("u", "rep")
     known = same.join(weight, "rep", "left").join(roots, "rep", "left").select("sha", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    remove_stored(corners_of)
     found = rows.select("id", "sha", "full").join(known, "sha", "left")
     seen = F.col("id").isNotNull() & F.col("full")
     return found.select("id", F.when(seen, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(seen, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
-
-
-def drawn(vectors: DataFrame) -> DataFrame:
-    """A media table for tests: vec_id and image (PGM). A vector is drawn as a mosaic; ids that end in 9 show a crop or edit of the image ten ids' first one shows."""
-    source = F.when(F.col("vec_id") % 10 == 9, F.col("vec_id") - 9).otherwise(F.col("vec_id"))
-    edit = F.when(F.col("vec_id") % 10 == 9, 1 + F.col("vec_id") % 3).otherwise(0).cast("int")
-    table = vectors.select("vec_id", source.alias("source"), edit.alias("edit")).join(vectors.select(F.col("vec_id").alias("source"), "embedding"), "source")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            images = [draw(np.array(e or [0.0], np.float64), k) for e, k in zip(batch.column("embedding").to_pylist(), batch.column("edit").to_pylist(), strict=True)]
-            yield pa.record_batch({"vec_id": batch.column("vec_id"), "image": pa.array(images, pa.binary())})
-
-    return table.select("vec_id", "edit", "embedding").mapInArrow(run, "vec_id long, image binary")
-
-
-def draw(vector: np.ndarray, edit: int = 0) -> bytes:
-    """96 x 96 pixels: 8 x 8 fields, each with a bar, all set by the vector. edit: 1 crops, 2 darkens, 3 crops and adds noise."""
-    v = np.resize(vector, 64)
-    pixels = np.empty((96, 96))
-    for k in range(64):
-        y, x = 12 * (k // 8), 12 * (k % 8)
-        a, b, c = v[k], v[(k + 1) % 64], v[(k + 7) % 64]
-        pixels[y : y + 12, x : x + 12] = 128 + 350 * a
-        top, left = int(abs(b) * 40) % 5, int(abs(c) * 40) % 5
-        pixels[y + top : y + top + 3 + int(abs(a) * 20) % 4, x + left : x + left + 4 + int(abs(b) * 20) % 4] = 128 - 350 * c
-    pixels = np.clip(pixels, 0, 255)
-    if edit == 1:
-        pixels = pixels[6:90, 9:93]
-    elif edit == 2:
-        pixels = pixels * 0.8 + 15
-    elif edit == 3:
-        pixels = pixels[0:84, 4:96] + np.random.default_rng(int(abs(v[0]) * 1e6)).normal(0, 3, (84, 92))
-    return encode(pixels)

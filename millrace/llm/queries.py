@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sharding, token_files, url_cascade
+from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sample_media, sharding, token_files, url_cascade
 from millrace.llm.common import documents, importable, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,7 +46,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = image_copies.drawn(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    media = sample_media.drawn(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return image_copies.copies(media, "vec_id", "image").withColumnRenamed("id", "vec_id")
 
 

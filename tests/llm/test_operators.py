@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sharding, token_files, url_cascade
+from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sample_media, sharding, token_files, url_cascade
 from millrace.llm.common import scratch_path
 from millrace.llm.queries import RANKS, VOCABULARY
 from millrace.llm.tokens import encoder, load
@@ -451,26 +451,64 @@ def test_line_crf(spark, docs, rows, none):
     assert blank.score(pa.array(["some words", "", None])).tolist() == [1.0, 0.0, 0.0]
 
 
+def picture(k):
+    return sample_media.draw([float(k), 1.0])
+
+
 def test_image_copies(spark):
-    rng = np.random.default_rng(3)
-    base = [rng.normal(0, 0.12, 64) for _ in range(12)]
-    rows = [(i, bytearray(image_copies.draw(v))) for i, v in enumerate(base)] + [(100 + i, bytearray(image_copies.draw(base[i], 1 + i % 3))) for i in range(6)]
+    rows = [(i, bytearray(image_copies.encode(picture(i)))) for i in range(12)] + [(100 + i, bytearray(image_copies.encode(sample_media.edited(picture(i), e)))) for i, e in enumerate(sample_media.EDITS) if i]
     rows += [(200, rows[7][1]), (300, None), (301, bytearray()), (302, bytearray(b"no image")), (303, bytearray(b"P5\n3 3\n255\n" + bytes(9))), (None, rows[0][1])]
     table = spark.createDataFrame([(i, d, "x") for i, d in rows], "id long, image binary, corner string")
     got = {r.id: r for r in image_copies.copies(table).collect()}
     assert len(got) == len(rows)
-    for i in range(6):
-        assert got[100 + i].class_id == i and got[i].n_links == 1
-    assert got[200].class_id == 7 and got[7].n_links == 1 and all(got[i].class_id == i and got[i].n_links == 0 for i in (6, 8, 9, 10, 11, 300, 301, 302, 303))
+    for i in range(1, 6):
+        assert got[100 + i].class_id == i and got[i].n_links == 1, sample_media.EDITS[i]
+    assert got[200].class_id == 7 and got[7].n_links == 1 and all(got[i].class_id == i and got[i].n_links == 0 for i in (0, 6, 8, 9, 10, 11, 300, 301, 302, 303))
     assert got[None].class_id is None and image_copies.copies(table.limit(0)).count() == 0
 
 
+def brute_images(described):
+    """Links by all pairs of corners of all pairs of images within FAR bits, by the same votes."""
+    out = set()
+    for a, one in described.items():
+        for b, two in described.items():
+            if a >= b or not one or not two:
+                continue
+            bits = [np.array([[*(k & 0xFFFFFFFF for k in c[4]), c[5] & 0xFFFFFFFF, (c[5] >> 32) & 0xFFFFFFFF] for c in x], np.uint64) for x in (one, two)]
+            i, j = np.nonzero(np.bitwise_count(bits[0][:, None] ^ bits[1][None]).sum(axis=2) <= image_copies.FAR)
+            p, q = (np.array([c[:4] for c in x]) for x in (one, two))
+            turn, size = (q[j, 3] - p[i, 3]) % 360, p[i, 2] / q[j, 2]
+            r = np.radians(turn)
+            dx, dy = q[j, 0] - size * (np.cos(r) * p[i, 0] - np.sin(r) * p[i, 1]), q[j, 1] - size * (np.sin(r) * p[i, 0] + np.cos(r) * p[i, 1])
+            votes = defaultdict(set)
+            for shift in np.ndindex(2, 2, 2):
+                for k in range(len(i)):
+                    votes[(shift, *(math.floor(v / w + s / 2) for v, w, s in zip((turn[k], dx[k], dy[k]), (30, 12, 12), shift, strict=True)), round(math.log2(size[k]) / 0.5))].add(j[k])
+            if max(map(len, votes.values()), default=0) >= image_copies.VOTES:
+                out.add((a, b))
+    return out
+
+
+def test_image_links_against_brute_force(spark):
+    """Nine in ten links between an image and each kind of edit are found, eight in ten of all links (edits of one image among themselves too), and none that all pairs of corners do not give."""
+    edits = [("turn", 15), ("turn", 90), ("resize", 0.8), ("resize", 1.25), ("half", None), ("gamma", None), ("noise", None)]
+    images = {i: picture(i) for i in range(10)} | {100 * (k + 1) + i: sample_media.edited(picture(i), *e) for k, e in enumerate(edits) for i in range(10)}
+    media = spark.createDataFrame([(i, bytearray(image_copies.encode(x))) for i, x in images.items()], "id long, image binary")
+    rows = image_copies.described(media, "id", "image")
+    got = {(r.a, r.b) for r in image_copies.matched(rows.select("id", F.posexplode("corners").alias("corner", "c")).select("id", "corner", "c.*")).collect()}
+    brute = brute_images({i: image_copies.corners(image_copies.decode(image_copies.encode(x))) for i, x in images.items()})
+    assert got <= brute and len(got) >= 0.8 * len(brute)
+    assert all((a - b) % 100 == 0 for a, b in got)  # no strangers
+    for k, e in enumerate(edits):
+        assert sum((i, 100 * (k + 1) + i) in got for i in range(10)) >= 9, e
+
+
 def test_image_pairs_between_strangers(spark, monkeypatch):
     """Images 5 to 7 are copies; every bucket they share begins and ends with a corner of a stranger."""
     rng = np.random.default_rng(1)
-    places, parts = rng.uniform(0, 90, (6, 2)), rng.integers(-(2**62), 2**62, (6, 4))
-    rows = [(i, k, *(places[k] if 5 <= i <= 7 else rng.uniform(0, 900, 2)).tolist(), 1.0, 0.0 if 5 <= i <= 7 else 60.0 * k, parts[k].tolist()) for i in (1, 2, 5, 6, 7, 12, 13) for k in range(6)]
-    table = spark.createDataFrame(rows, "id long, corner int, x float, y float, scale float, turn float, parts array<long>")
+    places, parts = rng.uniform(0, 90, (6, 2)), rng.integers(-(2**31), 2**31, (6, 6))
+    rows = [(i, k, *(places[k] if 5 <= i <= 7 else rng.uniform(0, 900, 2)).tolist(), 1.0, 0.0 if 5 <= i <= 7 else 60.0 * k, parts[k].tolist(), int(parts[k][0])) for i in (1, 2, 5, 6, 7, 12, 13) for k in range(6)]
+    table = spark.createDataFrame(rows, "id long, corner int, x float, y float, scale float, turn float, keys array<int>, rest long")
     for size in (512, 2):
         monkeypatch.setattr(image_copies, "CELL", size, raising=False)
         assert {(r.a, r.b): r.agree for r in image_copies.matched(table).collect()} == {(5, 6): 6, (5, 7): 6, (6, 7): 6}
@@ -480,7 +518,7 @@ def test_image_cells_over_batches(monkeypatch):
     """Cells that reach over Arrow batches give all their pairs once, whether or not a batch's columns may be null."""
     monkeypatch.setattr(image_copies, "READ", 7)
     bucket = np.repeat([1, 2, 3, 4], [5, 1, 12, 2])
-    rows = {"bucket": bucket, "p": np.zeros(20, np.int32), "q": np.zeros(20, np.int32), "block": np.zeros(20, np.int32), "id": np.arange(20)[::-1], "corner": np.zeros(20, np.int32)}
+    rows = {"bucket": bucket, "p": np.zeros(20, np.int32), "q": np.zeros(20, np.int32), "block": np.zeros(20, np.int32), "id": np.arange(20)[::-1], "corner": np.zeros(20, np.int32), "rest": np.zeros(20, np.int64)}
     batches = [pa.record_batch([pa.array(x[k : k + 4]) for x in rows.values()], pa.schema([pa.field(c, pa.from_numpy_dtype(x.dtype), k < 8) for c, x in rows.items()])) for k in range(0, 20, 4)]
     got = [(r["a"], r["b"]) for out in image_copies._paired(iter(batches)) for r in out.to_pylist()]
     assert sorted(got) == [(a, b) for a in range(20) for b in range(a + 1, 20) if bucket[19 - a] == bucket[19 - b]]
