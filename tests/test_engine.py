@@ -278,6 +278,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == rows.count()
 
 
+def test_stream_keeps_incidents_open_over_batches(spark, tmp_path):
+    """State carries over micro-batches: the incidents of a stream of three files are those of the batch query."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    source = tmp_path / "in"
+    for k, (lo, hi) in enumerate((("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-13"), ("2024-01-13", "2024-02-01"))):
+        rows.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(f"file://{source}")
+        for f in source.glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k)) if f.stat().st_mtime > 1_700_000_100 else None
+    found = []
+    hits = streaming.events(spark, f"file://{source}", "60 days", files=1).where("event_type = 'error'")
+    streaming.upsert_available(streaming.incidents(hits), f"file://{tmp_path}/c", lambda batch, _: found.extend(map(tuple, batch.collect())))
+    got = {(u, n): sum(1 for x in found if (x[0], x[3]) == (u, n)) for u, _, _, n in found}
+    assert got == {(x.user_id, x.incident): x.hits for x in catalog.QUERIES["d12_incident_reopening"](spark, SF).collect()}
+
+
 def test_rest_stands_without_the_training_data_folder(tmp_path):
     """The entry imports and keeps its other queries where millrace/llm and corpus_pipeline.py are gone."""
     import shutil
@@ -288,5 +304,8 @@ def test_rest_stands_without_the_training_data_folder(tmp_path):
     shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
-    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], said.stderr
+    for stays in (False, True):  # without the pipeline's file and with it
+        if stays and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+        assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], said.stderr
