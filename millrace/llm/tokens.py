@@ -13,8 +13,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces that a memo holds before it grows old; an old memo still answers until the next one has grown (about 100 MB each).
-MEMO = 500_000
+#: Bytes that a memo holds, about, before it grows old; an old memo still answers until the next one has grown. ENTRY: what an entry takes beside its piece and ids.
+MEMO, ENTRY = 64 << 20, 200
 #: Bytes of text that are encoded together.
 TOGETHER = 4 << 20
 
@@ -43,6 +43,7 @@ class Encoder:
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes | None] = {}
+        self.held = self.held_heads = 0
         self.marks = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
@@ -70,6 +71,7 @@ class Encoder:
             self._ask(each[start : start + 1024])
         for p in marked:
             new[p] = new[p[:-1]] + self.marks[p[-1]]
+        self.held += sum(map(len, pieces)) + sum(map(len, filter(None, map(new.__getitem__, pieces)))) + ENTRY * (len(pieces) + len(marked))
 
     def _ask(self, pieces: list[str]) -> None:
         """Encodes pieces as one text; of its tokens, those that begin with a space begin a piece."""
@@ -84,13 +86,14 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
         cut = [(t or "").split(" ") for t in texts]
-        if len(self.new) > MEMO:
-            self.new, self.old = {}, self.new
-        if len(self.heads) > MEMO // 4:
-            self.heads = {}
+        if self.held > MEMO:
+            self.new, self.old, self.held = {}, self.new, 0
+        if self.held_heads > MEMO // 4:
+            self.heads, self.held_heads = {}, 0
         heads = [c.pop(0) for c in cut]
         unknown = set(heads) - self.heads.keys()
         self.heads.update((h, self.whole(h) if h == h.strip() else None) for h in unknown)
+        self.held_heads += sum(ENTRY + len(h) + len(self.heads[h] or b"") for h in unknown)
         self._learn(set().union(*cut) - self.new.keys())
         out, get = [], self.new.__getitem__
         for text, head, rest in zip(texts, heads, cut, strict=True):
