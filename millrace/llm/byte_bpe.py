@@ -4,7 +4,8 @@ The ranks (base64 bytes and a number on each line) become a model of the tokeniz
 neighbours whose joined bytes have a rank may merge, lower ranks first. Ids are decoded by the reverse of that table of bytes; a token may hold
 part of a character, so bytes are joined before they become text.
 
-Nulls: a null text is empty; a null list of ids decodes to no bytes. Ids outside the vocabulary raise KeyError. Empty table: no row. Other columns are ignored.
+Nulls: a null text is empty; a null list of ids decodes to no bytes. Ids outside the vocabulary raise KeyError. Repeated rows are encoded alike. Very long texts are encoded whole, alone.
+Empty table: no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,8 +4,8 @@ Rows are numbered 0..n-1 by (bucket, doc_id, crc32 of the text, size), where buc
 over Z_a x Z_b (Black and Rogaway 2002), walked along its cycle until it falls below n, permutes the numbers. The place of a row
 then gives its shard (place mod shards) and its slot (place div shards): both can be computed from row number, n and seed alone.
 
-Nulls: a null text has size 8 and crc32 0; null doc_ids are rows like others. Ties: equal rows are interchangeable. Empty table: no row.
-Other columns are ignored. Law: rows (counts of any two shards are at most one apart).
+Nulls: a null text has size 8 and crc32 0; null doc_ids are rows like others. Ties: equal rows are interchangeable. Very long texts count by their bytes alone. Empty table: no row.
+Other columns are ignored, whatever their names. Law: rows (counts of any two shards are at most one apart).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from millrace.llm.common import stored
 PRIME = (1 << 31) - 1
 #: Rows that one task numbers, about, and how many such buckets there are at most.
 BUCKET_ROWS, BUCKETS = 4096, 1 << 16
+#: Equal rows that one task writes one after another at most.
+CHUNK = 100_000
 
 
 class Feistel:
@@ -76,16 +78,24 @@ class Feistel:
 
 
 def number_rows(df: DataFrame, by: list[str], out: str = "row_number") -> tuple[DataFrame, int]:
-    """df with gapless row numbers from 0, and how many rows there are. The order is that of a hash bucket, then of the columns."""
-    df = stored(df.withColumn("_h", F.xxhash64(*by)), "rows")
-    n = df.count()
-    bucket = F.pmod("_h", F.lit(max(1, min(BUCKETS, -(-n // BUCKET_ROWS)))))
-    df = df.withColumn("_bucket", bucket)
+    """The columns `by` of df with gapless row numbers from 0, and how many rows there are. The order is that of a hash bucket, then of the columns.
+
+    Equal rows are counted before they are numbered, and a large number of them is dealt over all tasks again, so it may be any share of the rows.
+    """
+    groups = stored(df.groupBy(*by).agg(F.count("*").alias("_c")).withColumn("_h", F.xxhash64(*by)), "rows")
+    seen = groups.agg(F.count("*"), F.coalesce(F.sum("_c"), F.lit(0))).first()
+    bucket = F.pmod("_h", F.lit(max(1, min(BUCKETS, -(-seen[0] // BUCKET_ROWS)))))
+    groups = groups.withColumn("_bucket", bucket)
     # at most BUCKETS rows: small enough for one task and a broadcast
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = df.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by)) - 1
-    return df.withColumn("_k", within).join(F.broadcast(firsts), "_bucket").withColumn(out, (F.col("_first") + F.col("_k")).cast("long")).drop("_h", "_bucket", "_k", "_first"), n
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = groups.groupBy("_bucket").agg(F.sum("_c").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    within = F.coalesce(F.sum("_c").over(Window.partitionBy("_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = groups.withColumn("_k", within).join(F.broadcast(firsts), "_bucket").withColumn("_at", F.col("_first") + F.col("_k"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_c - 1) div {CHUNK}")))
+    few, many = placed.where(F.col("_c") <= CHUNK).withColumn("_part", F.lit(0).cast("long")), placed.where(F.col("_c") > CHUNK).withColumn("_part", part).repartition("_at", "_part")
+    each = F.explode(F.sequence(F.col("_part") * CHUNK, F.least(F.col("_c"), (F.col("_part") + 1) * CHUNK) - 1))
+    numbered = few.unionByName(many).select(*by, "_at", each.alias("_i"))
+    return numbered.select(*by, (F.col("_at") + F.col("_i")).cast("long").alias(out)), seen[1]
 
 
 def digest(text: Column) -> dict[str, Column]:

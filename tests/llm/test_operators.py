@@ -297,6 +297,14 @@ def test_sharding(docs, rows, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_many_equal_rows_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    table = spark.createDataFrame([(1, "same")] * 50 + [(k, "t%d" % k) for k in range(2, 30)] + [(None, None)] * 8, "doc_id long, text string")
+    got = sharding.shard(table, 5).collect()
+    assert sorted((r.slot, r.shard) for r in got) == sorted((k // 5, k % 5) for k in range(86))
+    assert Counter(r.doc_id for r in got) == Counter({1: 50, None: 8, **dict.fromkeys(range(2, 30), 1)})
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 10, 97, 1000])
 def test_feistel_is_a_permutation(spark, n):
     network = sharding.Feistel(n, seed=n)
