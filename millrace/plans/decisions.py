@@ -97,16 +97,30 @@ def d30_coverage_gate(s: Staging) -> DataFrame:
     return d31_seasonal_naive(s).agg(F.count("*").alias("n"), (F.lit(1.0) * F.count(F.when(inside, 1)) / F.count("*")).alias("coverage"))
 
 
-@query("""SELECT event_type, n, m, v, least(1000.0::DOUBLE, greatest(2.0::DOUBLE, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000.0::DOUBLE END)) AS kappa FROM (
-  SELECT event_type, count(*) AS n, CAST(sum(k) AS DOUBLE) / sum(c) AS m, (CAST(sum(CAST(CAST(k * k AS DOUBLE) / c AS DECIMAL(38,6))) AS DOUBLE)) / sum(c) - (CAST(sum(k) AS DOUBLE) / sum(c)) * (CAST(sum(k) AS DOUBLE) / sum(c)) AS v FROM (
-    SELECT event_type, user_id, count(*) AS c, count(*) FILTER (WHERE value > 30) AS k FROM events GROUP BY ALL) WHERE c >= 5 GROUP BY event_type HAVING count(*) >= 5)""")
+_MOMENTS = "count(*) AS n, CAST(sum(k) AS DOUBLE) / sum(c) AS m, (CAST(sum(CAST(CAST(k * k AS DOUBLE) / c AS DECIMAL(38,6))) AS DOUBLE)) / sum(c) - (CAST(sum(k) AS DOUBLE) / sum(c)) * (CAST(sum(k) AS DOUBLE) / sum(c)) AS v"
+_KAPPA = "least(1000.0::DOUBLE, greatest(2.0::DOUBLE, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000.0::DOUBLE END))"
+
+
+@query(f"""WITH cells AS (SELECT event_type, user_id, count(*) AS c, count(*) FILTER (WHERE value > 30) AS k FROM events GROUP BY ALL HAVING count(*) >= 12
+), own AS (SELECT event_type, m, {_KAPPA} AS kappa FROM (SELECT event_type, {_MOMENTS} FROM cells GROUP BY event_type) WHERE n >= 5
+), pooled AS (SELECT m, {_KAPPA} AS kappa FROM (SELECT {_MOMENTS} FROM cells) WHERE n >= 5)
+SELECT t.event_type, CASE WHEN o.m IS NOT NULL THEN 'own' WHEN p.m IS NOT NULL THEN 'pooled' ELSE 'uniform' END AS source, coalesce(o.m, p.m, 0.5::DOUBLE) AS m, coalesce(o.kappa, p.kappa, 2.0::DOUBLE) AS kappa FROM (SELECT DISTINCT event_type FROM events) t LEFT JOIN own o USING (event_type) LEFT JOIN pooled p ON true""")
 def d32_rate_prior(s: Staging) -> DataFrame:
-    """Beta priors by weighted moments over cells of five trials or more; kappa between 2 and 1000."""
-    cells = s.events().groupBy("event_type", "user_id").agg(F.count("*").alias("c"), F.count(F.when(F.col("value") > 30, 1)).alias("k")).where("c >= 5")
-    df = cells.groupBy("event_type").agg(F.count("*").alias("n"), (F.sum("k").cast("double") / F.sum("c")).alias("m"), (dsum((F.col("k") * F.col("k")).cast("double") / F.col("c")) / F.sum("c")).alias("_q")).where("n >= 5")
-    df = df.withColumn("v", F.col("_q") - F.col("m") * F.col("m")).drop("_q")
-    kappa = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(1000.0)
-    return df.withColumn("kappa", F.least(F.lit(1000.0), F.greatest(F.lit(2.0), kappa)))
+    """Beta priors by weighted moments over cells of twelve trials or more, kappa between 2 and 1000; a kind with fewer than five cells takes the pooled prior, and without that the uniform one."""
+    cells = s.events().groupBy("event_type", "user_id").agg(F.count("*").alias("c"), F.count(F.when(F.col("value") > 30, 1)).alias("k")).where("c >= 12")
+    own = _prior(cells.groupBy("event_type")).withColumnsRenamed({"m": "own_m", "kappa": "own_kappa"})
+    pooled = _prior(cells.groupBy())  # one row or none
+    df = s.events().select("event_type").distinct().join(own, "event_type", "left").join(F.broadcast(pooled), F.lit(True), "left")
+    source = F.when(F.col("own_m").isNotNull(), "own").when(F.col("m").isNotNull(), "pooled").otherwise("uniform")
+    return df.select("event_type", source.alias("source"), F.coalesce("own_m", "m", F.lit(0.5)).alias("m"), F.coalesce("own_kappa", "kappa", F.lit(2.0)).alias("kappa"))
+
+
+def _prior(cells) -> DataFrame:
+    """m and kappa of groups of cells (c trials, k hits)."""
+    df = cells.agg(F.count("*").alias("n"), (F.sum("k").cast("double") / F.sum("c")).alias("m"), (dsum((F.col("k") * F.col("k")).cast("double") / F.col("c")) / F.sum("c")).alias("_q")).where("n >= 5")
+    df = df.withColumn("_v", F.col("_q") - F.col("m") * F.col("m"))
+    kappa = F.when(F.col("_v") > 0, F.col("m") * (1 - F.col("m")) / F.col("_v") - 1).otherwise(1000.0)
+    return df.withColumn("kappa", F.least(F.lit(1000.0), F.greatest(F.lit(2.0), kappa))).drop("n", "_q", "_v")
 
 
 _DRAWS = "CAST('0x' || substr(md5(d || '-' || campaign_id || '-' || week), 1, 7) AS BIGINT)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import METRICS, days_of_cover, dsum, inventory_band, metric, safe_ratio, wilson
+from millrace.functions.columns import METRICS, canonical_number, days_of_cover, dsum, inventory_band, metric, projected_shortfall, safe_ratio, stage_of, unit_contribution, units_from_net_revenue, wilson
 from millrace.operators import relational as r
 from millrace.plans import canonical
 from millrace.plans.registry import query
@@ -234,11 +234,20 @@ def w07_top_categories(s: Staging) -> DataFrame:
 _DEMAND = "WINDOW w AS (PARTITION BY sku ORDER BY date), w7 AS (PARTITION BY sku ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), w28 AS (PARTITION BY sku ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)"
 
 
-@query(f"SELECT sku, date, units, lag(units, 1) OVER w AS lag1, lag(units, 7) OVER w AS lag7, lag(units, 14) OVER w AS lag14, CASE WHEN count(*) OVER w7 = 7 THEN CAST(sum(units) OVER w7 AS DOUBLE) / 7 END AS mean7, CASE WHEN count(*) OVER w28 = 28 THEN CAST(sum(units) OVER w28 AS DOUBLE) / 28 END AS mean28, CAST(isodow(date) - 1 AS INTEGER) AS weekday FROM stock_daily {_DEMAND}", "staging")
+@query(f""", priced AS (SELECT s.sku, s.date, s.units, h.price FROM stock_daily s LEFT JOIN price_history h ON h.sku = s.sku AND h.effective_from = s.date
+), filled AS (SELECT sku, date, units, coalesce(last_value(price IGNORE NULLS) OVER (PARTITION BY sku ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(price IGNORE NULLS) OVER (PARTITION BY sku ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM priced)
+SELECT sku, date, units, lag(units, 1) OVER w AS lag1, lag(units, 7) OVER w AS lag7, lag(units, 14) OVER w AS lag14, CASE WHEN count(*) OVER w7 = 7 THEN CAST(sum(units) OVER w7 AS DOUBLE) / 7 END AS mean7, CASE WHEN count(*) OVER w28 = 28 THEN CAST(sum(units) OVER w28 AS DOUBLE) / 28 END AS mean28,
+  price, CASE WHEN count(price) OVER w28 > 0 THEN CAST(sum(CAST(price AS DECIMAL(38,6))) OVER w28 AS DOUBLE) / count(price) OVER w28 END AS price28, CAST(isodow(date) - 1 AS INTEGER) AS weekday FROM filled {_DEMAND}""", "staging")
 def w08_demand_features(s: Staging) -> DataFrame:
+    """Lags and means of the rows before; prices filled forward, then backward at the start, and their mean over up to 28 rows before."""
     w = Window.partitionBy("sku").orderBy("date")
     mean = lambda k: F.when(F.count(F.lit(1)).over(w.rowsBetween(-k, -1)) == k, F.sum("units").over(w.rowsBetween(-k, -1)).cast("double") / k)
-    return s.stock_daily().select("sku", "date", "units", *[F.lag("units", k).over(w).alias(f"lag{k}") for k in (1, 7, 14)], mean(7).alias("mean7"), mean(28).alias("mean28"), F.weekday("date").alias("weekday"))
+    prices = s.price_history().select("sku", F.col("effective_from").alias("date"), F.col("price").alias("_p"))
+    df = s.stock_daily().select("sku", "date", "units").join(prices, ["sku", "date"], "left")
+    df = df.withColumn("price", F.coalesce(F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    before = w.rowsBetween(-28, -1)
+    price28 = F.when(F.count("price").over(before) > 0, F.sum(F.col("price").cast("decimal(38,6)")).over(before).cast("double") / F.count("price").over(before))
+    return df.select("sku", "date", "units", *[F.lag("units", k).over(w).alias(f"lag{k}") for k in (1, 7, 14)], mean(7).alias("mean7"), mean(28).alias("mean28"), "price", price28.alias("price28"), F.weekday("date").alias("weekday"))
 
 
 @query(f"SELECT date, spend, CASE WHEN count(*) OVER w >= 7 THEN CAST(sum(CAST(spend AS DECIMAL(38,6))) OVER w AS DOUBLE) / count(*) OVER w END AS trend FROM (SELECT date, {D('spend')} AS spend FROM ad_daily GROUP BY date) WINDOW w AS (ORDER BY date ROWS BETWEEN 14 PRECEDING AND 13 FOLLOWING)", "staging")
@@ -319,3 +328,58 @@ def f_inventory_band(s: Staging) -> DataFrame:
 def f_strings(s: Staging) -> DataFrame:
     df = s.ad_daily().groupBy("campaign_id").agg(F.sum("clicks").alias("c"), F.sum("impressions").alias("i")).join(s.campaigns(), "campaign_id")
     return df.select("campaign_id", safe_ratio("c", "i").alias("ctr"), F.concat(F.upper(F.left("platform", F.lit(1))), F.expr("substr(platform, 2)")).alias("platform"), F.regexp_replace("product_set", "[^A-Za-z]+", "-").alias("slug"))
+
+
+@query("SELECT c_mktsegment, n_nationkey, any_value(n_name) AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def a05_any_value(s: Staging) -> DataFrame:
+    """Any value of what the key fixes."""
+    df = s.raw("customer").join(s.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return df.groupBy("c_mktsegment", "n_nationkey").agg(F.any_value("n_name", True).alias("nation"), F.count("*").alias("n"))
+
+
+_LEVEL = "SELECT '{0}' AS level, {1} AS id, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks FROM ad_daily JOIN adsets USING (ad_id) WHERE date > DATE '2001-06-20' GROUP BY 2 HAVING sum(impressions) > 0"
+
+
+@query(" SELECT * FROM (" + " UNION ALL ".join(_LEVEL.format(k, c) for k, c in (("campaign", "campaign_id"), ("adset", "adset_id"), ("ad", "ad_id"))) + ")", "staging")
+def s30_level_rollups(s: Staging) -> DataFrame:
+    """One report at three levels, by one expansion of each row instead of three scans."""
+    rows = s.ad_daily().where("date > '2001-06-20'").join(s.adsets(), "ad_id")
+    each = F.array(*[F.struct(F.lit(k).alias("level"), F.col(c).alias("id")) for k, c in (("campaign", "campaign_id"), ("adset", "adset_id"), ("ad", "ad_id"))])
+    return rows.select(F.inline(each), "impressions", "clicks").groupBy("level", "id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks")).where("impressions > 0")
+
+
+@query(f""", now AS (SELECT sku, available, mean_units, reorder_point FROM inventory_daily WHERE date <= DATE '{LAST_DAY}' QUALIFY row_number() OVER (PARTITION BY sku ORDER BY date DESC) = 1
+), spent AS (SELECT campaign_id, {D('spend')} AS spend FROM ad_daily WHERE date > DATE '{LAST_DAY}' - 28 AND date <= DATE '{LAST_DAY}' GROUP BY campaign_id), by_sku AS (SELECT sku, {D('spend * weight')} AS spend FROM campaign_sku JOIN spent USING (campaign_id) GROUP BY sku)
+SELECT n.sku, p.title, p.category, n.available, n.reorder_point, coalesce(b.spend, 0.0::DOUBLE) AS spend, greatest(14.0::DOUBLE * n.mean_units - n.available, 0.0::DOUBLE) AS shortfall, CASE WHEN n.available <= 0 THEN 'OUT' WHEN n.available < n.reorder_point THEN 'BELOW_REORDER_POINT' ELSE 'OK' END AS status
+FROM now n JOIN products p USING (sku) LEFT JOIN by_sku b ON b.sku = CAST(n.sku AS VARCHAR)""", "canonical")
+def j25_inventory_page(s: Staging) -> DataFrame:
+    """The latest stock of each SKU beside what campaigns spend on it."""
+    last = F.lit(LAST).cast("date")
+    now = r.latest_per_key(canonical.inventory_daily(s).where(F.col("date") <= last), ["sku"], [F.desc("date")])
+    spent = s.ad_daily().where((F.col("date") > F.date_sub(last, 28)) & (F.col("date") <= last)).groupBy("campaign_id").agg(dsum("spend").alias("spend"))
+    by_sku = canonical.campaign_sku(s, canonical.order_items(s)).join(spent, "campaign_id").groupBy(F.col("sku").try_cast("long").alias("sku")).agg(dsum(F.col("spend") * F.col("weight")).alias("spend"))
+    df = now.join(s.products().select("sku", "title", "category"), "sku").join(by_sku, "sku", "left")
+    a, p = F.col("available"), F.col("reorder_point")
+    return df.select("sku", "title", "category", "available", "reorder_point", F.coalesce("spend", F.lit(0.0)).alias("spend"), projected_shortfall(F.lit(14.0) * F.col("mean_units"), a).alias("shortfall"), F.when(a <= 0, "OUT").when(a < p, "BELOW_REORDER_POINT").otherwise("OK").alias("status"))
+
+
+@query("SELECT campaign_id, name, CASE WHEN contains(split_part(name, ' | ', 1), ' ') THEN list_last(string_split(split_part(name, ' | ', 1), ' ')) END AS stage, CASE WHEN contains(lower(name), 'econ') THEN 'value' WHEN regexp_matches(name, '\\bSMALL\\b') THEN 'size' ELSE 'other' END AS theme, list_last(string_split(replace(name, ' | ', '|'), '|')) AS tail FROM (SELECT campaign_id, 'META ' || name AS name FROM campaigns)", "staging")
+def f_names(s: Staging) -> DataFrame:
+    """Stage, theme and product set out of a campaign's name: last word, keywords, whole words, parts."""
+    df = s.campaigns().select("campaign_id", F.concat(F.lit("META "), "name").alias("name"))
+    theme = F.when(F.lower("name").contains("econ"), "value").when(F.col("name").rlike(r"\bSMALL\b"), "size").otherwise("other")
+    return df.select("campaign_id", "name", stage_of(F.col("name")).alias("stage"), theme.alias("theme"), F.element_at(F.split("name", r"\s*\|\s*"), -1).alias("tail"))
+
+
+@query(f", sold AS (SELECT sku, {D('net_revenue')} AS net_revenue, CAST(sum(qty) AS BIGINT) AS units FROM order_items GROUP BY sku) SELECT sku, net_revenue / units AS nrpu, net_revenue / units * (1.0::DOUBLE - fee_pct) - cogs - ship_cost AS unit_contribution, CASE WHEN net_revenue > 0 THEN 10000.0::DOUBLE / (net_revenue / units) END AS units_for_10000 FROM sold JOIN products USING (sku)", "canonical")
+def f_unit_economics(s: Staging) -> DataFrame:
+    sold = canonical.order_items(s).groupBy("sku").agg(dsum("net_revenue").alias("net_revenue"), F.sum("qty").alias("units")).join(s.products(), "sku")
+    n = F.col("net_revenue") / F.col("units")
+    return sold.select("sku", n.alias("nrpu"), unit_contribution(n, F.col("cogs"), F.col("ship_cost"), F.col("fee_pct")).alias("unit_contribution"), F.when(F.col("net_revenue") > 0, units_from_net_revenue(F.lit(10000.0), n)).alias("units_for_10000"))
+
+
+@query("SELECT n_nationkey, CASE WHEN x = 0 THEN '0' ELSE regexp_replace(regexp_replace(CAST(CAST(x AS DECIMAL(20,4)) AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') END AS amount, sha256('amount=' || CASE WHEN x = 0 THEN '0' ELSE regexp_replace(regexp_replace(CAST(CAST(x AS DECIMAL(20,4)) AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') END) AS hash FROM (SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) * 12.5::DOUBLE AS x FROM nation)")
+def f_canonical_hash(s: Staging) -> DataFrame:
+    """Numbers as text that hashes alike wherever it is made: four places, no trailing zeros."""
+    text = canonical_number(F.col("n_nationkey").cast("double") * 12.5)
+    return s.raw("nation").select("n_nationkey", text.alias("amount"), F.sha2(F.concat(F.lit("amount="), text), 256).alias("hash"))
