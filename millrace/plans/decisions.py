@@ -65,16 +65,27 @@ def d39_greedy_allocation(s: Staging) -> DataFrame:
     return allocation(s)
 
 
-@query(_ALLOCATE + f""", a AS (SELECT campaign_id, count(*) * {STEP}::DOUBLE AS budget FROM ranked WHERE n <= 150 GROUP BY campaign_id), now AS (SELECT campaign_id, arg_max(budget, snapshot_date) AS current FROM budget_snapshots GROUP BY campaign_id
-), j AS (SELECT campaign_id, coalesce(budget, 0.0::DOUBLE) AS budget, coalesce(current, 0.0::DOUBLE) AS current FROM a FULL JOIN now USING (campaign_id))
-SELECT campaign_id, budget, current, list_aggregate(list_filter([CASE WHEN budget < 0 THEN 'NEGATIVE' END, CASE WHEN current > 0 AND abs(budget - current) > 3 * current THEN 'CHANGE_CAP' END, CASE WHEN budget > 8000 THEN 'UNIT_CAP' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS violations FROM j""", "staging")
+#: Named rules of a proposed budget: columns budget, current, status, total, total_now and share (of the platform).
+RULES = {
+    "NEGATIVE": "budget < 0", "BELOW_MINIMUM": "budget > 0 and budget < 500", "NOT_A_STEP": "budget % 500 <> 0", "UNIT_CAP": "budget > 8000", "CHANGE_CAP": "current > 0 and abs(budget - current) > 3 * current", "NEW_UNIT": "current = 0 and budget > 2000",
+    "PAUSED_UNIT": "status = 'PAUSED' and budget > 0", "CUT_TO_ZERO": "current > 2000 and budget = 0", "TOTAL_CAP": "total * 5 > 6 * total_now", "PLATFORM_SHARE": "share * 5 > 3",
+}
+
+
+@query(_ALLOCATE + f""", a AS (SELECT campaign_id, count(*) * {STEP}::DOUBLE AS budget FROM ranked WHERE n <= 150 GROUP BY campaign_id), now AS (SELECT campaign_id, arg_max(budget, snapshot_date) AS current, arg_max(status, snapshot_date) AS status FROM budget_snapshots GROUP BY campaign_id
+), j AS (SELECT campaign_id, platform, status, coalesce(budget, 0.0::DOUBLE) AS budget, coalesce(current, 0.0::DOUBLE) AS current FROM campaigns LEFT JOIN a USING (campaign_id) LEFT JOIN now USING (campaign_id)
+), k AS (SELECT *, CAST(sum(CAST(budget AS DECIMAL(38,6))) OVER () AS DOUBLE) AS total, CAST(sum(CAST(current AS DECIMAL(38,6))) OVER () AS DOUBLE) AS total_now, CAST(sum(CAST(budget AS DECIMAL(38,6))) OVER (PARTITION BY platform) AS DOUBLE) AS own FROM j
+), r AS (SELECT *, CASE WHEN total > 0 THEN own / total ELSE 0.0::DOUBLE END AS share FROM k)
+SELECT campaign_id, budget, current, nullif(concat_ws(',', {", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in RULES.items())}), '') AS violations FROM r""", "staging")
 def d41_policy_validation(s: Staging) -> DataFrame:
-    """The named rules that a proposed budget breaks; null if none."""
-    now = r.latest_value(s.budget_snapshots(), ["campaign_id"], "snapshot_date", ["budget"]).withColumnRenamed("budget", "current")
-    df = allocation(s).select("campaign_id", "budget").join(now, "campaign_id", "full").select("campaign_id", F.coalesce("budget", F.lit(0.0)).alias("budget"), F.coalesce("current", F.lit(0.0)).alias("current"))
-    b, c = F.col("budget"), F.col("current")
-    broken = F.array_compact(F.array(F.when(b < 0, "NEGATIVE"), F.when((c > 0) & (F.abs(b - c) > 3 * c), "CHANGE_CAP"), F.when(b > 8000, "UNIT_CAP")))
-    return df.withColumn("violations", F.when(F.size(broken) > 0, F.array_join(broken, ",")))
+    """The named rules that a proposed budget breaks; null if none. The totals are over a row for each campaign."""
+    now = r.latest_value(s.budget_snapshots(), ["campaign_id"], "snapshot_date", ["budget", "status"]).withColumnRenamed("budget", "current")
+    df = s.campaigns().select("campaign_id", "platform").join(allocation(s).select("campaign_id", "budget"), "campaign_id", "left").join(now, "campaign_id", "left")
+    df = df.withColumns({"budget": F.coalesce("budget", F.lit(0.0)), "current": F.coalesce("current", F.lit(0.0))})
+    total = df.agg(dsum("budget").alias("total"), dsum("current").alias("total_now"))  # one row
+    df = df.join(F.broadcast(total), how="cross").join(df.groupBy("platform").agg(dsum("budget").alias("own")), "platform").withColumn("share", F.when(F.col("total") > 0, F.col("own") / F.col("total")).otherwise(0.0))
+    broken = F.concat_ws(",", *[F.when(F.expr(rule), name) for name, rule in RULES.items()])
+    return df.select("campaign_id", "budget", "current", F.nullif(broken, F.lit("")).alias("violations"))
 
 
 _NAIVE = """, f AS (SELECT sku, date, units, lag(units, 7) OVER (PARTITION BY sku ORDER BY date) AS p50 FROM stock_daily

@@ -212,13 +212,20 @@ def d25_synthetic_control(s: Staging) -> DataFrame:
     return made.withColumn("effect", F.col("y") - F.col("synthetic"))
 
 
-@query(WEEKS + """, f AS (SELECT campaign_id, week, clicks, lag(clicks) OVER w AS prev FROM weeks WINDOW w AS (PARTITION BY campaign_id ORDER BY week)), e AS (SELECT week, count(*) FILTER (WHERE prev > 0) AS eligible, count(*) FILTER (WHERE prev > 0 AND clicks < prev * 0.8::DOUBLE) AS fell FROM f GROUP BY week)
-SELECT week, eligible, fell FROM e WHERE fell >= 2 AND 1.0::DOUBLE * fell / eligible >= 0.7""", "staging")
+@query(WEEKS + """, f AS (SELECT campaign_id, week, 'clicks' AS metric, CAST(clicks AS DOUBLE) AS v FROM weeks UNION ALL SELECT campaign_id, week, 'spend', spend FROM weeks
+), g AS (SELECT *, lag(v) OVER (PARTITION BY campaign_id, metric ORDER BY week) AS prev FROM f
+), e AS (SELECT platform, metric, week, count(*) FILTER (WHERE prev > 0) AS eligible, count(*) FILTER (WHERE prev > 0 AND v < prev * 0.8::DOUBLE) AS down, count(*) FILTER (WHERE prev > 0 AND v > prev * 1.2::DOUBLE) AS up FROM g JOIN campaigns USING (campaign_id) GROUP BY ALL
+), d AS (SELECT platform, metric, week, eligible, 'DOWN' AS direction, down AS moved FROM e UNION ALL SELECT platform, metric, week, eligible, 'UP', up FROM e)
+SELECT platform, metric, week, direction, eligible, moved FROM d WHERE moved >= 2 AND 1.0::DOUBLE * moved / eligible >= 0.7""", "staging")
 def d11_platform_incidents(s: Staging) -> DataFrame:
-    """Weeks in which at least seven in ten campaigns fell by a fifth: one incident instead of many."""
-    before = F.lag("clicks").over(Window.partitionBy("campaign_id").orderBy("week"))
-    df = _weeks(s).withColumn("prev", before).groupBy("week").agg(F.count(F.when(F.col("prev") > 0, 1)).alias("eligible"), F.count(F.when((F.col("prev") > 0) & (F.col("clicks") < F.col("prev") * 0.8), 1)).alias("fell"))
-    return df.where((F.col("fell") >= 2) & (safe_ratio("fell", "eligible") >= 0.7))
+    """A metric that moves by a fifth, the same way, for at least two and seven in ten of a platform's campaigns: one incident instead of many."""
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in ("clicks", "spend")])
+    before = F.lag("v").over(Window.partitionBy("campaign_id", "metric").orderBy("week"))
+    df = _weeks(s).select("campaign_id", "week", F.inline(each)).withColumn("prev", before).where("prev > 0").join(s.campaigns().select("campaign_id", "platform"), "campaign_id")
+    moved = lambda x: F.count(F.when(x, 1))
+    e = df.groupBy("platform", "metric", "week").agg(F.count("*").alias("eligible"), moved(F.col("v") < F.col("prev") * 0.8).alias("down"), moved(F.col("v") > F.col("prev") * 1.2).alias("up"))
+    d = e.select("platform", "metric", "week", "eligible", F.inline(F.array(*[F.struct(F.lit(n.upper()).alias("direction"), F.col(n).alias("moved")) for n in ("down", "up")])))
+    return d.where((F.col("moved") >= 2) & (safe_ratio("moved", "eligible") >= 0.7)).select("platform", "metric", "week", "direction", "eligible", "moved")
 
 
 @query(""", hits AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE event_type = 'error'), marked AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 7 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM hits)

@@ -44,6 +44,12 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table lies there that was written to its end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     spark = df.sparkSession

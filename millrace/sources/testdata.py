@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import dsum
 from millrace.operators.relational import history, latest_per_key
-from millrace.sources.scratch import scratch_path
+from millrace.sources.scratch import is_whole, scratch_path
 
 #: Priority -> (source, medium).
 UTM = {"1-URGENT": ("google", "cpc"), "2-HIGH": ("facebook", "paid"), "3-MEDIUM": ("newsletter", "email"), "4-NOT SPECIFIED": ("google", "organic")}
@@ -36,7 +36,7 @@ class Staging:
     def held(self, name: str, build: Callable[[], DataFrame], *order: str) -> DataFrame:
         """build(), written once; with an order, in ranges of it, so that a filter on it skips files."""
         key, df = (self.spark.sparkContext.applicationId, self.sf_dir, name), build()
-        if key not in _AT:
+        if key not in _AT or not is_whole(self.spark, _AT[key]):
             path = scratch_path(self.spark, name)
             (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.parquet(path)
             _AT[key] = path

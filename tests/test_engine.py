@@ -263,6 +263,22 @@ def test_guard_runs_the_text_as_it_stands(spark):
         spark.sql("DROP TABLE guarded_secret")
 
 
+def test_held_tables_are_made_once_and_again_where_they_are_gone(spark, tmp_path):
+    from millrace.sources import testdata
+
+    s, made = testdata.Staging(spark, str(tmp_path)), []
+
+    def build():
+        made.append(1)
+        return spark.range(5).withColumnRenamed("id", "day")
+
+    assert s.held("t", build, "day").count() == s.held("t", build, "day").count() == 5
+    key = (spark.sparkContext.applicationId, str(tmp_path), "t")
+    first = testdata._AT[key]
+    Path(first.removeprefix("file://"), "_SUCCESS").unlink()
+    assert s.held("t", build, "day").count() == 5 and testdata._AT[key] != first
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
