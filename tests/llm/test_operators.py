@@ -475,6 +475,15 @@ def test_image_copies(spark):
     assert got[None].class_id is None and image_copies.copies(table.limit(0)).count() == 0
 
 
+def test_large_image_and_its_crop(spark):
+    """Corners grow with the area, so a small crop of a large image has enough of them."""
+    big = np.block([[picture(4 * i + j) for j in range(4)] for i in range(4)])
+    assert len(image_copies.corners(big)) > 12 * len(image_copies.corners(picture(0)))
+    rows = [(1, bytearray(image_copies.encode(big))), (2, bytearray(image_copies.encode(big[150:250, 130:240]))), (3, bytearray(image_copies.encode(picture(99))))]
+    got = {r.id: (r.class_id, r.n_links) for r in image_copies.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def brute_images(described):
     """Links by all pairs of corners of all pairs of images within FAR bits, by the same votes."""
     out = set()
