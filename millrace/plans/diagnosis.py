@@ -190,14 +190,22 @@ def o07_top_controls(s: Staging) -> DataFrame:
 
 
 @query(_CONTROLS + """, m AS (SELECT week >= DATE '2001-05-28' AS post, CAST(sum(y - x) AS DOUBLE) / count(*) AS gap, count(DISTINCT week) AS weeks FROM grid JOIN chosen USING (control) GROUP BY 1)
-SELECT a.gap - b.gap AS effect, a.weeks AS post_weeks, b.weeks AS pre_weeks FROM m a, m b WHERE a.post AND NOT b.post""", "staging")
+, pre AS (SELECT row_number() OVER (ORDER BY week) AS t, CAST(sum(y - x) AS BIGINT) AS g FROM grid JOIN chosen USING (control) WHERE week < DATE '2001-05-28' GROUP BY week
+), line AS (SELECT CAST(count(*) * sum(t * g) - sum(t) * sum(g) AS DOUBLE) / CAST(count(*) * sum(t * t) - sum(t) * sum(t) AS DOUBLE) / 5 AS slope FROM pre)
+SELECT a.gap - b.gap AS effect, a.weeks AS post_weeks, b.weeks AS pre_weeks, slope AS pre_slope, abs(slope) * a.weeks <= abs(a.gap - b.gap) AS trusted FROM m a, m b, line WHERE a.post AND NOT b.post""", "staging")
 def d26_difference_in_differences(s: Staging) -> DataFrame:
-    """Equal weights on the chosen controls: the mean gap after the start less the mean gap before."""
+    """Equal weights on the chosen controls: the mean gap after the start less the mean gap before. Trusted where the trend of the gap before the start would not make the effect by itself."""
     grid, chosen = controls(s)
+    own = grid.join(chosen, "control", "left_semi")
     post = F.col("week") >= "2001-05-28"
     gap = F.col("y") - F.col("x")
     half = lambda p: F.sum(F.when(p, gap)).cast("double") / F.count(F.when(p, 1))
-    return grid.join(chosen, "control", "left_semi").agg((half(post) - half(~post)).alias("effect"), F.countDistinct(F.when(post, F.col("week"))).alias("post_weeks"), F.countDistinct(F.when(~post, F.col("week"))).alias("pre_weeks"))
+    told = own.agg((half(post) - half(~post)).alias("effect"), F.countDistinct(F.when(post, F.col("week"))).alias("post_weeks"), F.countDistinct(F.when(~post, F.col("week"))).alias("pre_weeks"))
+    # a row for each week; the slope in closed form, of whole numbers
+    pre = own.where(~post).groupBy("week").agg(F.sum(gap).alias("g")).withColumn("t", F.row_number().over(Window.orderBy("week")).cast("long"))
+    n, t, g = F.count("*"), F.col("t"), F.col("g")
+    line = pre.agg(((n * F.sum(t * g) - F.sum(t) * F.sum(g)).cast("double") / (n * F.sum(t * t) - F.sum(t) * F.sum(t)).cast("double") / 5).alias("pre_slope"))
+    return told.join(line, how="cross").withColumn("trusted", F.abs("pre_slope") * F.col("post_weeks") <= F.abs("effect"))  # two tables of one row
 
 
 @query(_CONTROLS + """, scaled AS (SELECT c.control, c.corr / t.total AS weight, g.ratio FROM chosen c, (SELECT sum(CAST(corr AS DECIMAL(38,12)))::DOUBLE AS total FROM chosen) t JOIN (SELECT control, CAST(sum(y) AS DOUBLE) / sum(x) AS ratio FROM grid WHERE week < DATE '2001-05-28' GROUP BY control) g ON g.control = c.control)
