@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remove_stored, stored
+from millrace.llm.common import stored
 from millrace.llm.components import components
 
 SCALES, AREA, RADIUS, VOTES = tuple(2 ** (-k / 6) for k in range(6)), 256, 11, 4
 TABLES, NEAR, FAR = 6, 14, 32
 #: Descriptors in a block of a bucket, and rows judged together, about; what tells cells apart.
 CELL, READ, CELL_OF = 512, 100_000, ("bucket", "p", "q")
+BINS = 1 << 16
 #: Width of a vote: degrees, octaves, pixels of the unscaled image.
 TURN, OCTAVE, SHIFT = 30, 0.5, 6
 
@@ -182,12 +183,19 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from judged(joined())
 
 
+def _large(keyed: DataFrame) -> DataFrame:
+    """bucket and blocks of the buckets above a cell's size. Buckets are counted by BINS coarse bins first, so that only those in a full bin are counted one by one."""
+    bin_of = F.pmod("bucket", F.lit(BINS))
+    full = keyed.groupBy(bin_of.alias("_bin")).agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("_bin")
+    near = keyed.select("bucket").withColumn("_bin", bin_of).join(F.broadcast(full), "_bin", "left_semi")  # at most BINS rows
+    return near.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
+
+
 def matched(corners_of: DataFrame, votes: int = VOTES) -> DataFrame:
     """Pairs (a, b) of images whose matches agree on a transform, and the number of corners of b that agree."""
     keyed = corners_of.select("id", "corner", "rest", F.posexplode("keys").alias("table", "key")).select("id", "corner", "rest", F.xxhash64("table", "key").alias("bucket"))
     # only buckets above a cell's size are parted, into pairs of blocks; all others are one cell
-    large = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
-    cells = keyed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "corner"), F.col("blocks")).cast("int"))
+    cells = keyed.join(_large(keyed), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "corner"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "corner", "rest")
     met = cells.repartition(*CELL_OF).sortWithinPartitions(*CELL_OF).mapInArrow(_paired, "a long, b long, corner_a int, corner_b int")
@@ -213,15 +221,14 @@ def copies(media: DataFrame, id_column: str = "id", image: str = "image", votes:
     """id, class_id (the least id of all that links connect) and n_links (linked images, and others of equal bytes) of each row."""
     rows = stored(described(media, id_column, image), "images")
     same = rows.where("id is not null and full").groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
-    chosen = same.select("sha", F.col("rep").alias("id"))
-    own = rows.where(F.size("corners") > 0).join(chosen, ["sha", "id"], "left_semi").select("id", F.posexplode("corners").alias("corner", "c"))
-    corners_of = stored(own.select("id", "corner", "c.*"), "corners")
+    # of images of equal bytes one stands for all; the others, few in most tables, leave before corners are read
+    others = stored(rows.where("id is not null and full").select("id", "sha").join(same.where("w > 1").select("sha", "rep"), "sha").where("id <> rep").select("id").distinct(), "others")
+    corners_of = rows.where(F.col("id").isNotNull() & (F.size("corners") > 0)).join(others, "id", "left_anti").select("id", F.posexplode("corners").alias("corner", "c")).select("id", "corner", "c.*")
     linked = stored(matched(corners_of, votes), "pairs")
     both = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(linked.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     weight = both.join(same.select(F.col("rep").alias("v"), F.col("w").alias("_w")), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("_w").alias("links"))
     roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("u", "rep")
     known = same.join(weight, "rep", "left").join(roots, "rep", "left").select("sha", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    remove_stored(corners_of)
     found = rows.select("id", "sha", "full").join(known, "sha", "left")
     seen = F.col("id").isNotNull() & F.col("full")
     return found.select("id", F.when(seen, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(seen, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
