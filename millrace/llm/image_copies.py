@@ -25,7 +25,7 @@ from millrace.llm.common import stored
 from millrace.llm.components import components
 
 SCALES, AREA, RADIUS, VOTES = tuple(2 ** (-k / 6) for k in range(6)), 256, 11, 4
-TABLES, NEAR, FAR = 6, 14, 32
+TABLES, NEAR, FAR = 6, 5, 32
 #: Descriptors in a block of a bucket, and rows judged together, about; what tells cells apart.
 CELL, READ, CELL_OF = 512, 100_000, ("bucket", "p", "q")
 BINS = 1 << 16
@@ -195,12 +195,13 @@ def matched(corners_of: DataFrame, votes: int = VOTES) -> DataFrame:
     """Pairs (a, b) of images whose matches agree on a transform, and the number of corners of b that agree."""
     keyed = corners_of.select("id", "corner", "rest", F.posexplode("keys").alias("table", "key")).select("id", "corner", "rest", F.xxhash64("table", "key").alias("bucket"))
     # only buckets above a cell's size are parted, into pairs of blocks; all others are one cell
-    cells = keyed.join(_large(keyed), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "corner"), F.col("blocks")).cast("int"))
+    # stored first, so that Spark knows their size: few large buckets, and few pairs with enough matches, are broadcast and all others stay where they are
+    cells = keyed.join(stored(_large(keyed), "large"), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "corner"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "corner", "rest")
     met = cells.repartition(*CELL_OF).sortWithinPartitions(*CELL_OF).mapInArrow(_paired, "a long, b long, corner_a int, corner_b int")
     # a pair with fewer matches than votes cannot win
-    many = met.groupBy("a", "b").agg(F.collect_set(F.struct("corner_a", "corner_b")).alias("m")).where(F.size("m") >= votes)
+    many = stored(met.groupBy("a", "b").agg(F.collect_set(F.struct("corner_a", "corner_b")).alias("m")).where(F.size("m") >= votes), "many")
     place = lambda x: corners_of.select(F.col("id").alias(x), F.col("corner").alias(f"corner_{x}"), *[F.col(c).cast("double").alias(f"{c}_{x}") for c in ("x", "y", "scale", "turn")], F.col("keys").alias(f"keys_{x}"), F.col("rest").alias(f"rest_{x}"))
     pairs = many.select("a", "b", F.inline("m"))
     pairs = pairs.join(place("a"), ["a", "corner_a"]).join(place("b"), ["b", "corner_b"])
