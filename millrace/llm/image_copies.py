@@ -25,7 +25,7 @@ from millrace.llm.common import stored
 from millrace.llm.components import components
 
 SCALES, AREA, RADIUS, VOTES = tuple(2 ** (-k / 6) for k in range(6)), 256, 11, 4
-TABLES, NEAR, FAR = 6, 6, 32
+TABLES, NEAR, FAR = 6, 8, 32
 #: Descriptors in a block of a bucket, and rows judged together, about; what tells cells apart.
 CELL, READ, CELL_OF = 512, 100_000, ("bucket", "p", "q")
 BINS = 1 << 16
