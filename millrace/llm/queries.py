@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sample_media, sharding, token_files, url_cascade
+from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sample_media, sharding, suffix_tree, token_files, url_cascade
 from millrace.llm.common import documents, importable, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,8 +64,15 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, model).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: importable(f) for f in (op1_packing, op2_line_templates, op3_token_files, op4_url_cascade, op5_decision_list, op6_byte_bpe, op7_image_copies, op8_feistel_shards, op9_ngram_join, op10_line_crf)
+    f.__name__: importable(f)
+    for f in (
+        op1_packing, op2_line_templates, op3_token_files, op4_url_cascade, op5_decision_list, op6_byte_bpe, op7_image_copies, op8_feistel_shards, op9_ngram_join, op10_line_crf, op11_suffix_tree,
+    )
 }
 
 ORACLES: dict[str, str] = {"op4_url_cascade": url_cascade.ORACLE, "op2_line_templates": line_templates.ORACLE}
