@@ -35,7 +35,7 @@ SUMS = 3
 #: Of ten residues of crc32(doc_id), the one that is held out.
 FOLDS, HELD = 10, 0
 #: Tokens of a block, and keys of a bucket, about.
-BLOCK, BUCKET = 2_000_000, 1_000_000
+BLOCK, BUCKET = 600_000, 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
