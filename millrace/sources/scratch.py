@@ -50,11 +50,19 @@ def is_whole(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+#: Spark's setting that lets shuffle files go when a query ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
+    """df, written to the shared folder and read again. The shuffles of the write go with its end, as only the written table is read later."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
