@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sample_media, sharding, spelling_variants, suffix_tree, token_files, url_cascade
+from millrace.llm import byte_bpe, conversation_repair, image_copies, line_crf, line_templates, ngram_join, packing, quality_rules, sample_media, sharding, spelling_variants, suffix_tree, token_files, url_cascade
 from millrace.llm.common import documents, importable, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -72,10 +72,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.group(documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: importable(f)
     for f in (
-        op1_packing, op2_line_templates, op3_token_files, op4_url_cascade, op5_decision_list, op6_byte_bpe, op7_image_copies, op8_feistel_shards, op9_ngram_join, op10_line_crf, op11_suffix_tree, op12_spelling_variants,
+        op1_packing, op2_line_templates, op3_token_files, op4_url_cascade, op5_decision_list, op6_byte_bpe, op7_image_copies, op8_feistel_shards, op9_ngram_join, op10_line_crf, op11_suffix_tree, op12_spelling_variants, op13_conversation_repair,
     )
 }
 
