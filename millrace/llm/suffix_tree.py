@@ -11,7 +11,7 @@ parted by their first bits, so a common word or context is one entry a block, an
   is never overstated, and follows from three sums that blocks can add up: of ln((n(context, x) - 1) / P(x | shorter)) over repeated ones, of tokens seen once, and of 1 / n(context, x), which is T.
 * Each token is scored by the longest context before it that is retained. Contexts do not cross the bounds of documents.
 
-Words are compared by 64-bit hashes. Nulls: a null text is empty (its end token alone); a null doc_id counts as an empty text in the choice of held-out rows, and is so held out. Repeated rows each
+Words are compared by 63 bits of a hash, longer grams by 56. Nulls: a null text is empty (its end token alone); a null doc_id counts as an empty text in the choice of held-out rows, and is so held out. Repeated rows each
 count and are scored alike. A very long text makes a block of its own. Empty table: no row. Other columns are ignored, whatever their names. No training rows: N and V are 0, and nothing is known.
 """
 
@@ -30,8 +30,6 @@ from millrace.llm import hashing
 from millrace.llm.common import remove_stored, stored
 
 DEPTH, SUPPORT, GAIN, STRENGTH = 2, 4, 6.0, 4.0
-#: Sums that belong to a key: a count, or a context's three.
-SUMS = 3
 #: Of ten residues of crc32(doc_id), the one that is held out.
 FOLDS, HELD = 10, 0
 #: Tokens of a block, and keys of a bucket, about.
@@ -43,9 +41,13 @@ _MIX = np.random.default_rng(611).integers(0, 1 << 64, DEPTH + 2, dtype=np.uint6
 _END = np.uint64(0x5BD1E9955BD1E995)
 _ODD = np.uint64(1)
 
+#: Bits of a key that stay: of a word or a context, whose last bit is 1, and of a gram.
+_WORD, _GRAM = ~np.uint64(1), ~np.uint64(255)
+
 BLOCKS = "block long, ids array<long>, ends array<long>, held array<boolean>, vocab binary, tokens binary, known binary, counts array<binary>, spread array<binary>"
-ASKS = "bucket int, block long, keys binary, sums binary"
-ANSWERS = "bucket int, block long, words long, sums binary"
+ASKS = "bucket int, block long, keys binary, counts binary, stats binary"
+ANSWERS = "bucket int, block long, words long, values binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -59,21 +61,21 @@ def _numbers(raw: bytes, kind: str, wide: int = 1) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def held_out(doc_id) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(_planes(x), "zstd", asbytes=True) if len(x) else b""
 
 
-def _first(x: np.ndarray) -> np.ndarray:
-    """Counts as rows of sums."""
-    return np.stack([x.astype(np.float64), *[np.zeros(len(x))] * (SUMS - 1)], 1)
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return _numbers(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<u4") if n else np.empty(0, "<u4")
 
 
-def _added(place: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(place, sums[:, k], n) for k in range(SUMS)], 1)
+def held_out(doc_id) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def _sums(raw: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.empty((0, SUMS)), *[_numbers(s, "<f8", SUMS).reshape(-1, SUMS) for s in raw]])
+def _added(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of values by place."""
+    return np.stack([np.bincount(place, v, n) for v in values.T], 1)
 
 
 class Block:
@@ -81,22 +83,22 @@ class Block:
 
     def __init__(self, row: dict):
         self.row = row
-        self.vocab, self.tokens = _numbers(row["vocab"], "<u8"), _numbers(row["tokens"], "<u4")
         self.ends = np.array(row["ends"], np.int64)
+        self.vocab, self.tokens = _numbers(row["vocab"], "<u8"), _unpacked(row["tokens"], int(self.ends[-1]))
         self.begins = np.concatenate(([0], self.ends[:-1]))
         lengths = self.ends - self.begins
         self.back = np.arange(len(self.tokens)) - np.repeat(self.begins, lengths)
         self.train = np.repeat(~np.array(row["held"], bool), lengths)
-        self.known = _numbers(row["known"], "<u4").astype(np.float64)
-        self.counts = [_numbers(c, "<u4").astype(np.float64) for c in row["counts"]]
-        self.spread = [_numbers(t, "<u4").astype(np.float64) for t in row["spread"]]  # T of the context before each token; 0: not retained
+        self.known = _numbers(row["known"], "<u8").astype(np.float64)
+        self.counts = [_unpacked(c, len(self.tokens)).astype(np.float64) for c in row["counts"]]
+        self.spread = [_unpacked(t, len(self.tokens)).astype(np.float64) for t in row["spread"]]  # T of the context before each token; 0: not retained
 
     def grams(self, n: int, at: np.ndarray) -> np.ndarray:
-        """Keys of the n tokens that end at the positions; the last bit is 0."""
+        """Hashes of the n tokens that end at the positions."""
         out = np.zeros(len(at), np.uint64)
         for k in range(n):
             out += self.vocab[self.tokens[at - k]] * _MIX[k]
-        return hashing.mix(out) & ~_ODD
+        return hashing.mix(out)
 
     def occurrences(self, k: int) -> np.ndarray:
         """How often the k tokens before each position occur in training; 0 where there are fewer, or where a shorter one was too rare to ask."""
@@ -114,57 +116,76 @@ class Block:
         weight = self.spread[k - 1] + STRENGTH
         return (self.counts[k - 1] - out + weight * p) / (np.maximum(self.occurrences(k) - out, 0.0) + weight)
 
-    def asked(self, step: int, total: float, words: float) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Distinct keys of a round in ascending order, what this block adds to each, and for each part of the question its positions and the places of their keys.
+    def asked(self, step: int, total: float, words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Distinct keys of a round in ascending order, their counts in this block's training rows, three more sums of each context, and for each part of the question its positions and the
+        places of their keys.
 
-        Round 0 asks for words and pairs; round k for the divergence of contexts of k words and for grams of k + 2 tokens, but in the last one.
+        Round 0 asks for words and pairs; round k for contexts of k words and for grams of k + 2 tokens, but in the last one.
         """
-        keys, adds, at = [], [], []
+        keys, train, at = [], [], []
         if step == 0:
-            keys.append(self.vocab | _ODD)
-            adds.append(_first(np.bincount(self.tokens[self.train], minlength=len(self.vocab))))
-            at.append(np.arange(len(self.vocab)))
+            here = np.arange(len(self.vocab))
+            keys.append(self.vocab & _WORD | _ODD)
+            train.append(np.bincount(self.tokens[self.train], minlength=len(self.vocab)))
         else:
             here = np.flatnonzero(self.occurrences(step) >= SUPPORT)
-            n, own = self.counts[step - 1][here], self.train[here]
-            seen, again = np.where(own, n, 1.0), own & (n > 1)
-            shorter = self.probabilities(total, words, step - 1, 1.0)[here]
-            gain = np.log(np.where(again, (seen - 1) / np.where(again, shorter, 1.0), 1.0))
-            keys.append(self.grams(step, here - 1) | _ODD)
-            adds.append(np.stack([gain, own & (n == 1), own / seen], 1))
-            at.append(here)
+            keys.append(self.grams(step, here - 1) & _GRAM | _ODD)
+            train.append(self.train[here])
+        at.append(here)
         if step < DEPTH:
             enough = self.back >= step + 1
             if step:  # a gram is as rare as its rarest part
                 enough &= (self.occurrences(step + 1) >= SUPPORT) & (self.counts[step - 1] > 0)
             here = np.flatnonzero(enough)
-            keys.append(self.grams(step + 2, here))
-            adds.append(_first(self.train[here]))
+            keys.append(self.grams(step + 2, here) & _GRAM)
+            train.append(self.train[here])
             at.append(here)
         own, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = _added(place, np.concatenate(adds), len(own))
-        cuts = np.cumsum([len(k) for k in keys])
-        return own, sums, list(zip(at, np.split(place, cuts[:-1]), strict=True))
+        counts = np.bincount(place, np.concatenate(train), len(own)).astype("<u8")
+        parts = list(zip(at, np.split(place, np.cumsum([len(k) for k in keys])[:-1]), strict=True))
+        contexts = (own & _ODD) == 1
+        stats = _added((np.cumsum(contexts) - 1)[parts[0][1]], self.divergence(step, parts[0][0], total, words), int(contexts.sum())) if step else np.empty((0, 3))
+        return own, counts, stats.astype("<f4"), parts
+
+    def divergence(self, k: int, here: np.ndarray, total: float, words: float) -> np.ndarray:
+        """What each position adds to the three sums of the k words before it; nothing where it is held out."""
+        n, own = self.counts[k - 1][here], self.train[here]
+        seen, again = np.where(own, n, 1.0), own & (n > 1)
+        shorter = self.probabilities(total, words, k - 1, 1.0)[here]
+        gain = np.log(np.where(again, (seen - 1) / np.where(again, shorter, 1.0), 1.0))
+        return np.stack([gain, own & (n == 1), own / seen], 1)
 
     def learn(self, step: int, answers: np.ndarray, total: float, words: float) -> None:
-        """Takes in the sums of a round's keys."""
-        _, _, parts = self.asked(step, total, words)
-        (at, place), *more = parts
+        """Takes in the values of a round's keys: counts, and T of contexts, 0 where one is not retained."""
+        (at, place), *more = self.asked(step, total, words)[3]
         if step == 0:
-            self.row["known"] = _planes(answers[place, 0].astype("<u4"))
+            self.row["known"] = _planes(answers[place])
+            self.known = answers[place].astype(np.float64)
         else:
-            n, (gain, once, spread) = self.occurrences(step)[at], answers[place].T
-            left = np.maximum(spread - 1, 0.0) + STRENGTH
-            gain = gain - (n - once) * np.log(n - 1 + spread + STRENGTH) + once * np.log(left / (n - 1 + left))
-            kept = np.zeros(len(self.tokens), "<u4")
-            kept[at] = np.where(gain >= GAIN, np.rint(spread), 0)
-            self.spread.append(kept.astype(np.float64))
-            self.row["spread"].append(_planes(kept))
+            self._add("spread", at, answers[place])
         for at, place in more:
-            count = np.zeros(len(self.tokens), "<u4")
-            count[at] = answers[place, 0]
-            self.row["counts"].append(_planes(count))
-            self.counts.append(count.astype(np.float64))
+            self._add("counts", at, answers[place])
+
+    def _add(self, name: str, at: np.ndarray, values: np.ndarray) -> None:
+        own = np.zeros(len(self.tokens), "<u4")
+        own[at] = np.minimum(values, (1 << 32) - 1)
+        self.row[name].append(_packed(own))
+        getattr(self, name).append(own.astype(np.float64))
+
+    def scores(self, total: float, words: float) -> pa.Table:
+        each = lambda x: np.add.reduceat(x, self.begins)
+        columns = [
+            pa.array(self.row["ids"], pa.int64()), pa.array(self.row["held"], pa.bool_()), self.ends - self.begins, each((self.known > 0)[self.tokens].astype(np.int64)), np.full(len(self.ends), int(total)),
+            each(np.log10(self.probabilities(total, words, 0))), each(np.log10(self.probabilities(total, words, DEPTH))),
+        ]
+        return pa.table(dict(zip([c.split()[0] for c in SCORES.split(", ")], columns, strict=True)))
+
+
+def retained(n: np.ndarray, gain: np.ndarray, once: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """T of contexts whose divergence is at least GAIN, 0 of others; from a context's occurrences and the three sums."""
+    left = np.maximum(spread - 1, 0.0) + STRENGTH
+    rest = np.maximum(n - 1, 0.0)
+    return np.where(gain - (n - once) * np.log(rest + spread + STRENGTH) + once * np.log(left / (rest + left)) >= GAIN, np.maximum(np.rint(spread), 1), 0)
 
 
 def _block(number: int, ids: list, held: list[bool], words: list[np.ndarray]) -> pa.RecordBatch:
@@ -174,7 +195,7 @@ def _block(number: int, ids: list, held: list[bool], words: list[np.ndarray]) ->
     order = np.argsort(-counts, kind="stable")  # common words have small numbers
     place = np.empty(len(order), "<u4")
     place[order] = np.arange(len(order))
-    row = {"block": number, "ids": ids, "ends": ends.tolist(), "held": held, "vocab": _planes(vocab[order]), "tokens": _planes(place[tokens]), "known": b"", "counts": [], "spread": []}
+    row = {"block": number, "ids": ids, "ends": ends.tolist(), "held": held, "vocab": _planes(vocab[order]), "tokens": _packed(place[tokens].astype("<u4")), "known": b"", "counts": [], "spread": []}
     return _rows([row])
 
 
@@ -205,58 +226,64 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(cut, BLOCKS)
 
 
-def _round(held: DataFrame, step: int, total: float, words: float, bits: int) -> tuple[DataFrame, float]:
-    """The blocks after a round, stored, and the number of distinct words of training (of round 0)."""
+def _answers(held: DataFrame, step: int, total: float, words: float, bits: int) -> DataFrame:
+    """The values of all keys that the blocks ask for, for each bucket and block."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, sums, _ = Block(row).asked(step, total, words)
-                cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
-                parts = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if e > s]
+                keys, counts, stats, _ = Block(row).asked(step, total, words)
+                cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else 0, len(keys))
+                contexts = np.concatenate(([0], np.cumsum((keys & _ODD).astype(np.int64))))
+                parts = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
                 for start in range(0, len(parts), 64):
                     some = parts[start : start + 64]
-                    packed = [_planes(np.diff(keys[s:e], prepend=np.uint64(0))) for _, s, e in some]
-                    yield pa.record_batch({"bucket": pa.array([b for b, _, _ in some], pa.int32()), "block": pa.array([row["block"]] * len(some), pa.int64()), "keys": pa.array(packed, pa.binary()), "sums": pa.array([_planes(sums[s:e]) for _, s, e in some], pa.binary())})
+                    yield pa.record_batch({
+                        "bucket": pa.array([b for b, _, _ in some], pa.int32()), "block": pa.array([row["block"]] * len(some), pa.int64()),
+                        "keys": pa.array([_planes(np.diff(keys[s:e], prepend=np.uint64(0))) for _, s, e in some], pa.binary()), "counts": pa.array([_planes(counts[s:e]) for _, s, e in some], pa.binary()),
+                        "stats": pa.array([_planes(stats[contexts[s] : contexts[e]]) for _, s, e in some], pa.binary()),
+                    })
 
     def answer(asks: pa.Table) -> pa.Table:
-        asks = asks.sort_by("block")
+        asks = asks.sort_by("block")  # sums of fractions in one order
         keys = [np.cumsum(_numbers(k, "<u8"), dtype=np.uint64) for k in asks.column("keys").to_pylist()]
-        own, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = _added(place, _sums(asks.column("sums").to_pylist()), len(own))
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        n = int((((own & _ODD) == 1) & (sums[:, 0] > 0)).sum())
-        return pa.table({"bucket": asks.column("bucket"), "block": asks.column("block"), "words": pa.array([n] * len(keys), pa.int64()), "sums": pa.array([_planes(sums[p]) for p in np.split(place, cuts)], pa.binary())})
-
+        every = np.concatenate(keys)
+        own, place = np.unique(every, return_inverse=True)
+        values = np.bincount(place, np.concatenate([_numbers(c, "<u8") for c in asks.column("counts").to_pylist()]), len(own))
+        contexts = (own & _ODD) == 1
+        n = int((contexts & (values > 0)).sum())
+        if step:
+            of = (np.cumsum(contexts) - 1)[place[(every & _ODD) == 1]]
+            stats = np.concatenate([_numbers(s, "<f4", 3).reshape(-1, 3) for s in asks.column("stats").to_pylist()]).astype(np.float64)
+            values[contexts] = retained(values[contexts], *_added(of, stats, int(contexts.sum())).T)
+        packed = [_planes(values[p].astype("<u8")) for p in np.split(place, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"bucket": asks.column("bucket"), "block": asks.column("block"), "words": pa.array([n] * len(keys), pa.int64()), "values": pa.array(packed, pa.binary())})
+
+    return stored(held.mapInArrow(ask, ASKS).groupBy("bucket").applyInArrow(answer, ANSWERS), f"suffix-answers-{step}")
+
+
+def _learner(step: int, total: float, words: float):
     def learn(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(rows.to_pylist()[0])
-        block.learn(step, _sums(answers.sort_by("bucket").column("sums").to_pylist()), total, words)
-        return pa.Table.from_batches([_rows([block.row])])
+        values = [_numbers(v, "<u8") for v in answers.sort_by("bucket").column("values").to_pylist()]
+        block.learn(step, np.concatenate([*values, np.empty(0, "<u8")]), total, words)
+        return block.scores(total, words) if step == DEPTH else pa.Table.from_batches([_rows([block.row])])
 
-    answers = stored(held.mapInArrow(ask, ASKS).groupBy("bucket").applyInArrow(answer, ANSWERS), f"suffix-answers-{step}")
-    found = float(answers.groupBy("bucket").agg(F.max("words").alias("n")).agg(F.sum("n")).first()[0] or 0) if step == 0 else words
-    out = stored(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(learn, BLOCKS), f"suffix-blocks-{step + 1}")
-    remove_stored(held, answers)
-    return out, found
+    return learn
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each text."""
-    held = stored(blocks(docs), "suffix-blocks-0")
+    held = stored(blocks(docs), "suffix-blocks")
     sizes = held.select(F.explode(F.arrays_zip("ends", F.concat(F.array(F.lit(0).cast("long")), "ends").alias("begins"), "held"))).select((F.col("col.ends") - F.col("col.begins")).alias("n"), "col.held")
     every, total = sizes.agg(F.sum("n"), F.sum(F.when(~F.col("held"), F.col("n")))).first()
     total, words, bits = float(total or 0), 0.0, max(0, int(2 * (every or 0) // BUCKET)).bit_length()
     for step in range(DEPTH + 1):
-        held, words = _round(held, step, total, words, bits)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                each = lambda x: np.add.reduceat(x, b.begins)  # noqa: B023, E731
-                yield pa.record_batch({
-                    "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": b.ends - b.begins, "n_known": each((b.known > 0)[b.tokens].astype(np.int64)),
-                    "train_tokens": np.full(len(b.ends), int(total)), "base_score": each(np.log10(b.probabilities(total, words, 0))), "score": each(np.log10(b.probabilities(total, words, DEPTH))),
-                })
-
-    return held.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        answers = _answers(held, step, total, words, bits)
+        if step == 0:
+            words = float(answers.groupBy("bucket").agg(F.max("words").alias("n")).agg(F.sum("n")).first()[0] or 0)
+        met = held.groupBy("block").cogroup(answers.groupBy("block"))
+        if step == DEPTH:
+            return met.applyInArrow(_learner(step, total, words), SCORES)
+        before, held = held, stored(met.applyInArrow(_learner(step, total, words), BLOCKS), "suffix-blocks")
+        remove_stored(before, answers)
