@@ -128,13 +128,13 @@ with lines as (
 ), different as (
   select general, key, n, min(struct_pack(d := doc_id, l := line)) as first, max(doc_id) as last from inked group by general, key, n
 ), tokens as (
-  select key, n, unnest(range(n)) as at, unnest(key) as word, key[1] as one, key[2] as two from different where general
+  select key, n, unnest(range(n)) as place, unnest(key) as word, key[1] as one, key[2] as two from different where general
 ), supported as (
-  select key, n, at, word, count(*) over (partition by n, one, two, at, word) as s from tokens
+  select key, n, place, word, count(*) over (partition by n, one, two, place, word) as s from tokens
 ), barred as (
   select key, n, list_sort(list(s))[(n + 1) // 2] as bar from supported group by key, n
 ), generalised as (
-  select key, n, list(case when 2 * s <= bar then '<*>' else word end order by at) as t, bool_or(2 * s <= bar) as fields from supported join barred using (key, n) group by key, n
+  select key, n, list(case when 2 * s <= bar then '<*>' else word end order by place) as t, bool_or(2 * s <= bar) as fields from supported join barred using (key, n) group by key, n
 ), fielded as (
   select key, n, t from generalised where fields and 2 * len(list_filter(t, lambda x: x <> '<*>')) >= n
 ), shared as (
