@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans.canonical import CANONICAL
+from millrace.sources.scratch import reachable
 from millrace.sources.testdata import STAGING, Staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,7 @@ def query(sql: str | None = None, base: str = "", name: str | None = None):
 
     def add(f: Callable[[Staging], DataFrame]):
         key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(Staging(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: f(Staging(reachable(spark), sf_dir))
         if sql:
             ORACLES[key] = {"": "", "staging": STAGING, "canonical": STAGING + CANONICAL}[base] + sql
         return f

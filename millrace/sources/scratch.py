@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,14 @@ def is_whole(spark: SparkSession, path: str) -> bool:
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """The session, with this package's folder on the path of Python workers on machines that have it; elsewhere, submit with --py-files."""
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [root, held]))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again. The shuffles of the write go with its end, as only the written table is read later."""
     spark = df.sparkSession
