@@ -17,6 +17,7 @@ count and are scored alike. A very long text makes a block of its own. Empty tab
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ DEPTH, SUPPORT, GAIN, STRENGTH = 2, 4, 6.0, 4.0
 FOLDS, HELD = 10, 0
 #: Tokens of a block, and keys of a bucket, about.
 BLOCK, BUCKET = 600_000, 500_000
+#: Parts of the blocks that meet their answers one after another, so that only a part is on its way at a time.
+PARTS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -61,6 +64,21 @@ def _numbers(raw: bytes, kind: str, wide: int = 1) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the place of each key among them: a sort of the keys' first bits with the row in the last ones, which is quick; where first bits do not tell keys apart, NumPy's own way."""
+    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
+    sorted_ = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+    order = (sorted_ & low).astype(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        return np.unique(keys, return_inverse=True)
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
 def _packed(x: np.ndarray) -> bytes:
     return pa.compress(_planes(x), "zstd", asbytes=True) if len(x) else b""
 
@@ -116,21 +134,18 @@ class Block:
         weight = self.spread[k - 1] + STRENGTH
         return (self.counts[k - 1] - out + weight * p) / (np.maximum(self.occurrences(k) - out, 0.0) + weight)
 
-    def asked(self, step: int, total: float, words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Distinct keys of a round in ascending order, their counts in this block's training rows, three more sums of each context, and for each part of the question its positions and the
-        places of their keys.
+    def asked(self, step: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Distinct keys of a round in ascending order, and for each part of the question its positions and the places of their keys.
 
         Round 0 asks for words and pairs; round k for contexts of k words and for grams of k + 2 tokens, but in the last one.
         """
-        keys, train, at = [], [], []
+        keys, at = [], []
         if step == 0:
             here = np.arange(len(self.vocab))
             keys.append(self.vocab & _WORD | _ODD)
-            train.append(np.bincount(self.tokens[self.train], minlength=len(self.vocab)))
         else:
             here = np.flatnonzero(self.occurrences(step) >= SUPPORT)
             keys.append(self.grams(step, here - 1) & _GRAM | _ODD)
-            train.append(self.train[here])
         at.append(here)
         if step < DEPTH:
             enough = self.back >= step + 1
@@ -138,14 +153,20 @@ class Block:
                 enough &= (self.occurrences(step + 1) >= SUPPORT) & (self.counts[step - 1] > 0)
             here = np.flatnonzero(enough)
             keys.append(self.grams(step + 2, here) & _GRAM)
-            train.append(self.train[here])
             at.append(here)
-        own, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(place, np.concatenate(train), len(own)).astype("<u8")
-        parts = list(zip(at, np.split(place, np.cumsum([len(k) for k in keys])[:-1]), strict=True))
+        own, place = _distinct(np.concatenate(keys))
+        return own, list(zip(at, np.split(place, np.cumsum([len(k) for k in keys])[:-1]), strict=True))
+
+    def told(self, step: int, total: float, words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of a round, their counts in this block's training rows, and three more sums of each context."""
+        own, parts = self.asked(step)
+        (here, place), *more = parts
         contexts = (own & _ODD) == 1
-        stats = _added((np.cumsum(contexts) - 1)[parts[0][1]], self.divergence(step, parts[0][0], total, words), int(contexts.sum())) if step else np.empty((0, 3))
-        return own, counts, stats.astype("<f4"), parts
+        counts = np.bincount(place, np.bincount(self.tokens[self.train], minlength=len(self.vocab)) if step == 0 else self.train[here], len(own))
+        for at, gram in more:
+            counts += np.bincount(gram, self.train[at], len(own))
+        stats = _added((np.cumsum(contexts) - 1)[place], self.divergence(step, here, total, words), int(contexts.sum())) if step else np.empty((0, 3))
+        return own, counts.astype("<u8"), stats.astype("<f4")
 
     def divergence(self, k: int, here: np.ndarray, total: float, words: float) -> np.ndarray:
         """What each position adds to the three sums of the k words before it; nothing where it is held out."""
@@ -155,9 +176,9 @@ class Block:
         gain = np.log(np.where(again, (seen - 1) / np.where(again, shorter, 1.0), 1.0))
         return np.stack([gain, own & (n == 1), own / seen], 1)
 
-    def learn(self, step: int, answers: np.ndarray, total: float, words: float) -> None:
+    def learn(self, step: int, answers: np.ndarray) -> None:
         """Takes in the values of a round's keys: counts, and T of contexts, 0 where one is not retained."""
-        (at, place), *more = self.asked(step, total, words)[3]
+        (at, place), *more = self.asked(step)[1]
         if step == 0:
             self.row["known"] = _planes(answers[place])
             self.known = answers[place].astype(np.float64)
@@ -191,8 +212,8 @@ def retained(n: np.ndarray, gain: np.ndarray, once: np.ndarray, spread: np.ndarr
 def _block(number: int, ids: list, held: list[bool], words: list[np.ndarray]) -> pa.RecordBatch:
     ends = np.cumsum([len(w) + 1 for w in words])
     every = np.insert(np.concatenate(words), ends - np.arange(1, len(ends) + 1), _END)
-    vocab, tokens, counts = np.unique(every, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")  # common words have small numbers
+    vocab, tokens = _distinct(every)
+    order = np.argsort(-np.bincount(tokens), kind="stable")  # common words have small numbers
     place = np.empty(len(order), "<u4")
     place[order] = np.arange(len(order))
     row = {"block": number, "ids": ids, "ends": ends.tolist(), "held": held, "vocab": _planes(vocab[order]), "tokens": _packed(place[tokens].astype("<u4")), "known": b"", "counts": [], "spread": []}
@@ -232,7 +253,7 @@ def _answers(held: DataFrame, step: int, total: float, words: float, bits: int)
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts, stats, _ = Block(row).asked(step, total, words)
+                keys, counts, stats = Block(row).told(step, total, words)
                 cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else 0, len(keys))
                 contexts = np.concatenate(([0], np.cumsum((keys & _ODD).astype(np.int64))))
                 parts = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
@@ -248,7 +269,7 @@ def _answers(held: DataFrame, step: int, total: float, words: float, bits: int)
         asks = asks.sort_by("block")  # sums of fractions in one order
         keys = [np.cumsum(_numbers(k, "<u8"), dtype=np.uint64) for k in asks.column("keys").to_pylist()]
         every = np.concatenate(keys)
-        own, place = np.unique(every, return_inverse=True)
+        own, place = _distinct(every)
         values = np.bincount(place, np.concatenate([_numbers(c, "<u8") for c in asks.column("counts").to_pylist()]), len(own))
         contexts = (own & _ODD) == 1
         n = int((contexts & (values > 0)).sum())
@@ -266,7 +287,7 @@ def _learner(step: int, total: float, words: float):
     def learn(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(rows.to_pylist()[0])
         values = [_numbers(v, "<u8") for v in answers.sort_by("bucket").column("values").to_pylist()]
-        block.learn(step, np.concatenate([*values, np.empty(0, "<u8")]), total, words)
+        block.learn(step, np.concatenate([*values, np.empty(0, "<u8")]))
         return block.scores(total, words) if step == DEPTH else pa.Table.from_batches([_rows([block.row])])
 
     return learn
@@ -278,12 +299,18 @@ def score(docs: DataFrame) -> DataFrame:
     sizes = held.select(F.explode(F.arrays_zip("ends", F.concat(F.array(F.lit(0).cast("long")), "ends").alias("begins"), "held"))).select((F.col("col.ends") - F.col("col.begins")).alias("n"), "col.held")
     every, total = sizes.agg(F.sum("n"), F.sum(F.when(~F.col("held"), F.col("n")))).first()
     total, words, bits = float(total or 0), 0.0, max(0, int(2 * (every or 0) // BUCKET)).bit_length()
+    part = F.pmod(F.hash("block"), F.lit(PARTS))
+    parts = [held.where(part == k) for k in range(PARTS)]
     for step in range(DEPTH + 1):
-        answers = _answers(held, step, total, words, bits)
+        answers = _answers(functools.reduce(DataFrame.unionByName, parts), step, total, words, bits)
         if step == 0:
             words = float(answers.groupBy("bucket").agg(F.max("words").alias("n")).agg(F.sum("n")).first()[0] or 0)
-        met = held.groupBy("block").cogroup(answers.groupBy("block"))
+        learner = _learner(step, total, words)
+        met = [own.groupBy("block").cogroup(answers.where(part == k).groupBy("block")) for k, own in enumerate(parts)]
         if step == DEPTH:
-            return met.applyInArrow(_learner(step, total, words), SCORES)
-        before, held = held, stored(met.applyInArrow(_learner(step, total, words), BLOCKS), "suffix-blocks")
-        remove_stored(before, answers)
+            return functools.reduce(DataFrame.unionByName, [m.applyInArrow(learner, SCORES) for m in met])
+        for k, m in enumerate(met):
+            before, parts[k] = parts[k], stored(m.applyInArrow(learner, BLOCKS), "suffix-blocks")
+            if step:
+                remove_stored(before)
+        remove_stored(answers, *[held] * (not step))
