@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import distributions
+
 EPSILON = 1e-9
 MONEY = "decimal(38,6)"
 
@@ -75,11 +77,8 @@ def canonical_number(x: Column, places: int = 4) -> Column:
 
 
 def negative_binomial_cdf(k: Column, r: Column, p: Column) -> Column:
-    """P(X <= k) of a negative binomial (r successes of probability p) by its recurrence: each term is the one before times (i + r - 1) / i * (1 - p)."""
-    first = F.pow(p, r)
-    step = lambda a, i: F.struct((a["t"] * (i + r - 1) / i * (F.lit(1.0) - p)).alias("t"), (a["s"] + a["t"] * (i + r - 1) / i * (F.lit(1.0) - p)).alias("s"))
-    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.struct(first.alias("t"), first.alias("s")), step, lambda a: a["s"])
-    return F.when(k < 0, 0.0).when(k < 1, first).otherwise(F.least(terms, F.lit(1.0)))
+    """P(X <= k) of a negative binomial (r successes of probability p), for any r and k, by the incomplete beta function."""
+    return distributions.column(distributions.negative_binomial_cdf, k, r, p)
 
 
 def unit_contribution(net_per_unit: Column, cogs: Column, shipping: Column, fee: Column) -> Column:

@@ -44,7 +44,7 @@ SKU = {"SKU_UNITS": ("units", None, 1.0, "log1p", 0.0, 0.0, {"units": 50}, 0.20)
 #: Metrics that may be negative, with the least difference that has a direction.
 SIGNED = {"POAS": 0.02}
 #: metric -> what has stopped, and what goes on (null: anything).
-COLLAPSE = {"CTR": ("clicks", "impressions"), "CVR": ("orders", "clicks"), "ROAS": ("revenue", "spend"), "CPA": ("orders", "spend"), "SESSION_CLICK": ("sessions", "clicks"), "SKU_UNITS": ("units", None)}
+COLLAPSE = {"ROAS": ("revenue", "spend"), "CVR": ("orders", "clicks"), "CPA": ("orders", "spend"), "CTR": ("clicks", "impressions"), "AOV": ("orders", None)}
 VALUES = ("impressions", "clicks", "orders", "spend", "revenue", "cba", "sessions", "units")
 
 
