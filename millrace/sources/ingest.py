@@ -37,14 +37,20 @@ def _tokens(header: str) -> set[str]:
 
 
 def map_headers(headers: list[str], kind: str) -> dict[str, str]:
-    """Contract column -> header: exact name, then synonym, then the most shared words (four fifths at least). Each header serves once."""
+    """Contract column -> header: exact name, then synonym, then shared words (of both together four fifths at least), the best pairs first. Each header serves once."""
     out: dict[str, str] = {}
     plain = {h: h.strip().lower() for h in headers}
-    tests = [lambda c, h: plain[h] == c, lambda c, h: plain[h] in CONTRACTS[kind][c][1], lambda c, h: 2 * len(_tokens(c) & _tokens(h)) >= 1.6 * max(1, (len(_tokens(c)) + len(_tokens(h))) / 1)]
+
+    def shared(column: str, header: str) -> float:
+        a, b = _tokens(column), _tokens(header)
+        return 2 * len(a & b) / max(1, len(a) + len(b))
+
+    tests = [lambda c, h: float(plain[h] == c), lambda c, h: float(plain[h] in CONTRACTS[kind][c][1]), shared]
     for test in tests:
-        for column in CONTRACTS[kind]:
-            if column not in out and (found := next((h for h in headers if h not in out.values() and test(column, h)), None)):
-                out[column] = found
+        pairs = [(-score, k, n, c, h) for k, c in enumerate(CONTRACTS[kind]) for n, h in enumerate(headers) if (score := test(c, h)) >= 0.8]
+        for _, _, _, column, header in sorted(pairs):
+            if column not in out and header not in out.values():
+                out[column] = header
     return out
 
 
