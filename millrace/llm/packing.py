@@ -5,7 +5,7 @@ point orders the documents, so that neighbours on the curve share words. Spark r
 its sequences one after another, cutting documents where a sequence is full: only the last sequence of a range is padded. There are as many ranges as
 RANGE_BYTES of text ask for, and as many as the session's shuffle has at least, so a task does not grow with the input.
 
-Nulls: a null text is empty. Ties of the key, which may hold any share of the rows, are dealt over the ranges that share it and ordered by a hash of doc_id and text, then by text. A text without words has
+Nulls: a null text is empty. Ties of the key, which may hold any share of the rows, equal rows among them, are dealt one by one over the ranges that share it, and in a range are ordered by a hash of doc_id and text, then by text. A text without words has
 the key of the origin. Very long texts are cut into as many pieces as they fill. Empty table: no row. Other columns are ignored, whatever their names.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import hashing
@@ -75,21 +75,32 @@ def _keyed(docs: DataFrame, bounds: list[int]) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, tie = keys(b.column("text")), b.column("tie").to_numpy()
+            key, deal = keys(b.column("text")), b.column("deal").to_numpy()
             low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "tie": b.column("tie"), "curve_key": key, "range": (low + tie % (high - low + 1)).astype(np.int32)})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "tie": b.column("tie"), "curve_key": key, "range": (low + deal % (high - low + 1)).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("tie")).mapInArrow(add, "doc_id long, text string, tie long, curve_key long, range int")
+    deal = F.xxhash64(F.monotonically_increasing_id(), F.lit("deal"))  # the row's place in the table, so that equal rows part
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("tie"), deal.alias("deal")).mapInArrow(add, "doc_id long, text string, tie long, curve_key long, range int")
+
+
+def _bounds(sample: DataFrame, size: int, ranges: int) -> list[int]:
+    """The keys at which the sample's bytes are parted into so many equal shares; a key that holds several shares stands as often."""
+    upto = F.sum("size").over(Window.orderBy("curve_key"))  # a row for each key of the sample
+    keyed = sample.groupBy("curve_key").agg(F.sum(F.col("size") + 1).alias("size")).withColumn("upto", upto)
+    total = keyed.agg(F.sum("size").alias("total"))
+    share = lambda x: F.floor(x * ranges / F.col("total"))
+    cut = keyed.join(total, how="cross").select("curve_key", share(F.col("upto") - F.col("size")).alias("low"), F.least(share(F.col("upto")), F.lit(ranges - 1)).alias("high")).where("high > low")  # one row
+    return sorted(r[0] for r in cut.select(F.explode(F.expr("array_repeat(curve_key, cast(high - low as int))"))).collect())  # fewer than the ranges
 
 
 def along_curve(docs: DataFrame) -> DataFrame:
-    """The documents, range-sorted along the curve. A sample of about SAMPLE rows or fewer sets the number of ranges and their bounds, which steer the balance of tasks alone."""
+    """The documents, range-sorted along the curve. A sample of about SAMPLE rows or fewer, drawn by the rows' places so that equal rows part, sets the number of ranges and their bounds, weighed by the texts' bytes; they steer the balance of tasks alone."""
     one_in = max(32, docs.count() // SAMPLE)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(one_in)) == 0)
+    drawn = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("sample")), F.lit(one_in)) == 0)
     sample = stored(_keyed(drawn, []).select("curve_key", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")), "curve-sample")
     size = sample.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * one_in // RANGE_BYTES))
-    at = sample.agg(F.percentile_approx("curve_key", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10_000)).first()[0] if ranges > 1 else None
+    at = _bounds(sample, size, ranges) if size else None
     remove_stored(sample)
     return _keyed(docs, at or []).repartitionById(ranges, F.col("range")).sortWithinPartitions("curve_key", "tie", "text")
 
