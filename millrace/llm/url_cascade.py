@@ -2,7 +2,8 @@
 
 A cascade gives exact membership over a known universe of keys. Level 1 encodes the listed keys; the keys of the universe that it takes wrongly
 are encoded by level 2, the listed keys that level 2 takes by level 3, and so on until a level takes nothing wrongly. A key is listed if the first level that does not
-take it is an even one. Levels are arrays of 64-bit words in the expression itself; their size follows the listed keys, not the corpus. A list of more than KEYS keys is
+take it is an even one. Levels are arrays of 64-bit words in the expression itself. The error of level 1 is chosen so that it takes about as many wrong keys of the universe as there are listed
+ones, so all levels together have bits in proportion to the list and to the logarithm of the universe's size. A list of more than KEYS keys is
 dealt by a hash into groups of about so many, each with a cascade of its own, which the urls pass one after another: exact for lists of any length.
 
 The universe is every pair of a host's suffix and a path's prefix (up to a slash) of the corpus, with no more labels and no deeper paths than the list has, so a url's rules are found by
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import let, remove_stored, stored
 
-#: Keys of one cascade, about: a level of 1 % errors then has 1.2 million bits.
-KEYS = 1 << 17
+#: Keys of one cascade, about: over a universe of a million times as many, level 1 then has 0.95 million bits.
+KEYS = 1 << 15
+#: The least error that level 1 is asked for.
+LEAST_ERROR = 1e-12
 
 
 @dataclass
@@ -49,7 +52,7 @@ def _places(key: Column, number: int, probes: int, bits: int) -> list[Column]:
 def _level(keys: DataFrame, count: int, number: int, error: float) -> Level:
     """keys: a column key, without repeats."""
     words = max(1, math.ceil(-count * math.log(error) / math.log(2) ** 2 / 64))
-    probes = min(16, max(1, round(64 * words / max(1, count) * math.log(2))))
+    probes = min(40, max(1, round(64 * words / max(1, count) * math.log(2))))
     place = keys.select(F.explode(F.array(*_places(F.col("key"), number, probes, 64 * words))).alias("h"))
     one = F.expr("shiftleft(1L, cast(h % 64 as int))")
     held = place.groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(one).alias("bits")).collect()  # at most `words` rows
@@ -72,12 +75,13 @@ class Cascade:
 
 
 def build(listed: DataFrame, universe: DataFrame, error: float = 0.01) -> Cascade:
-    """listed, universe: a column key each, repeats allowed. Keys of the universe that are listed count as listed alone."""
+    """listed, universe: a column key each, repeats allowed. Keys of the universe that are listed count as listed alone. error: that of level 1 at most."""
     own = stored(listed.where("key is not null").select("key").distinct(), "listed")
     n = own.count()
     if not n:
         return Cascade([])
-    levels = [_level(own, n, 0, error)]
+    size = universe.agg(F.approx_count_distinct("key")).first()[0]  # for the size of a level alone: levels go on until nothing is wrong
+    levels = [_level(own, n, 0, min(error, max(LEAST_ERROR, n / max(size, 1))))]
     # of the universe, what level 1 takes: the listed keys and the few others, told apart by counting
     taken = universe.where(levels[0].takes(F.col("key"), 0)).select("key", F.lit(0).alias("own")).unionByName(own.withColumn("own", F.lit(1)))
     inside, outside = stored(taken.groupBy("key").agg(F.max("own").alias("own")).where("own = 0").select("key"), "wrong"), own
