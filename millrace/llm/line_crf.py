@@ -6,7 +6,7 @@ is the mean of its lines' forward-backward marginals, weighted by their words. A
 
 Nulls: a null text is empty. A text without words has no line and the score 0. A null label is no label. Repeated rows are scored alike; of rows of one doc_id with different
 texts the least text is learned from. Very long texts are scored whole.
-Empty table: no row. No labelled rows of both kinds: every text with words scores 1. Other columns are kept (score() replaces a column score).
+Empty table: no row. Labelled rows of one kind alone: every text with words scores as that kind, 1 or 0; without any, 1, as nothing speaks against a text. Other columns are kept (score() replaces a column score).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from millrace.llm.common import free_name, remove_stored, stored
 
 #: Labelled documents to learn from at most; those with the least hashes of doc_id are taken.
 SAMPLE = 6_000
-#: Their lines at most; documents beyond, in the order of the hashes, are not learned from.
+#: Their lines at most; documents beyond, in the order of the hashes, are not learned from, nor are those with more than a tenth of it.
 LINES = 300_000
 #: In fitting, longer documents are parted into chains of so many lines.
 CHAIN = 48
@@ -190,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines:
     rows = stored(rows.withColumn("_lines", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1), "labelled")
     # a row of two numbers for each document of the sample
     before = F.sum("_lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    fit_on = rows.select("doc_id", "_lines").withColumn("_before", before).where(F.col("_before") <= most_lines).select("doc_id")
+    fit_on = rows.select("doc_id", "_lines").where(F.col("_lines") <= most_lines // 10).withColumn("_before", before).where(F.col("_before") <= most_lines).select("doc_id")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines:
     got = rows.join(F.broadcast(fit_on), "doc_id").select("doc_id", "text", "_good").mapInArrow(of, "doc_id long, good int, words long, x array<double>").toPandas()
     remove_stored(rows)
     if not len(got) or got.good.nunique() < 2:
-        return LineCrf(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)), 0.0, 60.0)
+        return LineCrf(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)), 0.0, 60.0 if not len(got) or got.good.iloc[0] else -60.0)
     got = got.sort_values("doc_id", kind="stable")
     return fit(np.array(got.x.tolist()), got.doc_id.to_numpy(), got.good.to_numpy(), got.words.to_numpy())
 
