@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,10 +155,24 @@ def d43_bootstrap_effect(s: Staging) -> DataFrame:
 
 
 def calibration(events: DataFrame) -> DataFrame:
-    """user_id and factor: an ordered fold over a key's outcomes, f <- clip(0.8 f + 0.2 clip(x, 0, 1.2), 0.3, 1). A key's outcomes are few; the fold is one aggregate over its sorted array."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 50).alias("x"))))
-    step = lambda f, e: F.least(F.lit(1.0), F.greatest(F.lit(0.3), F.lit(0.8) * f + F.lit(0.2) * F.least(F.lit(1.2), F.greatest(F.lit(0.0), e["x"]))))
-    return events.where("event_type = 'purchase'").groupBy("user_id").agg(F.aggregate(ordered, F.lit(1.0), step).alias("factor"))
+    """user_id and factor: an ordered fold over a key's outcomes, f <- clip(0.8 f + 0.2 clip(x, 0, 1.2), 0.3, 1). Sorted rows stream through the fold, so a key's outcomes are never gathered; a null outcome counts as 0."""
+    rows = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id", (F.col("value") / 50).alias("x"))
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "x")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, f = None, 1.0
+        for batch in batches:
+            done = []
+            for user, x in zip(batch.user_id, batch.x, strict=True):
+                if user != key:
+                    done += [(key, f)] * (key is not None)
+                    key, f = user, 1.0
+                f = min(1.0, max(0.3, 0.8 * f + 0.2 * min(1.2, max(0.0, 0.0 if x != x else x))))
+            yield pd.DataFrame(done, columns=["user_id", "factor"])
+        yield pd.DataFrame([(key, f)] * (key is not None), columns=["user_id", "factor"])
+
+    return rows.mapInPandas(fold, f"user_id {events.schema['user_id'].dataType.simpleString()}, factor double")
+
 
 
 @query("""SELECT user_id, list_reduce(list_prepend(1.0::DOUBLE, list(value / 50 ORDER BY ts, event_id)), lambda f, x: least(1.0::DOUBLE, greatest(0.3::DOUBLE, 0.8::DOUBLE * f + 0.2::DOUBLE * least(1.2::DOUBLE, greatest(0.0::DOUBLE, x))))) AS factor FROM events WHERE event_type = 'purchase' GROUP BY user_id""")

@@ -22,7 +22,7 @@ PRE_DAYS, LEAST_DAYS, WINDOWS = 28, 14, (3, 7)
 # --- detection --------------------------------------------------------------------------------------------------------------
 
 
-@query(""", spans AS (SELECT ad_id, min(date) AS lo, max(date) AS hi FROM ad_daily WHERE date >= DATE '2001-03-01' GROUP BY ad_id
+@query(""", spans AS (SELECT ad_id, min(date) AS lo, max(date) AS hi FROM ad_daily GROUP BY ad_id
 ), grid AS (SELECT ad_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM spans
 ), seen AS (SELECT g.ad_id, g.date, a.clicks FROM grid g LEFT JOIN ad_daily a USING (ad_id, date)
 ), sides AS (SELECT *, max(CASE WHEN clicks IS NOT NULL THEN date END) OVER b AS d0, arg_max(clicks, date) FILTER (WHERE clicks IS NOT NULL) OVER b AS c0, min(CASE WHEN clicks IS NOT NULL THEN date END) OVER f AS d1, arg_min(clicks, date) FILTER (WHERE clicks IS NOT NULL) OVER f AS c1 FROM seen
@@ -30,7 +30,7 @@ PRE_DAYS, LEAST_DAYS, WINDOWS = 28, 14, (3, 7)
 SELECT ad_id, date, clicks IS NULL AS filled, CASE WHEN clicks IS NOT NULL THEN CAST(clicks AS DOUBLE) WHEN c0 IS NULL THEN CAST(c1 AS DOUBLE) WHEN c1 IS NULL THEN CAST(c0 AS DOUBLE) ELSE c0 + CAST(c1 - c0 AS DOUBLE) * (date - d0) / (d1 - d0) END AS clicks FROM sides""", "staging")
 def d02_gap_interpolation(s: Staging) -> DataFrame:
     """Days without a value take the straight line between their neighbours."""
-    days = s.ad_daily().where("date >= '2001-03-01'").select("ad_id", "date", "clicks")
+    days = s.ad_daily().select("ad_id", "date", "clicks")
     spans = days.groupBy("ad_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     seen = r.spine(spans, "lo", "hi").join(days, ["ad_id", "date"], "left")
     return interpolated(seen, ["ad_id"], "date", "clicks")
@@ -216,10 +216,14 @@ def d29_joint_block_bootstrap(s: Staging) -> DataFrame:
 ), groups AS (SELECT platform, slot, round(ln((sum(c) + 0.5) / (sum(i) - sum(c) + 0.5)), 6) AS prior FROM ads GROUP BY ALL)
 SELECT ad_id, prior, 1.0::DOUBLE * (rank() OVER (ORDER BY prior) - 1) / greatest(count(*) OVER () - 1, 1) AS percentile FROM ads JOIN groups USING (platform, slot)""", "staging")
 def d33_creative_prior(s: Staging) -> DataFrame:
-    """What an ad's attributes alone promise, and where that stands among all ads. The order is over a row for each ad of the account."""
+    """What an ad's attributes alone promise, and where that stands among all ads. The order is over a row for each value that occurs, not over the ads."""
     ads = s.ad_daily().join(s.campaigns().select("campaign_id", "platform"), "campaign_id").groupBy("ad_id", "platform").agg(F.sum("clicks").cast("double").alias("c"), F.sum("impressions").cast("double").alias("i")).withColumn("slot", F.split_part("ad_id", F.lit("-"), F.lit(2)))
     groups = ads.groupBy("platform", "slot").agg(F.round(F.log((F.sum("c") + 0.5) / (F.sum("i") - F.sum("c") + 0.5)), 6).alias("prior"))
-    return ads.join(groups, ["platform", "slot"]).select("ad_id", "prior", F.percent_rank().over(Window.orderBy("prior")).alias("percentile"))
+    told = ads.join(groups, ["platform", "slot"]).select("ad_id", "prior")
+    values = told.groupBy("prior").agg(F.count("*").alias("n"))
+    below, total = F.sum("n").over(Window.orderBy("prior")) - F.col("n"), F.sum("n").over(Window.partitionBy())
+    places = values.select("prior", (F.lit(1.0) * below / F.greatest(total - 1, F.lit(1))).alias("percentile"))
+    return told.join(places, "prior").select("ad_id", "prior", "percentile")
 
 
 _LATEST = ", budget_now AS (SELECT campaign_id, arg_max(budget, snapshot_date) AS current FROM budget_snapshots GROUP BY campaign_id)"

@@ -34,10 +34,10 @@ def s15_normalise_report(s: Staging) -> DataFrame:
 
 @query("SELECT l_partkey AS sku, CAST(sum(l_linenumber) AS BIGINT) AS inbound, min(CAST(l_shipdate AS DATE)) AS next_arrival FROM lineitem GROUP BY l_partkey")
 def s16_inbound_arrays(s: Staging) -> DataFrame:
-    """Sums and minima over nested arrays of a payload."""
-    one = F.struct(F.col("l_linenumber").cast("long").alias("q"), F.to_date("l_shipdate").alias("d"))
-    nested = s.raw("lineitem").groupBy(F.col("l_partkey").alias("sku")).agg(F.collect_list(one).alias("inbound"))
-    return nested.select("sku", F.aggregate("inbound", F.lit(0).cast("long"), lambda a, x: a + x["q"]).alias("inbound"), F.array_min(F.transform("inbound", lambda x: x["d"])).alias("next_arrival"))
+    """Sums and minima over the nested array of a payload: an order's lines. What belongs to one SKU is never gathered."""
+    one = F.struct(F.col("l_partkey").alias("sku"), F.col("l_linenumber").cast("long").alias("q"), F.to_date("l_shipdate").alias("d"))
+    payloads = s.raw("lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("lines"))
+    return payloads.select(F.inline("lines")).groupBy("sku").agg(F.sum("q").alias("inbound"), F.min("d").alias("next_arrival"))
 
 
 @query("SELECT ad_id, date, 'r1' AS run_id, 'api' AS provenance, CAST(date + INTERVAL 1 DAY + INTERVAL 6 HOUR AS TIMESTAMP) AS available_at FROM ad_daily", "staging")
