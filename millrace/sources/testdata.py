@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import dsum
 from millrace.operators.relational import history, latest_per_key
-from millrace.sources.scratch import is_whole, scratch_path
+from millrace.sources.scratch import is_whole, listed, scratch_path
 
 #: Priority -> (source, medium).
 UTM = {"1-URGENT": ("google", "cpc"), "2-HIGH": ("facebook", "paid"), "3-MEDIUM": ("newsletter", "email"), "4-NOT SPECIFIED": ("google", "organic")}
@@ -22,6 +22,8 @@ PLATFORMS = ("meta", "google", "tiktok", "amazon")
 
 #: Where held tables lie: (application, folder of the inputs, name) -> path.
 _AT: dict[tuple[str, str, str], str] = {}
+#: What the folder of the inputs looked like when they were made.
+_SEEN: dict[tuple[str, str, str], tuple] = {}
 
 
 class Staging:
@@ -34,12 +36,13 @@ class Staging:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def held(self, name: str, build: Callable[[], DataFrame], *order: str) -> DataFrame:
-        """build(), written once; with an order, in ranges of it, so that a filter on it skips files."""
+        """build(), written once for the inputs as they are; with an order, in ranges of it, so that a filter on it skips files."""
         key, df = (self.spark.sparkContext.applicationId, self.sf_dir, name), build()
-        if key not in _AT or not is_whole(self.spark, _AT[key]):
+        seen = listed(self.spark, self.sf_dir)
+        if key not in _AT or _SEEN[key] != seen or not is_whole(self.spark, _AT[key]):
             path = scratch_path(self.spark, name)
             (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.parquet(path)
-            _AT[key] = path
+            _AT[key], _SEEN[key] = path, seen
         return self.spark.read.schema(df.schema).parquet(_AT[key])
 
     def order_lines(self) -> DataFrame:
@@ -106,12 +109,18 @@ class Staging:
         return self.ad_daily().select("ad_id", "campaign_id").distinct().select("ad_id", F.concat_ws("/", "campaign_id", (F.element_at(F.split("ad_id", "-"), -1).cast("int") % 2).cast("string")).alias("adset_id"))
 
     def reach_daily(self) -> DataFrame:
+        return self.held("reach-daily", self._reach_daily)
+
+    def ga_daily(self) -> DataFrame:
+        return self.held("ga-daily", self._ga_daily)
+
+    def _reach_daily(self) -> DataFrame:
         """People reached by campaigns of the platforms that tell."""
         items = self.raw("lineitem").join(self.raw("part").select("p_partkey", F.col("p_brand").alias("campaign_id")), F.col("l_partkey") == F.col("p_partkey"))
         told = items.join(self.campaigns().where("platform in ('meta', 'tiktok')").select("campaign_id"), "campaign_id")
         return told.groupBy(F.to_date("l_shipdate").alias("date"), "campaign_id").agg(F.countDistinct("l_orderkey").alias("reach"))
 
-    def ga_daily(self) -> DataFrame:
+    def _ga_daily(self) -> DataFrame:
         """Web sessions of campaigns: an event's user came by one of the 25, 23 years before the event."""
         e = self.events().select(F.date_sub(F.to_date("ts"), 8400).alias("date"), F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("campaign_id"), "user_id", "event_type", "value")
         bought = F.col("event_type") == "purchase"

@@ -288,3 +288,19 @@ def test_ordered_sink_is_a_total_order_over_files(spark, tmp_path):
     files = sorted((tmp_path / "o").glob("part-*"))
     rows = [k for f in files for k in pq.read_table(f).column("k").to_pylist()]
     assert rows == list(range(1000))
+
+
+def test_held_tables_follow_their_inputs(spark, tmp_path):
+    from millrace.sources import testdata
+
+    made = []
+
+    def build():
+        return spark.range(len(made) + 3)
+
+    s = testdata.Staging(spark, str(tmp_path))
+    assert s.held("t", build).count() == 3
+    made.append(1)
+    assert s.held("t", build).count() == 3  # nothing has changed in the folder
+    (tmp_path / "lineitem.parquet").write_text("new")
+    assert s.held("t", build).count() == 4
