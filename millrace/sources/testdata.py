@@ -55,10 +55,15 @@ class Staging:
         return self.held("stock-daily", self._stock_daily)
 
     def _order_lines(self) -> DataFrame:
-        """One row for each (order_id, line_item_id); of several versions the last shipped."""
-        items = self.raw("lineitem").join(self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-        items = items.join(self.raw("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        one = latest_per_key(items, ["l_orderkey", "l_linenumber"], [F.col("l_shipdate").desc(), "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"])
+        """One row for each (order_id, line_item_id); of several versions the last shipped.
+
+        Lines are laid out by order once and sorted once: the choice of versions and the join with orders both stand on that.
+        """
+        items = self.raw("lineitem").where("l_orderkey is not null").join(self.raw("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        items = items.select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", (F.col("l_returnflag") == "R").alias("returned"), "p_brand")
+        one = latest_per_key(items.repartition("l_orderkey"), ["l_orderkey", "l_linenumber"], [F.col("l_shipdate").desc(), "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"])
+        orders = self.raw("orders").where("o_orderkey is not null").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+        one = one.join(latest_per_key(orders, ["o_orderkey"], ["o_custkey", "o_orderdate", "o_orderpriority"]), F.col("l_orderkey") == F.col("o_orderkey"))
         priority = F.col("o_orderpriority")
         utm = F.create_map(*[F.lit(x) for k, (s, _) in UTM.items() for x in (k, s)]), F.create_map(*[F.lit(x) for k, (_, m) in UTM.items() for x in (k, m)])
         return one.select(
@@ -66,7 +71,7 @@ class Staging:
             F.when(priority != "5-LOW", priority == "1-URGENT").alias("is_new_customer"), F.col("l_partkey").alias("sku"), F.col("l_quantity").cast("int").alias("qty"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("subtotal"),
             utm[0][priority].alias("utm_source"), utm[1][priority].alias("utm_medium"), F.when(priority.isin("1-URGENT", "2-HIGH"), F.col("p_brand")).alias("utm_campaign"),
-            (F.col("l_returnflag") == "R").alias("returned"), F.to_date("l_shipdate").alias("ship_date"), (F.to_date("o_orderdate").cast("timestamp_ntz") + F.expr("interval 1 day")).alias("available_at"),
+            "returned", F.to_date("l_shipdate").alias("ship_date"), (F.to_date("o_orderdate").cast("timestamp_ntz") + F.expr("interval 1 day")).alias("available_at"),
         )
 
     def refund_lines(self) -> DataFrame:
