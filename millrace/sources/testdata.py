@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import dsum
@@ -83,7 +83,12 @@ class Staging:
 
     def campaigns(self) -> DataFrame:
         brands = self.raw("part").groupBy(F.col("p_brand").alias("campaign_id")).agg(F.min("p_type").alias("product_set"))
-        return brands.select("campaign_id", F.get(F.array(*map(F.lit, PLATFORMS)), F.right("campaign_id", F.lit(1)).cast("int") % 4).alias("platform"), F.concat(F.lit("Prospecting | "), "product_set").alias("name"), "product_set")
+        return brands.select("campaign_id", self.platform_of("campaign_id").alias("platform"), F.concat(F.lit("Prospecting | "), "product_set").alias("name"), "product_set")
+
+    @staticmethod
+    def platform_of(campaign_id: str) -> Column:
+        """A campaign's platform stands in its id, so rows that bear the id need no join for it."""
+        return F.get(F.array(*map(F.lit, PLATFORMS)), F.right(campaign_id, F.lit(1)).cast("int") % 4)
 
     def _ad_daily(self) -> DataFrame:
         items = self.raw("lineitem").join(self.raw("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -111,7 +116,12 @@ class Staging:
 
     def adsets(self) -> DataFrame:
         """ad_id and adset_id: ads of even and of odd numbers."""
-        return self.ad_daily().select("ad_id", "campaign_id").distinct().select("ad_id", F.concat_ws("/", "campaign_id", (F.element_at(F.split("ad_id", "-"), -1).cast("int") % 2).cast("string")).alias("adset_id"))
+        return self.ad_daily().select("ad_id", "campaign_id").distinct().select("ad_id", self.adset_of("ad_id", "campaign_id").alias("adset_id"))
+
+    @staticmethod
+    def adset_of(ad_id: str, campaign_id: str) -> Column:
+        """The set of an ad, as in adsets(): it stands in the ids, so rows that bear them need no join for it."""
+        return F.concat_ws("/", campaign_id, (F.element_at(F.split(ad_id, "-"), -1).cast("int") % 2).cast("string"))
 
     def reach_daily(self) -> DataFrame:
         return self.held("reach-daily", self._reach_daily)

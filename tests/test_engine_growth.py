@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from millrace.plans import canonical
 from millrace.sources.testdata import Staging
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,19 @@ def test_order_lines_are_sorted_once_by_order(joined):
 @pytest.mark.parametrize("name", ["p01_as_of_filter", "p03_generated_case", "j11_anti_by_left_join", "w07_top_categories"])
 def test_order_lines_of_odd_versions(spark, odd, name):
     equal(spark, odd, name)
+
+
+def test_order_items_are_laid_out_once(joined):
+    """Lines meet refunds, SKUs, rates and platforms in one layout, and are not laid out again to be written."""
+    p = plan(canonical._order_items(Staging(joined, SF)))
+    assert p.count("Exchange hashpartitioning(order_id") == 0 and p.count("Exchange hashpartitioning(utm_campaign") == 0
+    held = []
+    s = Staging(joined, SF)
+    s.held = lambda name, build, *order: held.append((name, order)) or build()
+    canonical.order_items(s)
+    assert ("order-items", ()) in held
+
+
+@pytest.mark.parametrize("name", ["order_items", "f_unit_economics", "sku_return_rates", "campaign_sku"])
+def test_order_items_of_odd_versions(spark, odd, name):
+    equal(spark, odd, name)
