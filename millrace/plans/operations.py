@@ -210,7 +210,7 @@ def d49_safety_monitor(s: Staging) -> DataFrame:
 def d60_realised(s: Staging) -> DataFrame:
     sold = canonical.order_items(s).agg(dsum("cba").alias("cba"))
     spent = s.ad_daily().where(F.col("date") <= LAST_DAY).agg(dsum("spend").alias("spend"))
-    risk = canonical.inventory_daily(s).where("available < reorder_point").agg(F.countDistinct(F.struct("sku", "date")).alias("stock_risk_sku_days"))
+    risk = canonical.inventory_daily(s).where("available < reorder_point").agg(F.count("*").alias("stock_risk_sku_days"))  # a row for each SKU and date
     # three tables of one row
     return sold.join(spent, how="cross").join(risk, how="cross").select((F.col("cba") - F.col("spend")).alias("contribution_after_ads"), "stock_risk_sku_days")
 

@@ -319,7 +319,7 @@ def u04_difference(s: Staging) -> DataFrame:
 
 @query(f"SELECT sku, available, mean_units, CASE WHEN mean_units > 0 THEN available / mean_units END AS cover, CASE WHEN NOT mean_units > 0 OR mean_units IS NULL THEN 'UNBOUNDED' WHEN available / mean_units < 3 THEN 'CRITICAL' WHEN available / mean_units < 7 THEN 'LOW' WHEN available / mean_units < 21 THEN 'HEALTHY' WHEN available / mean_units < 45 THEN 'HIGH' ELSE 'EXCESS' END AS band FROM inventory_daily WHERE date <= DATE '{LAST_DAY}' QUALIFY row_number() OVER (PARTITION BY sku ORDER BY date DESC) = 1", "canonical")
 def f_inventory_band(s: Staging) -> DataFrame:
-    now = r.latest_per_key(canonical.inventory_daily(s).where(F.col("date") <= LAST), ["sku"], [F.desc("date")])
+    now = canonical.inventory_now(s)
     cover = days_of_cover(F.col("available"), F.col("mean_units"))
     return now.select("sku", "available", "mean_units", cover.alias("cover"), inventory_band(cover).alias("band"))
 
@@ -355,7 +355,7 @@ FROM now n JOIN products p USING (sku) LEFT JOIN by_sku b ON b.sku = CAST(n.sku
 def j25_inventory_page(s: Staging) -> DataFrame:
     """The latest stock of each SKU beside what campaigns spend on it."""
     last = F.lit(LAST).cast("date")
-    now = r.latest_per_key(canonical.inventory_daily(s).where(F.col("date") <= last), ["sku"], [F.desc("date")])
+    now = canonical.inventory_now(s)
     spent = s.ad_daily().where((F.col("date") > F.date_sub(last, 28)) & (F.col("date") <= last)).groupBy("campaign_id").agg(dsum("spend").alias("spend"))
     by_sku = canonical.campaign_sku(s, canonical.order_items(s)).join(spent, "campaign_id").groupBy(F.col("sku").try_cast("long").alias("sku")).agg(dsum(F.col("spend") * F.col("weight")).alias("spend"))
     df = now.join(s.products().select("sku", "title", "category"), "sku").join(by_sku, "sku", "left")

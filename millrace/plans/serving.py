@@ -28,8 +28,7 @@ SELECT n.sku, p.title, p.category, n.available, CASE WHEN n.available < 0.5::DOU
 FROM now n JOIN products p USING (sku) LEFT JOIN w USING (sku)""", "canonical")
 def v_inventory_actions(s: Staging) -> DataFrame:
     """The first rule that fits names the action of a SKU."""
-    last = F.lit(LAST_DAY).cast("date")
-    now = r.latest_per_key(canonical.inventory_daily(s).where(F.col("date") <= last), ["sku"], [F.desc("date")])
+    now = canonical.inventory_now(s)
     w = canonical.campaign_sku(s, canonical.order_items(s)).groupBy(F.col("sku").try_cast("long").alias("sku")).agg(F.sum("weight").alias("weight"))
     df = now.join(s.products().select("sku", "title", "category"), "sku").join(w, "sku", "left")
     a, p = F.col("available"), F.col("reorder_point")

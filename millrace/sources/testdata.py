@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import dsum
@@ -18,6 +18,8 @@ from millrace.sources.scratch import is_whole, listed, scratch_path
 UTM = {"1-URGENT": ("google", "cpc"), "2-HIGH": ("facebook", "paid"), "3-MEDIUM": ("newsletter", "email"), "4-NOT SPECIFIED": ("google", "organic")}
 AS_OF = "2001-06-30 00:00:00"
 LAST_DAY = "2001-06-29"
+#: Rows of a SKU over which its demand is told.
+STOCK_ROWS = 28
 PLATFORMS = ("meta", "google", "tiktok", "amazon")
 
 #: Where held tables lie: (application, folder of the inputs, name) -> path.
@@ -52,6 +54,10 @@ class Staging:
         return self.held("ad-daily", self._ad_daily)
 
     def stock_daily(self) -> DataFrame:
+        return self.stock_moments().select("sku", "date", "on_hand", "reserved", "units")
+
+    def stock_moments(self) -> DataFrame:
+        """stock_daily with sums over the last STOCK_ROWS rows of the SKU (_s of units, _q of their squares, _n rows) and the date of its next row."""
         return self.held("stock-daily", self._stock_daily)
 
     def _order_lines(self) -> DataFrame:
@@ -97,9 +103,12 @@ class Staging:
         return day.agg((qty * 40).alias("impressions"), qty.alias("clicks"), dsum(F.col("l_tax") * F.col("l_extendedprice") * 0.1).alias("spend"), dsum("l_extendedprice").alias("platform_revenue"))
 
     def _stock_daily(self) -> DataFrame:
-        items = self.raw("lineitem").groupBy(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"))
-        qty = F.sum(F.col("l_quantity").cast("long"))
-        return items.agg((qty * 5).alias("on_hand"), F.min(F.col("l_quantity").cast("long")).alias("reserved"), qty.alias("units"))
+        """Lines are laid out by SKU once; sums of days, the sums over rows and the next row all stand on that, and all are whole numbers."""
+        items = self.raw("lineitem").select(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("q")).repartition("sku")
+        days = items.groupBy("sku", "date").agg((F.sum("q") * 5).alias("on_hand"), F.min("q").alias("reserved"), F.sum("q").alias("units"))
+        w = Window.partitionBy("sku").orderBy("date")
+        over = {k: F.sum(x).over(w.rowsBetween(1 - STOCK_ROWS, 0)) for k, x in (("_s", F.col("units")), ("_q", F.col("units") * F.col("units")), ("_n", F.lit(1)))}
+        return days.withColumns({**over, "next_date": F.lead("date").over(w)})
 
     def price_history(self) -> DataFrame:
         """sku, price, effective_from, effective_to."""
