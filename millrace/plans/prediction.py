@@ -32,7 +32,8 @@ def unit_days(s: Staging) -> DataFrame:
     last, n = F.lit(LAST_DAY).cast("date"), TRAIN + HOLDOUT + DIAGNOSE
     ads = s.ad_daily().where(F.col("date") <= last).groupBy("campaign_id", "date").agg(dsum("spend").alias("spend"), dsum("platform_revenue").alias("revenue"))
     spans = ads.groupBy("campaign_id").agg(F.min("date").alias("lo")).select("campaign_id", F.greatest("lo", F.date_sub(last, n + 5)).alias("lo"), last.alias("hi"))
-    organic = s.order_lines().where("utm_campaign is null").join(s.products().select("sku", F.col("brand").alias("campaign_id")), "sku").groupBy("campaign_id", "date").agg(dsum("subtotal").alias("organic"))
+    late = F.col("date") >= F.date_sub(last, n + 5)  # no span begins before
+    organic = s.order_lines().where(F.col("utm_campaign").isNull() & late).join(s.products().select("sku", F.col("brand").alias("campaign_id")), "sku").groupBy("campaign_id", "date").agg(dsum("subtotal").alias("organic"))
     days = spine(spans, "lo", "hi").join(ads, ["campaign_id", "date"], "left").join(organic, ["campaign_id", "date"], "left").na.fill(0.0, ["spend", "revenue", "organic"])
     base = F.avg("organic").over(Window.partitionBy("campaign_id").orderBy("date").rowsBetween(-6, 0))
     return days.withColumn("base", base).where(F.col("date") > F.date_sub(last, n))
