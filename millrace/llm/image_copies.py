@@ -2,10 +2,12 @@
 
 Each image (PGM or PPM bytes) gives corners on scales a sixth of an octave apart (the least eigenvalue of the structure tensor, its local maxima, the strongest for each AREA pixels, so their
 number grows with the image). A corner has an orientation (the centroid of its patch) and 256 binary brightness tests turned by it; the mean slope of the patch is taken off before
-they compare, so that they do not all tell of the one edge that every corner has. Descriptors meet in TABLES Hamming tables, by 32 of their bits each; two that meet
-must differ in at most NEAR of the 64 bits that are in no table, and later in at most FAR of all 256. Large buckets are parted into blocks, and each pair of blocks is a cell of bounded size
-in which all descriptors of different images are compared. A pair's matches vote for a similarity transform (turn, scale, shift); images are linked if VOTES distinct corners agree. Links
-are joined to connected components.
+they compare, so that they do not all tell of the one edge that every corner has. Neighbouring corners of one scale make pairs, and pairs of
+two images meet by KEY bits of either corner, their directions and their length, in PAIR_TABLES tables; they must differ in at most NEAR of 64 bits that are in no table. A corner alone is met by
+chance by one in 45 images, such a pair by one in 15,000 (drawn images), so that chance does not fill the disk. Large buckets are parted into blocks, and each pair of blocks is a cell of bounded
+size in which all pairs of different images are compared. Of two images that meet, all corners are compared: those that differ in at most FAR of all 256 bits vote for a similarity transform
+(turn, scale, shift). Images are linked if VOTES distinct corners agree, lie on a transform fitted to them, take PLACES distinct places, and are a SHARE of the corners that the transform brings into
+the other image. Links are joined to connected components.
 
 Nulls: a null, empty or unreadable image has no corner and is its own class. A null id takes no part (class_id null, n_links 0). Equal bytes are one image from the start. Ties: the least id.
 Empty table: no row. Other columns are ignored, whatever their names.
@@ -13,24 +15,33 @@ Empty table: no row. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import remove_stored, stored
 from millrace.llm.components import components
+from millrace.llm.hashing import mix
 
 SCALES, AREA, RADIUS, VOTES = tuple(2 ** (-k / 6) for k in range(6)), 256, 11, 4
 TABLES, NEAR, FAR = 6, 8, 32
+CORNER = np.dtype([("x", "f4"), ("y", "f4"), ("scale", "f4"), ("turn", "f4"), ("keys", "i4", TABLES), ("rest", "i8")])
+#: Pairs of neighbouring corners meet in so many tables, by so many bits of each corner; tables laid out at once; widths of a pair's directions (degrees) and of its length (octaves).
+NEIGHBOURS, PAIR_TABLES, KEY, ROUND, PAIR_TURN, PAIR_OCTAVE = 6, 4, 17, 2, 60, 0.5
 #: Descriptors in a block of a bucket, and rows judged together, about; what tells cells apart.
 CELL, READ, CELL_OF = 512, 100_000, ("bucket", "p", "q")
 BINS = 1 << 16
 #: Width of a vote: degrees, octaves, pixels of the unscaled image.
 TURN, OCTAVE, SHIFT = 30, 0.5, 6
+#: What lies on a fitted transform: pixels, degrees, octaves. It holds if its corners take PLACES places more than PLACE pixels apart and are such a SHARE of those that should meet.
+FIT, FIT_TURN, FIT_OCTAVE, PLACES, PLACE, SHARE = 2, 15, 0.25, 3, 6, 0.25
+#: Distances that stand in memory at once.
+ROOM = 1 << 19
 
 _rng = np.random.default_rng(11)
 _TESTS = np.clip(np.round(_rng.normal(0, RADIUS / 1.6, (256, 4))), -RADIUS + 2, RADIUS - 2)
@@ -123,8 +134,12 @@ def corners(pixels: np.ndarray) -> list[tuple[float, float, float, float, list[i
     return out
 
 
-def described(media: DataFrame, id_column: str, image: str) -> DataFrame:
-    """id, sha, full (the image has bytes) and corners of each row: x, y, scale, turn, keys and rest, see corners(). Images are read once and never shuffled."""
+def packed(found: list[tuple[float, float, float, float, list[int], int]]) -> bytes:
+    return np.array([tuple(c) for c in found], CORNER).tobytes()
+
+
+def described(media: DataFrame, id_column: str, image: str, pack: bool = False) -> DataFrame:
+    """id, sha, full (the image has bytes) and corners of each row: x, y, scale, turn, keys and rest, see corners(), or their packed() bytes. Images are read once and never shuffled."""
     names = ("x", "y", "scale", "turn", "keys", "rest")
     corner = pa.struct(list(zip(names, [pa.float32()] * 4 + [pa.list_(pa.int32()), pa.int64()], strict=True)))
 
@@ -134,10 +149,56 @@ def described(media: DataFrame, id_column: str, image: str) -> DataFrame:
                 rows = batch.slice(start, 500)
                 images = [x.as_py() for x in rows.column(1)]
                 found = [corners(p) if (p := decode(data)) is not None else [] for data in images]
-                made = [[dict(zip(names, c, strict=True)) for c in own] for own in found]
-                yield pa.record_batch({"id": rows.column(0), "sha": [hashlib.sha256(d or b"").digest() for d in images], "full": pa.array([bool(d) for d in images]), "corners": pa.array(made, pa.list_(corner))})
+                made = pa.array([packed(own) for own in found], pa.binary()) if pack else pa.array([[dict(zip(names, c, strict=True)) for c in own] for own in found], pa.list_(corner))
+                yield pa.record_batch({"id": rows.column(0), "sha": [hashlib.sha256(d or b"").digest() for d in images], "full": pa.array([bool(d) for d in images]), "corners": made})
+
+    kind = "binary" if pack else "array<struct<x: float, y: float, scale: float, turn: float, keys: array<int>, rest: long>>"
+    return media.select(F.col(id_column).cast("long").alias("id"), F.col(image).alias("image")).mapInArrow(run, f"id long, sha binary, full boolean, corners {kind}")
+
 
-    return media.select(F.col(id_column).cast("long").alias("id"), F.col(image).alias("image")).mapInArrow(run, "id long, sha binary, full boolean, corners array<struct<x: float, y: float, scale: float, turn: float, keys: array<int>, rest: long>>")
+def _neighbours(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of corners of one scale of which one is among the NEIGHBOURS nearest of the other."""
+    codes = [np.empty(0, np.int64)]
+    for scale in np.unique(c["scale"]):
+        own = np.flatnonzero(c["scale"] == scale)
+        k = min(NEIGHBOURS, len(own) - 1)
+        at = c["x"][own] + 1j * c["y"][own]
+        for start in range(0, len(own) if k else 0, step := max(1, ROOM // len(own))):
+            part = np.arange(start, min(start + step, len(own)))
+            apart = np.abs(at[part][:, None] - at)
+            apart[part - start, part] = np.inf
+            i, j = own[np.repeat(part, k)], own[np.argpartition(apart, k - 1, axis=1)[:, :k].ravel()]
+            codes.append(np.minimum(i, j) * len(c) + np.maximum(i, j))
+    return np.divmod(np.unique(np.concatenate(codes)), max(1, len(c)))
+
+
+def _keyed(tables: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """id, bucket and rest of each pair of neighbouring corners of an image, in each of the tables."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                rows = batch.slice(start, 200)
+                images = [np.frombuffer(x.as_py(), CORNER) for x in rows.column("corners")]
+                pairs = [_neighbours(c) for c in images]
+                before = np.cumsum([0, *map(len, images)])
+                c, n = np.concatenate(images), [len(i) for i, _ in pairs]
+                i, j = (np.concatenate([p[k] + at for p, at in zip(pairs, before, strict=False)]) for k in (0, 1))
+                ids = np.repeat(rows.column("id").to_numpy(), n)
+                ids, i, j = np.tile(ids, 2), np.concatenate([i, j]), np.concatenate([j, i])  # the lesser key is first, or each of two equal ones
+                for table in tables:
+                    key = c["keys"][:, table].astype(np.uint64) & np.uint64((1 << KEY) - 1)
+                    first = np.flatnonzero(key[i] <= key[j])
+                    one, two = c[i[first]], c[j[first]]
+                    dx, dy = two["x"] - one["x"], two["y"] - one["y"]
+                    toward, turned = ((a % 360) // PAIR_TURN for a in (np.degrees(np.arctan2(dy, dx)) - one["turn"], two["turn"] - one["turn"]))
+                    far = np.log2(np.maximum(np.hypot(dx, dy) * one["scale"], 1)) // PAIR_OCTAVE
+                    lie = ((toward * 64 + turned) * 64 + far).astype(np.uint64) * np.uint64(TABLES) + np.uint64(table)
+                    bucket = mix(mix(key[i[first]] << np.uint64(32) | key[j[first]]) ^ lie)
+                    rest = one["rest"] & 0xFFFFFFFF | two["rest"] << 32
+                    yield pa.record_batch({"id": ids[first], "bucket": bucket.view(np.int64), "rest": rest})
+
+    return keyed
 
 
 def _met(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,14 +217,13 @@ def _met(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b and their corners of the pairs in each cell; cells stand one after another."""
+    """a and b of the pairs in each cell; cells stand one after another."""
     held: list[dict[str, np.ndarray]] = []
 
     def judged(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for i, j in _met(rows):
-            swap = rows["id"][i] > rows["id"][j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            yield pa.record_batch([pa.array(rows[c][k]) for c in ("id", "corner") for k in (i, j)], names=["a", "b", "corner_a", "corner_b"])
+            one, two = rows["id"][i], rows["id"][j]
+            yield pa.record_batch({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
     def joined() -> dict[str, np.ndarray]:
         return {c: np.concatenate([x[c] for x in held]) for c in held[0]}
@@ -191,41 +251,132 @@ def _large(keyed: DataFrame) -> DataFrame:
     return near.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CELL).select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
 
 
+def candidates(images: DataFrame) -> DataFrame:
+    """Pairs (a, b) of images with a pair of neighbouring corners in common. Tables are laid out ROUND at a time, so that their rows never lie on disk all together."""
+    found = []
+    for start in range(0, PAIR_TABLES, ROUND):
+        keyed = images.mapInArrow(_keyed(range(start, min(start + ROUND, PAIR_TABLES))), "id long, bucket long, rest long")
+        # only buckets above a cell's size are parted, into pairs of blocks; all others are one cell
+        # stored first, so that Spark knows their size: few large buckets are broadcast and all others stay where they are
+        large = stored(_large(keyed), "large")
+        cells = keyed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "rest"), F.col("blocks")).cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "rest")
+        met = cells.repartition(*CELL_OF).sortWithinPartitions(*CELL_OF).mapInArrow(_paired, "a long, b long")
+        found.append(stored(met.distinct(), "met"))
+        remove_stored(large)
+    out = stored(functools.reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    remove_stored(*found)
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of corners of two images that differ in at most FAR of all bits."""
+    one, two = (np.concatenate([np.ascontiguousarray(c["keys"]).view(np.uint64), c["rest"].view(np.uint64)[:, None]], axis=1) for c in (a, b))
+    found, step = [], max(1, ROOM // max(1, len(two)))
+    for start in range(0, len(one), step):
+        i, j = np.nonzero(np.bitwise_count(one[start : start + step, None] ^ two[None]).sum(axis=2) <= FAR)
+        found.append((i + start, j))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2
+
+
+def _distinct(c: np.ndarray) -> int:
+    """Places that corners take, no two of them within PLACE pixels: the same point is a corner on several scales."""
+    kept = np.empty(0, complex)
+    for z in np.unique(c["x"] + 1j * c["y"]):
+        if not len(kept) or np.abs(kept - z).min() > PLACE:
+            kept = np.append(kept, z)
+    return len(kept)
+
+
+def _expected(a: np.ndarray, b: np.ndarray, w: complex, t: complex) -> int:
+    """Corners of a that a transform brings among those of b, on a scale that b has."""
+    z, scale = w * (a["x"] + 1j * a["y"]) + t, a["scale"] / abs(w)
+    inside = [(v >= b[c].min() - 1) & (v <= b[c].max() + 1) for v, c in ((z.real, "x"), (z.imag, "y"))]
+    return int((inside[0] & inside[1] & (scale >= 0.94 * b["scale"].min()) & (scale <= 1.06 * b["scale"].max())).sum())
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, votes: int = VOTES) -> int:
+    """Corners of two images that agree on a transform; 0 if they are too few, too close or too small a part of those that the transform brings to lie on each other."""
+    i, j = _alike(a, b)
+    if len(i) < votes:
+        return 0
+    p, q = a[i], b[j]
+    turn, size = (q["turn"].astype(float) - p["turn"]) % 360, p["scale"].astype(float) / q["scale"]
+    here, there = p["x"].astype(float) + 1j * p["y"], q["x"].astype(float) + 1j * q["y"]
+    shift = there - size * np.exp(1j * np.radians(turn)) * here
+    octave = np.round(np.log2(size) / OCTAVE)
+    # each grid of votes stands twice, half a cell apart
+    cells = np.concatenate([np.stack([np.full(len(i), k), np.floor(turn / TURN + k // 4 / 2), np.floor(shift.real / (2 * SHIFT) + k // 2 % 2 / 2), np.floor(shift.imag / (2 * SHIFT) + k % 2 / 2), octave]) for k in range(8)], axis=1).astype(np.int64)
+    code = mix(cells[0].view(np.uint64))
+    for row in cells[1:]:
+        code = mix(code ^ row.view(np.uint64))
+    order = np.lexsort((np.tile(j, 8), code))
+    code, corner = code[order], np.tile(j, 8)[order]
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    fresh = np.append(True, (code[1:] != code[:-1]) | (corner[1:] != corner[:-1]))
+    agree, ends = np.add.reduceat(fresh.astype(int), start), np.append(start[1:], len(code))
+    tried = set()
+    for k in np.argsort(-agree, kind="stable"):
+        if agree[k] < votes:
+            break
+        m = np.sort(order[start[k] : ends[k]] % len(i))
+        if m.tobytes() in tried:
+            continue
+        tried.add(m.tobytes())
+        centre = here[m].mean(), there[m].mean()
+        spread = (np.abs(here[m] - centre[0]) ** 2).sum()
+        if spread == 0:
+            continue
+        w = ((here[m] - centre[0]).conj() * (there[m] - centre[1])).sum() / spread
+        t = centre[1] - w * centre[0]
+        if not w:
+            continue
+        off = np.abs((turn - np.degrees(np.angle(w)) + 180) % 360 - 180)
+        fit = (np.abs(w * here + t - there) <= FIT) & (off <= FIT_TURN) & (np.abs(np.log2(size / abs(w))) <= FIT_OCTAVE)
+        one, two = np.unique(i[fit]), np.unique(j[fit])
+        n = min(len(one), len(two))
+        if n < votes or min(_distinct(a[one]), _distinct(b[two])) < PLACES:
+            continue
+        if n >= SHARE * max(_expected(a, b, w, t), _expected(b, a, 1 / w, -t / w)):
+            return n
+    return 0
+
+
+def linked_images(images: DataFrame, votes: int = VOTES) -> DataFrame:
+    """Pairs (a, b) of images, id and packed corners, that agree on a transform, and the number of corners that agree."""
+    place = lambda x: images.select(F.col("id").alias(x), F.col("corners").alias(f"corners_{x}"))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [agreeing(*(np.frombuffer(x.as_py(), CORNER) for x in both), votes) for both in zip(batch.column("corners_a"), batch.column("corners_b"), strict=True)]
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "agree": pa.array(found, pa.int32())})
+
+    both = candidates(images).join(place("a"), "a").join(place("b"), "b").select("a", "b", "corners_a", "corners_b")
+    return both.mapInArrow(judged, "a long, b long, agree int").where("agree > 0")
+
+
 def matched(corners_of: DataFrame, votes: int = VOTES) -> DataFrame:
-    """Pairs (a, b) of images whose matches agree on a transform, and the number of corners of b that agree."""
-    keyed = corners_of.select("id", "corner", "rest", F.posexplode("keys").alias("table", "key")).select("id", "corner", "rest", F.xxhash64("table", "key").alias("bucket"))
-    # only buckets above a cell's size are parted, into pairs of blocks; all others are one cell
-    # stored first, so that Spark knows their size: few large buckets, and few pairs with enough matches, are broadcast and all others stay where they are
-    cells = keyed.join(stored(_large(keyed), "large"), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "corner"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "corner", "rest")
-    met = cells.repartition(*CELL_OF).sortWithinPartitions(*CELL_OF).mapInArrow(_paired, "a long, b long, corner_a int, corner_b int")
-    # a pair with fewer matches than votes cannot win
-    many = stored(met.groupBy("a", "b").agg(F.collect_set(F.struct("corner_a", "corner_b")).alias("m")).where(F.size("m") >= votes), "many")
-    place = lambda x: corners_of.select(F.col("id").alias(x), F.col("corner").alias(f"corner_{x}"), *[F.col(c).cast("double").alias(f"{c}_{x}") for c in ("x", "y", "scale", "turn")], F.col("keys").alias(f"keys_{x}"), F.col("rest").alias(f"rest_{x}"))
-    pairs = many.select("a", "b", F.inline("m"))
-    pairs = pairs.join(place("a"), ["a", "corner_a"]).join(place("b"), ["b", "corner_b"])
-    apart = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF)))), F.bit_count(F.col("rest_a").bitwiseXOR(F.col("rest_b"))), lambda n, x: n + x)
-    pairs = pairs.where(apart <= FAR).drop("keys_a", "keys_b", "rest_a", "rest_b")
-    turn = F.pmod(F.col("turn_b") - F.col("turn_a"), F.lit(360.0))
-    size = F.col("scale_a") / F.col("scale_b")
-    r = F.radians(turn)
-    made = pairs.withColumns({"turn": turn, "octave": F.log2(size), "dx": F.col("x_b") - size * (F.cos(r) * F.col("x_a") - F.sin(r) * F.col("y_a")), "dy": F.col("y_b") - size * (F.sin(r) * F.col("x_a") + F.cos(r) * F.col("y_a"))})
-    near = lambda c, width: F.array(F.floor(F.col(c) / width), F.floor(F.col(c) / width + 0.5) + 1_000_000)  # noqa: E731  two grids, half a cell apart
-    for c, width in (("turn", TURN), ("dx", 2 * SHIFT), ("dy", 2 * SHIFT)):
-        made = made.withColumn(f"v_{c}", F.explode(near(c, width)))
-    agreed = made.withColumn("v_octave", F.round(F.col("octave") / OCTAVE)).groupBy("a", "b", "v_turn", "v_octave", "v_dx", "v_dy").agg(F.count_distinct("corner_b").alias("n"))
-    return agreed.groupBy("a", "b").agg(F.max("n").alias("agree")).where(F.col("agree") >= votes)
+    """linked_images() of a row for each corner: id, corner, x, y, scale, turn, keys and rest."""
+    names = ("x", "y", "scale", "turn", "keys", "rest")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [packed([[c[x] for x in names] for c in row.as_py()]) for row in batch.column("corners")]
+            yield pa.record_batch({"id": batch.column("id"), "corners": pa.array(own, pa.binary())})
+
+    grouped = corners_of.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("corner", *names))).alias("corners"))
+    return linked_images(stored(grouped.mapInArrow(pack, "id long, corners binary"), "packed"), votes)
 
 
 def copies(media: DataFrame, id_column: str = "id", image: str = "image", votes: int = VOTES) -> DataFrame:
     """id, class_id (the least id of all that links connect) and n_links (linked images, and others of equal bytes) of each row."""
-    rows = stored(described(media, id_column, image), "images")
+    rows = stored(described(media, id_column, image, pack=True), "images")
     same = rows.where("id is not null and full").groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     # of images of equal bytes one stands for all; the others, few in most tables, leave before corners are read
     others = stored(rows.where("id is not null and full").select("id", "sha").join(same.where("w > 1").select("sha", "rep"), "sha").where("id <> rep").select("id").distinct(), "others")
-    corners_of = rows.where(F.col("id").isNotNull() & (F.size("corners") > 0)).join(others, "id", "left_anti").select("id", F.posexplode("corners").alias("corner", "c")).select("id", "corner", "c.*")
-    linked = stored(matched(corners_of, votes), "pairs")
+    images = rows.where(F.col("id").isNotNull() & (F.octet_length("corners") > 0)).join(others, "id", "left_anti").select("id", "corners")
+    linked = stored(linked_images(images, votes), "pairs")
     both = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(linked.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     weight = both.join(same.select(F.col("rep").alias("v"), F.col("w").alias("_w")), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("_w").alias("links"))
     roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("u", "rep")

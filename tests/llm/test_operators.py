@@ -539,3 +539,26 @@ def test_image_cells_over_batches(monkeypatch):
     batches = [pa.record_batch([pa.array(x[k : k + 4]) for x in rows.values()], pa.schema([pa.field(c, pa.from_numpy_dtype(x.dtype), k < 8) for c, x in rows.items()])) for k in range(0, 20, 4)]
     got = [(r["a"], r["b"]) for out in image_copies._paired(iter(batches)) for r in out.to_pylist()]
     assert sorted(got) == [(a, b) for a in range(20) for b in range(a + 1, 20) if bucket[19 - a] == bucket[19 - b]]
+
+
+def test_one_point_on_many_scales_is_no_copy(spark):
+    """Images 1 and 2 share one point, a corner on each of six scales; images 3 and 4 share six points."""
+    rng = np.random.default_rng(3)
+    keys, rest = rng.integers(-(2**31), 2**31, (12, 6)), rng.integers(-(2**62), 2**62, 12)
+    points = rng.uniform(20, 80, (6, 2))
+    one = [(i, k, 40.0, 50.0, s, 10.0, keys[k].tolist(), int(rest[k])) for i in (1, 2) for k, s in enumerate(image_copies.SCALES)]
+    one += [(i, 6 + k, *rng.uniform(20, 80, 2).tolist(), s, 10.0, rng.integers(-(2**31), 2**31, 6).tolist(), 0) for i in (1, 2) for k, s in enumerate(image_copies.SCALES)]
+    six = [(i, k, *points[k].tolist(), 1.0, 10.0, keys[6 + k].tolist(), int(rest[6 + k])) for i in (3, 4) for k in range(6)]
+    table = spark.createDataFrame(one + six, "id long, corner int, x float, y float, scale float, turn float, keys array<int>, rest long")
+    assert {(r.a, r.b): r.agree for r in image_copies.matched(table).collect()} == {(3, 4): 6}
+    a, b = (np.frombuffer(image_copies.packed([r[2:] for r in one if r[0] == i]), image_copies.CORNER) for i in (1, 2))
+    assert image_copies.agreeing(a, b) == 0  # even if they meet
+
+
+def test_image_strangers_seldom_meet(spark):
+    """Of 80 images, 3 are another's edits. Corners alone bring more than twenty pairs of strangers together, pairs of corners hardly any, and none of the edits is lost."""
+    images = {i: picture(50 + i) for i in range(80)} | {100: sample_media.edited(picture(50), "gamma"), 101: sample_media.edited(picture(51), "resize"), 102: sample_media.edited(picture(52), "turn")}
+    media = spark.createDataFrame([(i, bytearray(image_copies.encode(x))) for i, x in images.items()], "id long, image binary")
+    got = {(r.a, r.b) for r in image_copies.candidates(image_copies.described(media, "id", "image", pack=True).select("id", "corners")).collect()}
+    edits = {(0, 100), (1, 101), (2, 102)}
+    assert edits <= got and len(got - edits) <= 5
