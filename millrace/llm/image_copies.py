@@ -9,7 +9,7 @@ size in which all pairs of different images are compared. Of two images that mee
 (turn, scale, shift). Images are linked if VOTES distinct corners agree, lie on a transform fitted to them, take PLACES distinct places, and are a SHARE of the corners that the transform brings into
 the other image. Links are joined to connected components.
 
-Nulls: a null, empty or unreadable image has no corner and is its own class. A null id takes no part (class_id null, n_links 0). Equal bytes are one image from the start. Ties: the least id.
+Nulls: a null, empty or unreadable image has no corner and is its own class. A null id takes no part (class_id null, n_links 0). Equal bytes are one image from the start, and a task looks for their corners once. Ties: the least id.
 Empty table: no row. Other columns are ignored, whatever their names.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +40,18 @@ BINS = 1 << 16
 TURN, OCTAVE, SHIFT = 30, 0.5, 6
 #: What lies on a fitted transform: pixels, degrees, octaves. It holds if its corners take PLACES places more than PLACE pixels apart and are such a SHARE of those that should meet.
 FIT, FIT_TURN, FIT_OCTAVE, PLACES, PLACE, SHARE = 2, 15, 0.25, 3, 6, 0.25
-#: Distances that stand in memory at once.
-ROOM = 1 << 19
+#: Distances that stand in memory at once; pairs of images that are laid out with their corners at once, about.
+ROOM, LAID = 1 << 19, 1 << 21
 
 _rng = np.random.default_rng(11)
 _TESTS = np.clip(np.round(_rng.normal(0, RADIUS / 1.6, (256, 4))), -RADIUS + 2, RADIUS - 2)
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
 _SPREAD = float((_DISC[:, 0] ** 2).sum())
+#: The different points of the tests, and which of them each test compares.
+_POINTS, _AT = np.unique(_TESTS.reshape(-1, 2), axis=0, return_inverse=True)
+_ONE, _TWO = _AT.reshape(-1, 2).T
+#: Pixels that a turned test may reach beyond an image's edge, at most; pixels of images that are searched together; digests that a task keeps at most, and then begins anew.
+EDGE, STACK, MET = 2, 1 << 17, 1 << 17
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -80,57 +85,115 @@ def encode(pixels: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % pixels.shape[::-1] + np.clip(np.round(pixels), 0, 255).astype(np.uint8).tobytes()
 
 
-def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of 2r + 1, edges repeated."""
-    p = np.pad(a, r + 1, mode="edge").cumsum(0).cumsum(1)
-    k = 2 * r + 1
-    s = p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]
-    return s[: a.shape[0], : a.shape[1]] / (k * k)
+def _edged(a: np.ndarray, r: int) -> np.ndarray:
+    """Images with r rows and columns more on each side, edges repeated."""
+    h, w = a.shape[-2:]
+    return a.take(np.clip(np.arange(-r, h + r), 0, h - 1), axis=-2).take(np.clip(np.arange(-r, w + r), 0, w - 1), axis=-1)
 
 
-def _resized(a: np.ndarray, scale: float) -> np.ndarray:
+def _box(a: np.ndarray, r: int) -> np.ndarray:
+    """Means over squares of 2r + 1 of each image, edges repeated."""
+    p, k = _edged(a, r + 1), 2 * r + 1
+    np.cumsum(p, axis=-2, out=p)
+    np.cumsum(p, axis=-1, out=p)
+    p = p[..., :-1, :-1]
+    s = p[..., k:, k:] - p[..., :-k, k:]
+    s -= p[..., k:, :-k]
+    s += p[..., :-k, :-k]
+    s /= k * k
+    return s
+
+
+def _resized(a: np.ndarray, scale: float, smooth: np.ndarray) -> np.ndarray:
+    """Images of a smaller scale; smooth: their means over squares of three."""
     if scale == 1:
         return a
-    h, w = max(1, round(a.shape[0] * scale)), max(1, round(a.shape[1] * scale))
-    y, x = np.clip((np.arange(h) + 0.5) / scale - 0.5, 0, a.shape[0] - 1), np.clip((np.arange(w) + 0.5) / scale - 0.5, 0, a.shape[1] - 1)
-    y0, x0 = np.minimum(y.astype(int), max(0, a.shape[0] - 2)), np.minimum(x.astype(int), max(0, a.shape[1] - 2))
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-    b = _box(a, 1)
-    return (b[y0][:, x0] * (1 - fx) + b[y0][:, x1] * fx) * (1 - fy) + (b[y1][:, x0] * (1 - fx) + b[y1][:, x1] * fx) * fy
-
-
-def corners(pixels: np.ndarray) -> list[tuple[float, float, float, float, list[int], int]]:
-    """x, y (of the whole image), scale, orientation (degrees), the 32-bit keys of the tables and the 64 bits left over, of each corner."""
-    out = []
+    height, width = a.shape[-2:]
+    h, w = max(1, round(height * scale)), max(1, round(width * scale))
+    y, x = np.clip((np.arange(h) + 0.5) / scale - 0.5, 0, height - 1), np.clip((np.arange(w) + 0.5) / scale - 0.5, 0, width - 1)
+    y0, x0 = np.minimum(y.astype(int), max(0, height - 2)), np.minimum(x.astype(int), max(0, width - 2))
+    fy, fx = (y - y0)[:, None], x - x0
+    y1, x1 = np.minimum(y0 + 1, height - 1), np.minimum(x0 + 1, width - 1)
+    across = smooth.take(x0, axis=-1) * (1 - fx) + smooth.take(x1, axis=-1) * fx
+    return across.take(y0, axis=-2) * (1 - fy) + across.take(y1, axis=-2) * fy
+
+
+def _searched(stack: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each corner of images of one shape: its image, x, y (of the whole image), scale, orientation (degrees), the 32-bit keys of the tables and the 64 bits left over. Sorted by image."""
+    found, means = [], _box(stack, 1)
     for scale in SCALES:
-        a = _resized(pixels, scale)
-        if min(a.shape) < 2 * RADIUS + 3:
+        a = _resized(stack, scale, means)
+        h, w = a.shape[1:]
+        if min(h, w) < 2 * RADIUS + 3:
             continue
-        smooth = _box(a, 1)
-        gy, gx = np.gradient(smooth)
+        smooth = means if scale == 1 else _box(a, 1)
+        gy, gx = np.gradient(smooth, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         least = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
-        inner = least[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
-        p = np.pad(inner, 2, constant_values=-1)
-        rows = np.max([p[i : i + inner.shape[0]] for i in range(5)], axis=0)
-        peak = np.max([rows[:, j : j + inner.shape[1]] for j in range(5)], axis=0)
-        y, x = np.nonzero((inner == peak) & (inner > 4))
-        order = np.lexsort((x, y, -inner[y, x]))[: max(4, inner.size // AREA)]
-        y, x = y[order] + RADIUS + 1, x[order] + RADIUS + 1
-        if not len(y):
+        inner = least[:, RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
+        peak = np.full((len(a), h - 2 * RADIUS + 2, w - 2 * RADIUS + 2), -1.0)
+        peak[:, 2:-2, 2:-2] = inner
+        peak = functools.reduce(np.maximum, [peak[:, i : i + inner.shape[1]] for i in range(5)])
+        peak = functools.reduce(np.maximum, [peak[:, :, i : i + inner.shape[2]] for i in range(5)])
+        of, y, x = np.nonzero((inner == peak) & (inner > 4))
+        if not len(of):
             continue
-        patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
-        patch = patch - patch.mean(axis=1, keepdims=True)
+        order = np.lexsort((x, y, -inner[of, y, x], of))  # nonzero() sorts by image, and so does this
+        order = order[np.arange(len(of)) - np.searchsorted(of, of) < max(4, inner[0].size // AREA)]
+        of, y, x = of[order], y[order] + RADIUS + 1, x[order] + RADIUS + 1
+        patch = smooth.ravel().take(((of * h + y) * w + x)[:, None] + (_DISC[:, 0] * w + _DISC[:, 1]))
+        patch -= patch.mean(axis=1, keepdims=True)
         down, right = patch @ _DISC[:, 0], patch @ _DISC[:, 1]
         turn, slope = np.arctan2(down, right), np.hypot(down, right)[:, None] / _SPREAD
         c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
-        soft = _box(smooth, 2)
-        at = lambda dx, dy: soft[np.clip(np.round(y[:, None] + s * dx + c * dy).astype(int), 0, a.shape[0] - 1), np.clip(np.round(x[:, None] + c * dx - s * dy).astype(int), 0, a.shape[1] - 1)]  # noqa: E731, B023
-        bits = at(_TESTS[:, 0], _TESTS[:, 1]) - at(_TESTS[:, 2], _TESTS[:, 3]) < slope * (_TESTS[:, 0] - _TESTS[:, 2])
+        soft = _edged(_box(smooth, 2), EDGE)
+        dx, dy = _POINTS[:, 0], _POINTS[:, 1]
+        row, column = np.rint(y[:, None] + s * dx + c * dy), np.rint(x[:, None] + c * dx - s * dy)
+        at = soft.ravel().take(((of[:, None] * (h + 2 * EDGE) + EDGE + row) * (w + 2 * EDGE) + EDGE + column).astype(np.int64))
+        bits = at[:, _ONE] - at[:, _TWO] < slope * (_TESTS[:, 0] - _TESTS[:, 2])
         packed = np.packbits(bits, axis=1)
         keys, rest = packed[:, : 4 * TABLES].copy().view(">i4"), packed[:, 4 * TABLES :].copy().view(">i8")[:, 0]
-        out += [(float(x[k] / scale), float(y[k] / scale), float(scale), float(np.degrees(turn[k])), keys[k].tolist(), int(rest[k])) for k in range(len(y))]
+        found.append((of, x / scale, y / scale, np.full(len(of), scale), np.degrees(turn), keys, rest))
+    if not found:
+        return tuple(np.empty((0, TABLES) if k == 5 else 0, int) for k in range(7))
+    out = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
+
+def corners(pixels: np.ndarray) -> list[tuple[float, float, float, float, list[int], int]]:
+    """x, y (of the whole image), scale, orientation (degrees), the 32-bit keys of the tables and the 64 bits left over, of each corner."""
+    _, *own = _searched(pixels[None])
+    return list(zip(*(x.tolist() for x in own), strict=True))
+
+
+def packed_corners(images: Iterable[np.ndarray | None]) -> list[bytes]:
+    """packed(corners()) of each image, b"" of None. Images of one shape are searched together; no more stand in memory than STACK pixels hold, or one larger image."""
+    out: list[bytes] = []
+    shapes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    held = 0
+
+    def search() -> None:
+        for part in shapes.values():
+            of, *own = _searched(np.stack([pixels for _, pixels in part]))
+            made = np.empty(len(of), CORNER)
+            for name, x in zip(CORNER.names, own, strict=True):
+                made[name] = x
+            ends = np.searchsorted(of, np.arange(len(part) + 1))
+            for (k, _), at, end in zip(part, ends, ends[1:], strict=False):
+                out[k] = made[at:end].tobytes()
+        shapes.clear()
+
+    for k, pixels in enumerate(images):
+        out.append(b"")
+        if pixels is None or not pixels.size:
+            continue
+        if held and held + pixels.size > STACK:
+            search()
+            held = 0
+        shapes.setdefault(pixels.shape, []).append((k, pixels))
+        held += pixels.size
+    search()
     return out
 
 
@@ -139,18 +202,28 @@ def packed(found: list[tuple[float, float, float, float, list[int], int]]) -> by
 
 
 def described(media: DataFrame, id_column: str, image: str, pack: bool = False) -> DataFrame:
-    """id, sha, full (the image has bytes) and corners of each row: x, y, scale, turn, keys and rest, see corners(), or their packed() bytes. Images are read once and never shuffled."""
+    """id, sha, full (the image has bytes) and corners of each row: x, y, scale, turn, keys and rest, see corners(), or their packed() bytes. Images are read once and never shuffled.
+    Packed corners are null where the id is null, and where a task has met equal bytes under another id before: one row of those, at least, has them."""
     names = ("x", "y", "scale", "turn", "keys", "rest")
     corner = pa.struct(list(zip(names, [pa.float32()] * 4 + [pa.list_(pa.int32()), pa.int64()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500)
                 images = [x.as_py() for x in rows.column(1)]
-                found = [corners(p) if (p := decode(data)) is not None else [] for data in images]
-                made = pa.array([packed(own) for own in found], pa.binary()) if pack else pa.array([[dict(zip(names, c, strict=True)) for c in own] for own in found], pa.list_(corner))
-                yield pa.record_batch({"id": rows.column(0), "sha": [hashlib.sha256(d or b"").digest() for d in images], "full": pa.array([bool(d) for d in images]), "corners": made})
+                shas = [hashlib.sha256(d or b"").digest() for d in images]
+                if pack:
+                    if len(met) > MET:
+                        met.clear()
+                    fresh = [k for k, (i, sha) in enumerate(zip(rows.column(0), shas, strict=True)) if i.is_valid and sha not in met and not met.add(sha)]
+                    own = dict(zip(fresh, packed_corners(decode(images[k]) for k in fresh), strict=True))
+                    made = pa.array([own.get(k) for k in range(len(images))], pa.binary())
+                else:
+                    pixels = [decode(data) for data in images]
+                    made = pa.array([[dict(zip(names, c, strict=True)) for c in (corners(p) if p is not None and p.size else [])] for p in pixels], pa.list_(corner))
+                yield pa.record_batch({"id": rows.column(0), "sha": shas, "full": pa.array([bool(d) for d in images]), "corners": made})
 
     kind = "binary" if pack else "array<struct<x: float, y: float, scale: float, turn: float, keys: array<int>, rest: long>>"
     return media.select(F.col(id_column).cast("long").alias("id"), F.col(image).alias("image")).mapInArrow(run, f"id long, sha binary, full boolean, corners {kind}")
@@ -272,10 +345,11 @@ def candidates(images: DataFrame) -> DataFrame:
 
 def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs of corners of two images that differ in at most FAR of all bits."""
-    one, two = (np.concatenate([np.ascontiguousarray(c["keys"]).view(np.uint64), c["rest"].view(np.uint64)[:, None]], axis=1) for c in (a, b))
-    found, step = [], max(1, ROOM // max(1, len(two)))
-    for start in range(0, len(one), step):
-        i, j = np.nonzero(np.bitwise_count(one[start : start + step, None] ^ two[None]).sum(axis=2) <= FAR)
+    one, two = ([*np.ascontiguousarray(c["keys"]).view(np.uint64).T, c["rest"].view(np.uint64)] for c in (a, b))
+    found, step = [], max(1, ROOM // max(1, len(b)))
+    for start in range(0, len(a), step):
+        differ = [np.bitwise_count(x[start : start + step, None] ^ y) for x, y in zip(one, two, strict=True)]
+        i, j = np.nonzero(np.add(differ[0] + differ[1], differ[2] + differ[3], dtype=np.uint16) <= FAR)
         found.append((i + start, j))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2
 
@@ -352,8 +426,16 @@ def linked_images(images: DataFrame, votes: int = VOTES) -> DataFrame:
             found = [agreeing(*(np.frombuffer(x.as_py(), CORNER) for x in both), votes) for both in zip(batch.column("corners_a"), batch.column("corners_b"), strict=True)]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "agree": pa.array(found, pa.int32())})
 
-    both = candidates(images).join(place("a"), "a").join(place("b"), "b").select("a", "b", "corners_a", "corners_b")
-    return both.mapInArrow(judged, "a long, b long, agree int").where("agree > 0")
+    def of(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(place("a"), "a").join(place("b"), "b").select("a", "b", "corners_a", "corners_b")
+        return both.mapInArrow(judged, "a long, b long, agree int").where("agree > 0")
+
+    met = candidates(images)
+    rounds = -(-met.count() // LAID)
+    if rounds < 2:
+        return of(met)
+    # pairs of strangers grow with the square of the images: part after part, so that their corners never lie on disk all together
+    return functools.reduce(DataFrame.unionByName, [stored(of(met.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)), "judged") for k in range(rounds)])
 
 
 def matched(corners_of: DataFrame, votes: int = VOTES) -> DataFrame:
@@ -371,12 +453,16 @@ def matched(corners_of: DataFrame, votes: int = VOTES) -> DataFrame:
 
 def copies(media: DataFrame, id_column: str = "id", image: str = "image", votes: int = VOTES) -> DataFrame:
     """id, class_id (the least id of all that links connect) and n_links (linked images, and others of equal bytes) of each row."""
-    rows = stored(described(media, id_column, image, pack=True), "images")
-    same = rows.where("id is not null and full").groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
-    # of images of equal bytes one stands for all; the others, few in most tables, leave before corners are read
-    others = stored(rows.where("id is not null and full").select("id", "sha").join(same.where("w > 1").select("sha", "rep"), "sha").where("id <> rep").select("id").distinct(), "others")
+    rows = stored(described(media, id_column, image, pack=True).withColumn("held", F.col("corners").isNotNull()), "images")
+    same = rows.where("id is not null and full").groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.min(F.when(F.col("held"), F.col("id"))).alias("holder"), F.count_if("held").alias("n_held"))
+    # of images of equal bytes one that has corners stands for all; the others with corners, few in most tables, leave before corners are read
+    others = stored(rows.where("id is not null and full and held").select("id", "sha").join(same.where("n_held > 1").select("sha", "holder"), "sha").where("id <> holder").select("id").distinct(), "others")
     images = rows.where(F.col("id").isNotNull() & (F.octet_length("corners") > 0)).join(others, "id", "left_anti").select("id", "corners")
-    linked = stored(linked_images(images, votes), "pairs")
+    moved = same.where("holder <> rep")
+    named = linked_images(images, votes)
+    for x in ("a", "b"):
+        named = named.join(moved.select(F.col("holder").alias(x), F.col("rep").alias("_rep")), x, "left").withColumn(x, F.coalesce("_rep", x)).drop("_rep")
+    linked = stored(named, "pairs")
     both = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(linked.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     weight = both.join(same.select(F.col("rep").alias("v"), F.col("w").alias("_w")), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("_w").alias("links"))
     roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("u", "rep")

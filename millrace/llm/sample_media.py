@@ -14,39 +14,77 @@ from millrace.llm.image_copies import encode
 
 SIZE, SHAPES = 96, 150
 EDITS = ("none", "half", "gamma", "noise", "turn", "resize")
+#: Sides of the windows in which shapes are drawn, from below; the last holds the largest. What a window may reach beyond the image; images that are drawn together.
+WINDOWS, ROOM, STACK = (14, 18, 26, 40, 71), 80, 100
+#: Rows of one vector that one task draws, about.
+LOT = 4096
 
 
 def drawn(vectors: DataFrame) -> DataFrame:
     """A media table: vec_id and image (PGM). Ids that end in 9 show an edit of the image that the id nine before shows."""
-    source = F.when(F.col("vec_id") % 10 == 9, F.col("vec_id") - 9).otherwise(F.col("vec_id"))
-    edit = F.when(F.col("vec_id") % 10 == 9, 1 + (F.col("vec_id") / 10).cast("long") % 5).otherwise(0).cast("int")
-    table = vectors.select("vec_id", source.alias("source"), edit.alias("edit")).join(vectors.select(F.col("vec_id").alias("source"), "embedding"), "source")
-    # drawing is heavy for its rows, so these are dealt over all tasks
-    table = table.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    own = vectors.select("vec_id", "embedding", F.xxhash64("embedding").alias("_key"))
+    edit = (1 + (F.col("vec_id") / 10).cast("long") % 5).cast("int").alias("edit")
+    # only edits need another's vector
+    edits = vectors.where("vec_id % 10 = 9").select("vec_id", (F.col("vec_id") - 9).alias("source"), edit)
+    edits = edits.join(own.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "source"), "source").drop("source")
+    table = own.where("vec_id % 10 <> 9").withColumn("edit", F.lit(0)).unionByName(edits)
+    # drawing is heavy, so equal vectors are laid side by side and drawn once; those of more than LOT rows (so at most a row for each LOT rows) are dealt over several tasks
+    hot = own.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > LOT).select("_key", F.ceil(F.col("n") / LOT).alias("lots"))
+    table = table.join(F.broadcast(hot), "_key", "left").withColumn("_lot", F.pmod(F.xxhash64("vec_id"), F.coalesce("lots", F.lit(1))))
+    table = table.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "_lot").sortWithinPartitions("_key", "edit", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, made = {}, {}  # the last vector's picture and its edits
         for batch in batches:
-            images = [encode(edited(draw(e or []), EDITS[k])) for e, k in zip(batch.column("embedding").to_pylist(), batch.column("edit").to_pylist(), strict=True)]
-            yield pa.record_batch({"vec_id": batch.column("vec_id"), "image": pa.array(images, pa.binary())})
+            for start in range(0, batch.num_rows, STACK):
+                rows = batch.slice(start, STACK)
+                asked = [(np.asarray(e or [], np.float32).tobytes(), EDITS[k]) for e, k in zip(rows.column("embedding").to_pylist(), rows.column("edit").to_pylist(), strict=True)]
+                if new := [v for v in dict.fromkeys(v for v, _ in asked) if v not in held]:
+                    held |= zip(new, draw_all([np.frombuffer(v, np.float32) for v in new]), strict=True)
+                for x in dict.fromkeys(asked):
+                    if x not in made:
+                        made[x] = encode(edited(held[x[0]], x[1]))
+                yield pa.record_batch({"vec_id": rows.column("vec_id"), "image": pa.array([made[x] for x in asked], pa.binary())})
+                last = asked[-1][0]
+                held, made = {last: held[last]}, {x: y for x, y in made.items() if x[0] == last}
 
     return table.select("vec_id", "edit", "embedding").mapInArrow(run, "vec_id long, image binary")
 
 
-def draw(vector: list[float]) -> np.ndarray:
-    """Turned ellipses and boxes of many sizes that hide one another, all set by the vector."""
-    g = np.random.default_rng(zlib.crc32(np.asarray(vector, np.float32).tobytes()))
-    out = np.full((SIZE, SIZE), 128.0)
-    radius, tone = np.clip(3 / np.sqrt(g.random(SHAPES)), 3, 22), g.uniform(10, 245, SHAPES)
-    cy, cx = g.uniform(-5, SIZE + 5, (2, SHAPES))
-    thin, turn = g.uniform(0.5, 1, SHAPES), g.uniform(0, np.pi, SHAPES)
+def draw_all(vectors: list[list[float]]) -> np.ndarray:
+    """Of each vector: turned ellipses and boxes of many sizes that hide one another, all set by the vector. The shapes of one number are drawn together, by the size of their windows."""
+    radius, tone, cy, cx, thin, turn = (np.empty((len(vectors), SHAPES)) for _ in range(6))
+    for k, vector in enumerate(vectors):
+        g = np.random.default_rng(zlib.crc32(np.asarray(vector, np.float32).tobytes()))
+        radius[k], tone[k] = np.clip(3 / np.sqrt(g.random(SHAPES)), 3, 22), g.uniform(10, 245, SHAPES)
+        cy[k], cx[k] = g.uniform(-5, SIZE + 5, (2, SHAPES))
+        thin[k], turn[k] = g.uniform(0.5, 1, SHAPES), g.uniform(0, np.pi, SHAPES)
+    cos, sin, reach = np.cos(turn), np.sin(turn), 1.5 * radius + 1
+    top, left = np.floor(cy - reach).astype(np.int64), np.floor(cx - reach).astype(np.int64)
+    window = np.searchsorted(WINDOWS, 2 * reach + 2)
+    # the number of the shape that is seen, on a canvas with room for whole windows
+    width = SIZE + 2 * ROOM
+    seen = np.full((len(vectors), width, width), -1, np.int16)
+    base = (np.arange(len(vectors))[:, None] * width + ROOM + top) * width + ROOM + left
     for k in range(SHAPES):
-        reach = 1.5 * radius[k] + 1
-        top, left = max(0, int(cy[k] - reach)), max(0, int(cx[k] - reach))
-        part = out[top : int(cy[k] + reach) + 1, left : int(cx[k] + reach) + 1]
-        dy, dx = np.arange(top, top + part.shape[0])[:, None] - cy[k], np.arange(left, left + part.shape[1])[None, :] - cx[k]
-        u, v = np.cos(turn[k]) * dx + np.sin(turn[k]) * dy, (np.cos(turn[k]) * dy - np.sin(turn[k]) * dx) / thin[k]
-        part[(np.maximum(np.abs(u), np.abs(v)) <= radius[k]) if k % 2 else (u * u + v * v <= radius[k] ** 2)] = tone[k]
-    return out
+        for c, side in enumerate(WINDOWS):
+            m = np.flatnonzero(window[:, k] == c)
+            if not len(m):
+                continue
+            span = np.arange(side)
+            dy, dx = (top[m, k, None] + span - cy[m, k, None])[:, :, None], (left[m, k, None] + span - cx[m, k, None])[:, None, :]
+            cosine, sine, edge = (x[m, k, None, None] for x in (cos, sin, radius))
+            u, v = cosine * dx + sine * dy, cosine * dy - sine * dx
+            v /= thin[m, k, None, None]
+            inside = np.flatnonzero((np.maximum(np.abs(u, out=u), np.abs(v, out=v), out=u) <= edge) if k % 2 else (np.add(np.square(u, out=u), np.square(v, out=v), out=u) <= edge**2))
+            at, place = np.divmod(inside, side * side)
+            seen.ravel()[base[m, k][at] + (span[:, None] * width + span).ravel()[place]] = k
+    seen = seen[:, ROOM:-ROOM, ROOM:-ROOM]
+    return np.where(seen < 0, 128.0, tone[np.arange(len(vectors))[:, None, None], seen])
+
+
+def draw(vector: list[float]) -> np.ndarray:
+    return draw_all([vector])[0]
 
 
 def _sampled(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
